@@ -7,9 +7,15 @@ from pyspark.sql import types as T
 from cardwarden import constants as C
 
 
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(),
+    "bigint": T.LongType(),
+}
+
+
 def _fields(**types: str) -> T.StructType:
     return T.StructType(
-        [T.StructField(name, T.DataType.fromDDL(kind), True) for name, kind in types.items()]
+        [T.StructField(name, _TYPES[kind], True) for name, kind in types.items()]
     )
 
 
