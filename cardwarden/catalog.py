@@ -15,9 +15,11 @@ from cardwarden.functions import features as X
 from cardwarden.functions import scalars as S
 from cardwarden.operators import cleaning, dashboards, evaluation, joins, profiling, projections
 from cardwarden.operators import quality
-from cardwarden.operators.forest import ForestParams, fit_forest, grow_forest, stored_nodes, with_scores
+from cardwarden.operators.forest import (
+    fit_forest, grow_forest, spread, stored_nodes, with_scores,
+)
 from cardwarden.operators.model_selection import (
-    compare_models, feature_importance, grid_search, stratified_split,
+    compare_models, feature_importance, grid_search, stratified_split, written,
 )
 from cardwarden.plans.flagship import risk_ranking
 from cardwarden.plans.selection import (
@@ -618,24 +620,24 @@ def split_test_rows(spark, d):
 
 @query
 def forest_nodes(spark, d):
-    rows = _model_rows(spark, d)
+    rows = written(_model_rows(spark, d), "training-rows")
     forest = grow_forest(rows, "transaccionID", schemas.FEATURE_NAMES)
     return stored_nodes(forest, scratch_path(spark, "nodes")).nodes
 
 
 @query
 def forest_scores(spark, d):
-    rows = _model_rows(spark, d)
+    rows = written(_model_rows(spark, d), "training-rows")
     forest = fit_forest(rows, "transaccionID", schemas.FEATURE_NAMES)
-    return with_scores(rows, forest).select(
+    return with_scores(spread(rows, forest.n_samples), forest).select(
         "transaccionID", "anomaly_score", "decision", "prediction", "score")
 
 
 @query
 def forest_alerts(spark, d):
-    rows = _model_rows(spark, d)
+    rows = written(_model_rows(spark, d), "training-rows")
     forest = fit_forest(rows, "transaccionID", schemas.FEATURE_NAMES)
-    scored = with_scores(rows, forest).select("transaccionID", "score")
+    scored = with_scores(spread(rows, forest.n_samples), forest).select("transaccionID", "score")
     tx = V.transactions(spark, d).join(scored, "transaccionID")
     enriched = projections.enriched_projection(tx, True, now=F.col("fecha_hora_transaccion"))
     return projections.alert_projection(enriched, F.col("processed_at"))
@@ -714,7 +716,8 @@ def lifecycle_run(spark, d):
     messages = os.path.join(folder, "messages")
     tx = V.transactions(spark, d).repartitionByRange(4, "TransactionDT")
     V.as_messages(tx).write.text(messages)
-    job = ScoringJob(spark, folder, profiles=lambda: V.profiles(spark, d),
+    profiles = written(V.profiles(spark, d), "profiles")
+    job = ScoringJob(spark, folder, profiles=lambda: profiles,
                      policy=TrainingPolicy(retrain_seconds=0))
     stream = ev.read_events(spark, "text", {"maxFilesPerTrigger": "1"}, messages)
     job.start(stream, os.path.join(folder, "checkpoint"), ONCE).awaitTermination()

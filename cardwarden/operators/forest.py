@@ -23,6 +23,7 @@ from cardwarden.session import scratch_path
 
 AUTO_SAMPLES = 256
 NODES_PER_BROADCAST = 1_500_000
+ROWS_TO_SPREAD = 2_000_000
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree_id", T.IntegerType()), T.StructField("node_id", T.IntegerType()),
@@ -204,7 +205,10 @@ def grow_forest(df: DataFrame, key: str, features: list[str],
     sample_size = min(asked, n)
     samples = draw_samples(df, key, features, n, params.trees, sample_size, params.seed)
     build = _tree_builder(features, means, stds, params.seed, params.max_features)
-    nodes = samples.groupBy("tree_id").applyInPandas(build, NODE_SCHEMA)
+    # growing is bound by processors, not bytes: a fixed width keeps trees from being coalesced
+    width = min(params.trees, spread_width(df.sparkSession))
+    nodes = samples.repartition(width, "tree_id").groupBy("tree_id").applyInPandas(
+        build, NODE_SCHEMA)
     return Forest(nodes, list(features), means, stds, n, sample_size, params)
 
 
@@ -224,8 +228,23 @@ def fit_forest(df: DataFrame, key: str, features: list[str],
     return calibrated(forest, df, params.contamination)
 
 
+def spread_width(spark: SparkSession) -> int:
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, rows: int | None) -> DataFrame:
+    """Few rows (a known number) over all cores for scoring; many already fill many partitions."""
+    if rows is None or rows > ROWS_TO_SPREAD:
+        return df
+    return df.repartition(spread_width(df.sparkSession))
+
+
 def calibrated(forest: Forest, training: DataFrame, contamination: float) -> Forest:
-    scores = training.select(anomaly_score(forest).alias("s"))
+    """The offset over all training scores, which are written once: quantiles read them twice."""
+    inputs = spread(training.select(*forest.features), forest.n_samples)
+    path = scratch_path(training.sparkSession, "training-scores")
+    inputs.select(anomaly_score(forest).alias("s")).write.mode("overwrite").parquet(path)
+    scores = training.sparkSession.read.parquet(path)
     offset = exact_quantiles(scores, {"s": [contamination]})["s"][0]
     return Forest(forest.nodes, forest.features, forest.means, forest.stds, forest.n_samples,
                   forest.sample_size, forest.params, offset)
@@ -243,29 +262,42 @@ def _pack(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
     left = nodes["left"].to_numpy(np.int64)
     here = np.arange(len(nodes))
     return {
-        "roots": roots.astype(np.int32),
-        "feature": np.maximum(nodes["feature"].to_numpy(np.int32), 0),
+        "roots": roots.astype(np.intp),
+        "feature": np.maximum(nodes["feature"].to_numpy(np.intp), 0),
         "cut": nodes["cut"].to_numpy(np.float64),
-        "left": np.where(left < 0, here, base + left).astype(np.int32),
+        "left": np.where(left < 0, here, base + left).astype(np.intp),
         "path": nodes["path_length"].to_numpy(np.float64),
-        "levels": np.int32(nodes["depth"].max()),
+        "levels": int(nodes["depth"].max()),
     }
 
 
 def path_sums(x: np.ndarray, packed: dict[str, np.ndarray], block: int = 256) -> np.ndarray:
-    """Summed path length over the trees, for blocks of rows and all trees at once."""
+    """Summed path length over the trees, for blocks of rows and all trees at once.
+
+    All trees of a block of rows go down one level per step, in buffers that are
+    reused and small enough to stay in the cache.
+    """
     n, d = x.shape
     feature, cut, left, path = (packed[k] for k in ("feature", "cut", "left", "path"))
+    shape = (min(block, n), len(packed["roots"]))
+    nodes, slots = np.empty(shape, np.intp), np.empty(shape, np.intp)
+    values, cuts, right = np.empty(shape), np.empty(shape), np.empty(shape, bool)
     out = np.empty(n)
     for start in range(0, n, block):
         rows = np.ascontiguousarray(x[start:start + block])
-        flat = rows.ravel()
-        base = (np.arange(len(rows), dtype=np.int32) * d)[:, None]
-        node = np.broadcast_to(packed["roots"], (len(rows), len(packed["roots"])))
-        for _ in range(int(packed["levels"])):
-            value = flat.take(base + feature.take(node))
-            node = left.take(node) + (value > cut.take(node))
-        out[start:start + block] = path.take(node).sum(axis=1)
+        b, flat = len(rows), rows.ravel()
+        base = (np.arange(b) * d)[:, None]
+        node, slot, value, at, goes = nodes[:b], slots[:b], values[:b], cuts[:b], right[:b]
+        node[:] = packed["roots"]
+        for _ in range(packed["levels"]):
+            np.take(feature, node, out=slot, mode="clip")
+            slot += base
+            np.take(flat, slot, out=value, mode="clip")
+            np.take(cut, node, out=at, mode="clip")
+            np.greater(value, at, out=goes)
+            np.take(left, node, out=slot, mode="clip")
+            np.add(slot, goes, out=node)
+        out[start:start + b] = path.take(node).sum(axis=1)
     return out
 
 

@@ -12,7 +12,8 @@ from cardwarden.operators.cleaning import (
     drop_identifiers, fill_constant, keep_existing, label_encode, numeric_columns, text_columns,
 )
 from cardwarden.operators.forest import (
-    Forest, ForestParams, anomaly_score, fit_forest, grow_forest, stored_nodes, with_decision,
+    Forest, ForestParams, anomaly_score, fit_forest, grow_forest, spread, stored_nodes,
+    with_decision,
 )
 from cardwarden.functions.scalars import anomaly_flag
 from cardwarden.operators.profiling import contamination_of
@@ -84,8 +85,9 @@ def evaluate_forest(forest: Forest, test: DataFrame, name: str) -> DataFrame:
 
     The scored rows are written once: three aggregates read them.
     """
+    inputs = spread(test.select("isFraud", *forest.features), forest.n_samples)
     scored = with_decision(
-        test.select("isFraud", anomaly_score(forest).alias("anomaly_score")), F.lit(forest.offset))
+        inputs.select("isFraud", anomaly_score(forest).alias("anomaly_score")), F.lit(forest.offset))
     rows = written(scored.select(
         "isFraud", (-F.col("decision")).alias("risk"),
         anomaly_flag(F.col("prediction")).alias("predicted")), "model-scores")
@@ -140,21 +142,23 @@ def grid_search(df: DataFrame, key: str, columns: list[str] = C.TOP_15_FEATURES,
     spark = df.sparkSession
     frame, features = model_frame(stratified_split(df, key), columns, [key, "isFraud", "is_test"])
     frame = written(frame, "grid-frame")
-    train, test = frame.filter(~F.col("is_test")), frame.filter("is_test")
+    train = frame.filter(~F.col("is_test"))
     results = None
     for position, size in enumerate(samples):
         params = ForestParams(max(trees), size)
         forest = stored_nodes(grow_forest(train, key, features, params),
                               scratch_path(spark, "grid-nodes"))
         scores = {t: anomaly_score(forest, t).alias(f"s_{t}") for t in trees}
-        cuts = exact_quantiles(train.select(*scores.values()),
+        inputs = spread(frame.select("isFraud", "is_test", *features), forest.n_samples)
+        scored = written(inputs.select("isFraud", "is_test", *scores.values()), "grid-scores")
+        cuts = exact_quantiles(scored.filter(~F.col("is_test")),
                                {f"s_{t}": list(contaminations) for t in trees})
         settings = F.array(*[
             F.struct(
                 F.lit(t).alias("trees"), F.lit(c).alias("contamination"),
                 (F.col(f"s_{t}") - F.lit(cuts[f"s_{t}"][i]) < 0).cast("int").alias("predicted"))
             for t in trees for i, c in enumerate(contaminations)])
-        flagged = test.select("isFraud", *scores.values()).select("isFraud", F.inline(settings))
+        flagged = scored.filter("is_test").select("isFraud", F.inline(settings))
         part = E.classification_metrics(E.confusion_counts(flagged, ["trees", "contamination"]))
         part = part.select("trees", F.lit(str(size)).alias("max_samples"),
                            F.lit(position).alias("samples_place"), "contamination", "f1")

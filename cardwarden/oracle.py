@@ -418,8 +418,8 @@ from tx t join quota q on t."isFraud" = q."isFraud\"""",
 qualify row_number() over (partition by user_id order by event_id desc) = 1""",
     "stream_fraud_rate": _with(TX) + """select cast(date_trunc('day', fecha_hora_transaccion) as timestamp) as window_start,
   count(*) as n, cast(sum("isFraud") as bigint) as frauds, round(sum("isFraud") / count(*), 6) as rate from tx
-group by 1 having date_trunc('day', fecha_hora_transaccion) + INTERVAL 1 DAY
-  <= (select max(fecha_hora_transaccion) from tx) - INTERVAL 1 HOUR""",
+group by date_trunc('day', fecha_hora_transaccion)
+having date_trunc('day', min(fecha_hora_transaccion)) + INTERVAL 1 DAY <= (select max(fecha_hora_transaccion) from tx) - INTERVAL 1 HOUR""",
     "flagship": _with(TX, PROFILES) + f""", rated as (
 select *, {ENGINEERED}, {RELATIVE}, {RULE} as rule_score from tx left join profiles using ("usuarioID"))
 select "transaccionID", "usuarioID", fecha_hora_transaccion, "TransactionAmt", zscore_amt, velocity,
