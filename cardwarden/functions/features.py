@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +10,10 @@ from cardwarden import schemas
 from cardwarden.functions import scalars as S
 
 
-def category_rate(name: str, value: Column | None = None) -> Column:
+def category_rate(name: str) -> Column:
     """Fraud rate of a category value out of the fixed table; unseen or missing gives the default."""
-    pairs = chain.from_iterable((F.lit(k), F.lit(v)) for k, v in C.CATEGORY_RATES[name].items())
-    looked_up = F.create_map(*pairs)[F.col(name) if value is None else value]
-    return F.coalesce(looked_up, F.lit(C.DEFAULT_RATE))
+    table = ", ".join(f"'{value}', {rate}D" for value, rate in C.CATEGORY_RATES[name].items())
+    return F.expr(f"coalesce(map({table})[{name}], {C.DEFAULT_RATE}D)")
 
 
 def engineered() -> dict[str, Column]:
@@ -38,7 +35,7 @@ def user_relative() -> dict[str, Column]:
 
 def feature_columns() -> list[Column]:
     """The 27 model inputs, named and ordered as in ``schemas.FEATURE_NAMES``."""
-    entries = [S.safe_double(F.col(name)) for name in C.NUMERIC_FEATURES]
+    entries = [F.expr(f"coalesce(try_cast({name} as double), 0D)") for name in C.NUMERIC_FEATURES]
     entries += [category_rate(name) for name in C.CATEGORY_RATES]
     entries += list(user_relative().values())
     return [entry.alias(name) for entry, name in zip(entries, schemas.FEATURE_NAMES)]

@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,14 +75,18 @@ def average_path(size):
 
 
 def scaling(df: DataFrame, features: list[str]) -> tuple[int, list[float], list[float]]:
-    """Row count, means and population deviations (0 counts as 1) in one pass."""
+    """Row count, means and population deviations (0 counts as 1) in one pass.
+
+    Ten digits are kept: they do not depend on the order of summation, so neither
+    do the trees, and the scale itself does not matter to a tree.
+    """
     row = df.agg(
         F.count("*").alias("n"),
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)],
         *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)],
     ).first()
-    means = [row[f"m{i}"] or 0.0 for i in range(len(features))]
-    stds = [row[f"s{i}"] or 1.0 for i in range(len(features))]
+    means = [float(f"{row[f'm{i}'] or 0.0:.10g}") for i in range(len(features))]
+    stds = [float(f"{row[f's{i}'] or 1.0:.10g}") for i in range(len(features))]
     return row["n"], means, stds
 
 
@@ -185,12 +190,17 @@ def _tree_builder(features: list[str], means: list[float], stds: list[float],
                   seed: int, max_features: float):
     mean, std = np.array(means), np.array(stds)
 
-    def build(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
-        tree_id = int(key[0])
-        sample = sample.sort_values(["pick", *features], kind="stable")
-        x = (sample[features].to_numpy(dtype=np.float64) - mean) / std
-        nodes = grow_tree(x, np.random.default_rng([seed, tree_id]), max_features)
-        return pd.DataFrame({"tree_id": tree_id, **nodes})[NODE_SCHEMA.names]
+    def build(key: tuple, sample: pa.Table) -> pa.Table:
+        tree_id = key[0].as_py()
+        x = np.column_stack([sample[c].to_numpy() for c in features]).astype(np.float64)
+        # the sample arrives in any order; the hash order makes the tree reproducible
+        order = np.lexsort((x[:, 0], sample["pick"].to_numpy()))
+        nodes = grow_tree(
+            (x[order] - mean) / std, np.random.default_rng([seed, tree_id]), max_features)
+        columns = {"tree_id": np.full(len(nodes["node_id"]), tree_id), **nodes}
+        return pa.table({
+            f.name: pa.array(columns[f.name], pa.float64() if f.dataType == T.DoubleType() else pa.int32())
+            for f in NODE_SCHEMA.fields})
 
     return build
 
@@ -207,7 +217,7 @@ def grow_forest(df: DataFrame, key: str, features: list[str],
     build = _tree_builder(features, means, stds, params.seed, params.max_features)
     # growing is bound by processors, not bytes: a fixed width keeps trees from being coalesced
     width = min(params.trees, spread_width(df.sparkSession))
-    nodes = samples.repartition(width, "tree_id").groupBy("tree_id").applyInPandas(
+    nodes = samples.repartition(width, "tree_id").groupBy("tree_id").applyInArrow(
         build, NODE_SCHEMA)
     return Forest(nodes, list(features), means, stds, n, sample_size, params)
 

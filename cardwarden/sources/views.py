@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwarden import constants as C
@@ -14,73 +14,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _pick(c: Column, modulus: int, values: list[str]) -> Column:
-    """One of a few texts by remainder; remainders past the list give null."""
-    slot = c % modulus
-    out = F.when(slot == 0, F.lit(values[0]))
-    for i, value in enumerate(values[1:], start=1):
-        out = out.when(slot == i, F.lit(value))
-    return out
-
-
-def _mapped(c: Column, mapping: dict[str, str], default: Column) -> Column:
-    out = None
-    for key, value in mapping.items():
-        out = F.when(c == key, F.lit(value)) if out is None else out.when(c == key, F.lit(value))
-    return out.otherwise(default)
+TRANSACTION_COLUMNS = """
+cast(event_id as string) transaccionID
+ts fecha_hora_transaccion
+cast(user_id as string) usuarioID
+concat('TER_', cast(event_id % 97 as string)) terminalID
+concat('CRD_', cast(user_id as string)) tarjetaID
+value TransactionAmt
+seconds TransactionDT
+cast(user_id % 17397 + 1000 as int) card1
+cast(c_nationkey as double) addr1
+cast(c_nationkey % 7 + 80 as double) addr2
+k C1
+cast((k * 3 + event_id) % 200 as int) C13
+cast(seconds div 86400 as int) D1
+(event_id * 37 % 1000) / 2D V314
+cast(event_id % 3 as double) V201
+cast(event_id % 5 as double) V243
+cast(k % 4 as double) V257
+cast(k % 5 as int) C7
+cast(user_id % 3 as double) V242
+(event_id % 11) / 4D V45
+(k % 7) / 2D V246
+cast(event_id % 2 as double) V200
+(k % 9) / 4D V258
+cast(event_id % 50 as int) C14
+case event_type when 'purchase' then 'W' when 'view' then 'C' when 'click' then 'R' when 'signup' then 'H' else event_type end ProductCD
+case user_id % 5 when 0 then 'visa' when 1 then 'mastercard' when 2 then 'american express' when 3 then 'discover' end card4
+case user_id % 4 when 0 then 'debit' when 1 then 'credit' when 2 then 'debit or credit' when 3 then 'charge card' end card6
+case user_id % 7 when 0 then 'gmail.com' when 1 then 'yahoo.com' when 2 then 'hotmail.com' when 3 then 'anonymous.com' when 4 then 'aol.com' when 5 then 'mail.example' end P_emaildomain
+case c_mktsegment when 'MACHINERY' then 'desktop' when 'BUILDING' then 'desktop' when 'AUTOMOBILE' then 'mobile' when 'HOUSEHOLD' then 'mobile' end DeviceType
+case event_id % 6 when 0 then 'Windows' when 1 then 'iOS Device' when 2 then 'MacOS' when 3 then 'Trident/7.0' when 4 then 'rv:11.0' end DeviceInfo
+case when event_id % 29 = 0 then 1 else 0 end isFraud
+""".strip().split("\n")
 
 
 def transactions_from(events: DataFrame, customer: DataFrame) -> DataFrame:
     """One transaction per event; works on a static or a streaming ``events``."""
-    owner = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-    joined = events.join(owner, events["user_id"] == owner["c_custkey"], "left")
-    k = F.get_json_object("props", "$.k").cast("int")
-    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
-    eid, uid = F.col("event_id"), F.col("user_id")
-    return joined.select(
-        eid.cast("string").alias("transaccionID"),
-        F.col("ts").alias("fecha_hora_transaccion"),
-        uid.cast("string").alias("usuarioID"),
-        F.concat(F.lit("TER_"), (eid % 97).cast("string")).alias("terminalID"),
-        F.concat(F.lit("CRD_"), uid.cast("string")).alias("tarjetaID"),
-        F.col("value").alias("TransactionAmt"),
-        seconds.alias("TransactionDT"),
-        (uid % 17397 + 1000).cast("int").alias("card1"),
-        F.col("c_nationkey").cast("double").alias("addr1"),
-        (F.col("c_nationkey") % 7 + 80).cast("double").alias("addr2"),
-        k.alias("C1"),
-        ((k * 3 + eid) % 200).cast("int").alias("C13"),
-        F.floor(seconds / 86400).cast("int").alias("D1"),
-        ((eid * 37 % 1000) / 2).alias("V314"),
-        (eid % 3).cast("double").alias("V201"),
-        (eid % 5).cast("double").alias("V243"),
-        (k % 4).cast("double").alias("V257"),
-        (k % 5).cast("int").alias("C7"),
-        (uid % 3).cast("double").alias("V242"),
-        ((eid % 11) / 4).alias("V45"),
-        ((k % 7) / 2).alias("V246"),
-        (eid % 2).cast("double").alias("V200"),
-        ((k % 9) / 4).alias("V258"),
-        (eid % 50).cast("int").alias("C14"),
-        _mapped(
-            F.col("event_type"),
-            {"purchase": "W", "view": "C", "click": "R", "signup": "H"},
-            F.col("event_type"),
-        ).alias("ProductCD"),
-        _pick(uid, 5, ["visa", "mastercard", "american express", "discover"]).alias("card4"),
-        _pick(uid, 4, ["debit", "credit", "debit or credit", "charge card"]).alias("card6"),
-        _pick(uid, 7, ["gmail.com", "yahoo.com", "hotmail.com", "anonymous.com", "aol.com",
-                       "mail.example"]).alias("P_emaildomain"),
-        _mapped(
-            F.col("c_mktsegment"),
-            {"MACHINERY": "desktop", "BUILDING": "desktop", "AUTOMOBILE": "mobile",
-             "HOUSEHOLD": "mobile"},
-            F.lit(None).cast("string"),
-        ).alias("DeviceType"),
-        _pick(eid, 6, ["Windows", "iOS Device", "MacOS", "Trident/7.0", "rv:11.0"])
-        .alias("DeviceInfo"),
-        F.when(eid % 29 == 0, F.lit(1)).otherwise(F.lit(0)).alias("isFraud"),
-    )
+    owner = customer.selectExpr("c_custkey as user_id", "c_nationkey", "c_mktsegment")
+    timed = events.selectExpr(
+        "event_id", "ts", "user_id", "event_type", "value",
+        "cast(get_json_object(props, '$.k') as int) as k",
+        "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) as seconds")
+    return timed.join(owner, "user_id", "left").selectExpr(*TRANSACTION_COLUMNS)
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ class StreamGroup:
         self.queries: dict[str, StreamingQuery] = {}
 
     def start(self) -> "StreamGroup":
+        self.spark.streams.resetTerminated()  # streams that ended before do not count
         for name, starter in self.starters.items():
             self.queries[name] = starter()
         return self

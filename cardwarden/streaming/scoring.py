@@ -10,8 +10,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cardwarden import constants as C
@@ -60,6 +61,12 @@ class ScoringJob:
     def __post_init__(self):
         S.is_suspicious(F.lit(0.0), self.threshold)
         self.models = ModelStore(self.spark, self.path("model"))
+        self._begin_session(self.session_id)
+
+    def _begin_session(self, session_id: str) -> None:
+        self.session_id = session_id
+        self._seen, self._warmup_until = 0, -1
+        self._tail: list[tuple[int, int]] = []
 
     def path(self, table: str) -> str:
         return os.path.join(self.folder, table)
@@ -122,6 +129,7 @@ class ScoringJob:
                 F.lit(batch_id).cast("bigint").alias("batch_id"),
             ).write.mode("append").partitionBy("session_id", "batch_id").parquet(
                 self.path("features"))
+            self._note_batch(batch_id, counters.get["rows"])
             self._log_batch(batch_id, counters.get)
         finally:
             scored.unpersist()
@@ -137,40 +145,39 @@ class ScoringJob:
 
     # --- training between batches -----------------------------------------------------
 
-    def batch_sizes(self) -> DataFrame:
-        """Rows per batch of this session, out of the batch log."""
-        entries = self.spark.read.parquet(self.path("batch_log"))
-        return entries.filter(F.col("session_id") == self.session_id).groupBy("batch_id").agg(
-            F.max("rows").alias("rows"))
+    def _note_batch(self, batch_id: int, rows: int) -> None:
+        """Remember where the warm-up ends and the window begins: a few numbers per session."""
+        if self._seen < self.policy.warmup_size:
+            self._warmup_until = batch_id
+        self._seen += rows
+        self._tail.append((batch_id, rows))
+        while sum(n for _, n in self._tail[1:]) >= self.policy.window_size:
+            self._tail.pop(0)
 
     def session_features(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("features")).filter(
+        schema = T.StructType(
+            [T.StructField(KEY, T.StringType())]
+            + [T.StructField(name, T.DoubleType()) for name in schemas.FEATURE_NAMES]
+            + [T.StructField("arrival", T.LongType()), T.StructField("session_id", T.StringType()),
+               T.StructField("batch_id", T.LongType())])
+        return self.spark.read.schema(schema).parquet(self.path("features")).filter(
             F.col("session_id") == self.session_id)
 
     def warmup_rows(self) -> DataFrame:
         """The first rows of the session; only the batches that hold them are read."""
-        upto = F.sum("rows").over(Window.orderBy("batch_id"))
-        needed = self.batch_sizes().withColumn("before", upto - F.col("rows")).filter(
-            F.col("before") < self.policy.warmup_size)
-        last = needed.agg(F.max("batch_id")).first()[0]
-        return self.session_features().filter(F.col("batch_id") <= last).orderBy(
+        return self.session_features().filter(F.col("batch_id") <= self._warmup_until).orderBy(
             "batch_id", "arrival").limit(self.policy.warmup_size)
 
     def window_rows(self) -> DataFrame:
         """The last rows of the session; only the batches that hold them are read."""
-        upto = F.sum("rows").over(Window.orderBy(F.desc("batch_id")))
-        needed = self.batch_sizes().withColumn("after", upto - F.col("rows")).filter(
-            F.col("after") < self.policy.window_size)
-        first = needed.agg(F.min("batch_id")).first()[0]
-        return self.session_features().filter(F.col("batch_id") >= first).orderBy(
+        return self.session_features().filter(F.col("batch_id") >= self._tail[0][0]).orderBy(
             F.desc("batch_id"), F.desc("arrival")).limit(self.policy.window_size)
 
     def _train_if_due(self, model: ActiveModel | None) -> None:
-        seen = self.batch_sizes().agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
         now = self.clock()
-        if self.policy.warmup_due(model, self.session_id, seen):
+        if self.policy.warmup_due(model, self.session_id, self._seen):
             self._train(self.warmup_rows(), now)
-        elif self.policy.retrain_due(model, self.session_id, seen, now):
+        elif self.policy.retrain_due(model, self.session_id, self._seen, now):
             self._train(self.window_rows(), now)
 
     def _train(self, rows: DataFrame, now: float) -> None:
@@ -187,7 +194,7 @@ class ScoringJob:
 
     def start(self, raw: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Run over a stream of messages. Every start is a session of its own."""
-        self.session_id = new_session_id()
+        self._begin_session(new_session_id())
         parsed = parse_events(raw, schemas.TRANSACTION)
         return (
             parsed.writeStream.foreachBatch(self.process)
