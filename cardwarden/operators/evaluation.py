@@ -80,7 +80,7 @@ def class_report(confusion: DataFrame) -> DataFrame:
         a, b, accuracy, average("macro avg", False), average("weighted avg", True))))
 
 
-AUC_BUCKETS = 4096
+AUC_BUCKETS = 1 << 18
 
 
 def roc_auc(df: DataFrame, score: str = "fraud_score", keys: list[str] | None = None) -> DataFrame:

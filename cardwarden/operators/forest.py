@@ -7,11 +7,13 @@ building is distributed over trees, each from its own bounded sample.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from cardwarden.plans.quantiles import exact_quantiles
 from cardwarden.plans.selection import cut_keys, long_bucket
 from cardwarden.session import scratch_path
 
+# executors get the array code inside the task, so they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 AUTO_SAMPLES = 256
 NODES_PER_BROADCAST = 1_500_000
 ROWS_TO_SPREAD = 2_000_000
@@ -106,11 +111,10 @@ def draw_samples(df: DataFrame, key: str, features: list[str], n: int, trees: in
     source = df
     if orders == 1:
         hashed = df.withColumn("__pick", F.xxhash64(F.lit(seed), F.lit(0), F.col(key)))
-        quota = df.sparkSession.range(1).select(
-            F.lit(0).alias("__all"), F.lit(wanted).cast("bigint").alias("take"))
-        cut = cut_keys(hashed.withColumn("__all", F.lit(0)), ["__all"], "__pick",
-                       long_bucket(F.col("__pick")), quota).select("cut_key").scalar()
-        source = hashed.filter(F.col("__pick") <= cut).drop("__pick")
+        quota = df.sparkSession.createDataFrame([(0, wanted)], "all_rows int, take bigint")
+        cut = cut_keys(hashed.withColumn("all_rows", F.lit(0)), ["all_rows"], "__pick",
+                       long_bucket(F.col("__pick")), quota).first()["cut_key"]
+        source = hashed.filter(F.col("__pick") <= F.lit(cut)).drop("__pick")
     orders_of_row = F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))
     ordered = source.select(key, orders_of_row.alias("__order")).withColumn(
         "pick", F.xxhash64(F.lit(seed), F.col("__order"), F.col(key)))

@@ -276,6 +276,14 @@ qualify row_number() over (partition by user_id order by ts, event_id) = 1""",
     "null_profile": _with(TX, SPARSE) + _each("""select '{c}' as column_name,
   round(avg(case when "{c}" is null then 1 else 0 end) * 100, 6) as null_pct from sparse having null_pct > 0""",
         ["transaccionID", "amt_gap", "addr_sparse", "cat_gap", "isFraud"]),
+    "null_share_histogram": _with(TX, SPARSE) + """, shares as (
+  select avg(case when amt_gap is null then 100::double else 0::double end) as p from sparse
+  union all select avg(case when addr_sparse is null then 100::double else 0::double end) from sparse
+  union all select avg(case when cat_gap is null then 100::double else 0::double end) from sparse),
+span as (select min(p) as low, max(p) as high from shares where p > 0)
+select cast(least(floor((p - low) / ((high - low) / 10)), 9) as int) as bin, count(*) as n,
+  round(any_value(low) + cast(least(floor((p - low) / ((high - low) / 10)), 9) as int) * any_value((high - low) / 10), 6) as bin_start
+from shares, span where p > 0 group by 1, least(floor((p - low) / ((high - low) / 10)), 9)""",
     "sparse_column_count": _with(TX, SPARSE) + """select cast(
   (avg(case when amt_gap is null then 1 else 0 end) > 0.8)::int
   + (avg(case when addr_sparse is null then 1 else 0 end) > 0.8)::int
@@ -416,13 +424,38 @@ from tx t join quota q on t."isFraud" = q."isFraud\"""",
   value as promedio_de_gastos, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as fecha_nacimiento,
   case when event_id % 2 = 0 then 'mail@host.example' end as email from events
 qualify row_number() over (partition by user_id order by event_id desc) = 1""",
+    "stream_card_upsert": """select 'CRD-' || cast(user_id as varchar) || '-' || cast(event_id % 2 as varchar) as "tarjetaID",
+  cast(user_id as varchar) as "usuarioID", event_type as card4, cast(event_id as int) as card1 from events
+qualify row_number() over (partition by user_id, event_id % 2 order by event_id desc) = 1""",
     "stream_fraud_rate": _with(TX) + """select cast(date_trunc('day', fecha_hora_transaccion) as timestamp) as window_start,
   count(*) as n, cast(sum("isFraud") as bigint) as frauds, round(sum("isFraud") / count(*), 6) as rate from tx
 group by date_trunc('day', fecha_hora_transaccion)
 having date_trunc('day', min(fecha_hora_transaccion)) + INTERVAL 1 DAY <= (select max(fecha_hora_transaccion) from tx) - INTERVAL 1 HOUR""",
     "flagship": _with(TX, PROFILES) + f""", rated as (
 select *, {ENGINEERED}, {RELATIVE}, {RULE} as rule_score from tx left join profiles using ("usuarioID"))
-select "transaccionID", "usuarioID", fecha_hora_transaccion, "TransactionAmt", zscore_amt, velocity,
-  amt_distance, ratio_vs_user, zscore_vs_user, rule_score from rated where rule_score >= 0.1
+select "transaccionID", "usuarioID", fecha_hora_transaccion, round("TransactionAmt", 6) as "TransactionAmt",
+  round(zscore_amt, 6) as zscore_amt, round(velocity, 6) as velocity, round(amt_distance, 6) as amt_distance,
+  ratio_vs_user, zscore_vs_user, round(rule_score, 6) as rule_score from rated where rule_score >= 0.1
 order by rule_score desc, fecha_hora_transaccion desc, "transaccionID" limit 100""",
 }
+
+
+def _nudged(sql: str) -> str:
+    """Moves every ``round(x, 6)`` off exact halves, as the catalog does."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 1, start + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[start + len("round("):end - 1]
+        if inner.endswith(", 6"):
+            inner = f"({_nudged(inner[:-3])}) + 3.14159e-8, 6"
+        else:
+            inner = _nudged(inner)
+        out += [sql[at:start], "round(", inner, ")"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
+SQL = {name: _nudged(text) for name, text in SQL.items()}

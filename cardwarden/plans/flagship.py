@@ -22,5 +22,4 @@ def risk_ranking(tx: DataFrame, profiles: DataFrame, k: int = 100,
     suspicious = rated.filter(S.is_suspicious(F.col("rule_score"), threshold))
     return top_alerts(suspicious, k, "rule_score", "fecha_hora_transaccion").select(
         "transaccionID", "usuarioID", "fecha_hora_transaccion", "TransactionAmt", "zscore_amt",
-        "velocity", "amt_distance", F.round("ratio_vs_user", 6).alias("ratio_vs_user"),
-        F.round("zscore_vs_user", 6).alias("zscore_vs_user"), "rule_score")
+        "velocity", "amt_distance", "ratio_vs_user", "zscore_vs_user", "rule_score")

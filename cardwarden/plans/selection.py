@@ -24,6 +24,19 @@ def long_bucket(hash_key: Column, bits: int = BUCKET_BITS) -> Column:
     return F.shiftright(hash_key, 64 - bits).cast("int")
 
 
+FEW_ROWS = 10_000
+
+
+def few_rows(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
+    """The frame as local rows when it has at most ``limit`` of them, else unchanged.
+
+    Local rows have a known size, so joining them never shuffles the other side,
+    and the plan behind them runs once instead of once per use.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def cut_keys(df: DataFrame, groups: list[str], key: str, bucket: Column,
              quota: DataFrame) -> DataFrame:
     """Per group, the key whose rank equals the group's quota: ``(groups..., cut_key)``.
@@ -37,16 +50,16 @@ def cut_keys(df: DataFrame, groups: list[str], key: str, bucket: Column,
         keyed.groupBy(*groups, "bucket").agg(F.count("*").alias("rows"))
         .withColumn("upto", F.sum("rows").over(running))
     )
-    edges = (
-        counts.join(quota, groups)
+    edges = few_rows(
+        counts.join(few_rows(quota), groups)
         .filter((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("rows") < F.col("take")))
         .select(*groups, "bucket", (F.col("take") - F.col("upto") + F.col("rows")).alias("need"))
     )
     in_edge = keyed.join(edges, [*groups, "bucket"])
     ranked = in_edge.withColumn(
         "rank_in_edge", F.row_number().over(Window.partitionBy(*groups).orderBy(key)))
-    return ranked.filter(F.col("rank_in_edge") == F.col("need")).select(
-        *groups, F.col(key).alias("cut_key"))
+    return few_rows(ranked.filter(F.col("rank_in_edge") == F.col("need")).select(
+        *groups, F.col(key).alias("cut_key")))
 
 
 def last_rows(df: DataFrame, order: list[str], n: int, coarse: Column) -> DataFrame:

@@ -36,8 +36,11 @@ def append_first_wins(df: DataFrame, path: str, key: str, order: list[Column],
         out = not_yet_stored(out, stored, key, order)
     else:
         out = first_per_key(out, [key], order)
-    writer = out.write.mode("append")
-    (writer.partitionBy("day") if day is not None else writer).parquet(path)
+    if day is None:
+        out.write.mode("append").parquet(path)
+    else:
+        # few files per day, and a day with most of the rows is split over tasks
+        out.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def full_refresh(df: DataFrame, path: str) -> None:

@@ -55,6 +55,7 @@ class ScoringJob:
     threshold: float = C.THRESHOLD
     feed_format: str = "json"
     feed_options: dict[str, str] = field(default_factory=dict)
+    feeds: tuple[str, ...] = ("alerts", "scores")
     clock: Callable[[], float] = time.time
     session_id: str = field(default_factory=new_session_id)
 
@@ -114,9 +115,9 @@ class ScoringJob:
                               F.to_date("processed_at"))
             alerts = alert_projection(enriched)
             append_first_wins(alerts, self.path("fraud_alerts"), KEY, order, F.to_date("alerted_at"))
-            publish(alerts, self.feed_format, self.feed_options, self.path("alert_feed"), KEY)
-            publish(score_feed(enriched), self.feed_format, self.feed_options,
-                    self.path("score_feed"), KEY)
+            self._publish("alerts", alerts)
+            self._publish("scores", score_feed(enriched))
+            self._publish("enriched", enriched)
             # the counters ride on the one write that reads every scored row exactly once
             marked = scored.withColumns({
                 "fraud_score": S.stored_score(F.col("score")),
@@ -134,6 +135,14 @@ class ScoringJob:
         finally:
             scored.unpersist()
 
+    def _publish(self, feed: str, rows: DataFrame) -> None:
+        """Send one feed if it is switched on; a topic sink needs a ``topic.<feed>`` option."""
+        if feed in self.feeds:
+            options = {k: v for k, v in self.feed_options.items() if not k.startswith("topic.")}
+            if f"topic.{feed}" in self.feed_options:
+                options["topic"] = self.feed_options[f"topic.{feed}"]
+            publish(rows, self.feed_format, options, self.path(f"feed_{feed}"), KEY)
+
     def _log_batch(self, batch_id: int, counters: dict) -> None:
         log.info("batch %s %s", batch_id, counters)
         row = (self.session_id, batch_id, counters["rows"], counters["alerts"],

@@ -111,7 +111,7 @@ def test_lifecycle_from_no_model_to_alerts_and_a_cached_model(spark, tmp_path):
     assert versions(first.table("transactions_enriched")) == {(None, False): 80, (1, True): 40}
     assert first.table("fraud_alerts").count() == 40
     assert first.models.load().forest.n_samples == 50
-    feed = spark.read.json(first.path("alert_feed"))
+    feed = spark.read.json(first.path("feed_alerts"))
     assert feed.count() == 40 and "alerted_at" in feed.first()["value"]
 
     # a new session scores with the stored model but raises no alert until it has trained
