@@ -37,6 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 CATEGORIES = list(C.CATEGORY_RATES)
 NUMBERS = ["TransactionAmt", "C1", "C13", "V314"]
+RAW_COLUMNS = ["transaccionID", "usuarioID", "tarjetaID", "fecha_hora_transaccion",
+               "TransactionAmt", "TransactionDT", "isFraud"]
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
@@ -56,8 +58,15 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
         if isinstance(f.dataType, T.DoubleType) else f.name for f in df.schema.fields])
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return V.scored(V.transactions(spark, d))
+def _scored(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    tx = V.transactions(spark, d, "transaccionID", "usuarioID", "TransactionAmt",
+                        "fecha_hora_transaccion", "isFraud", *more)
+    return V.scored(tx)
+
+
+def _sparse(spark: SparkSession, d: str) -> DataFrame:
+    return V.sparse(V.transactions(
+        spark, d, "transaccionID", "TransactionAmt", "addr1", "ProductCD", "isFraud"))
 
 
 def _alerts(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +90,7 @@ def _enriched(spark: SparkSession, d: str, warmed_up: bool = True) -> DataFrame:
 def _flawed(spark: SparkSession, d: str) -> DataFrame:
     fields = ("transaccionID", "usuarioID", "TransactionAmt", "C1", "isFraud")
     schema = T.StructType([f for f in schemas.TRANSACTION.fields if f.name in fields])
-    return ev.parse_events(V.flawed_messages(V.transactions(spark, d)), schema)
+    return ev.parse_events(V.flawed_messages(V.transactions(spark, d, *fields)), schema)
 
 
 @query
@@ -99,7 +108,8 @@ def quarantine_split(spark, d):
 
 @query
 def raw_projection(spark, d):
-    return projections.raw_projection(V.transactions(spark, d), F.col("fecha_hora_transaccion"))
+    return projections.raw_projection(
+        V.transactions(spark, d, *RAW_COLUMNS), F.col("fecha_hora_transaccion"))
 
 
 @query
@@ -134,12 +144,13 @@ def alert_feed(spark, d):
 
 @query
 def keep_existing_columns(spark, d):
-    return cleaning.keep_existing(V.transactions(spark, d), ["TransactionAmt", "C1", "V999", "isFraud"])
+    tx = V.transactions(spark, d, "TransactionAmt", "C1", "isFraud")
+    return cleaning.keep_existing(tx, ["TransactionAmt", "C1", "V999", "isFraud"])
 
 
 @query
 def drop_identifier_columns(spark, d):
-    tx = V.transactions(spark, d).select("transaccionID", "TransactionAmt", "isFraud")
+    tx = V.transactions(spark, d, "transaccionID", "TransactionAmt", "isFraud")
     return cleaning.drop_identifiers(tx, ("isFraud", "TransactionID"))
 
 
@@ -155,7 +166,8 @@ def anomaly_flags(spark, d):
 
 @query
 def profile_join(spark, d):
-    joined = joins.with_profile(V.transactions(spark, d), V.profiles(spark, d), fill=True)
+    tx = V.transactions(spark, d, "transaccionID", "usuarioID", "TransactionAmt")
+    joined = joins.with_profile(tx, V.profiles(spark, d), fill=True)
     return rounded(joined.select("transaccionID", "usuarioID", "TransactionAmt",
                                  "promedio_de_gastos", "varianza_de_gastos"))
 
@@ -164,20 +176,20 @@ def profile_join(spark, d):
 def card_join(spark, d):
     order = [F.col("event_time"), F.col("seq")]
     joined = joins.with_latest_card(
-        V.transactions(spark, d).select("transaccionID", "usuarioID"), V.card_events(spark, d), order)
+        V.transactions(spark, d, "transaccionID", "usuarioID"), V.card_events(spark, d), order)
     return joined.select("transaccionID", "usuarioID", "card_tarjetaID", "card_card4", "card_card6")
 
 
 @query
 def card_left_join(spark, d):
     cards = V.card_events(spark, d)
-    tx = V.transactions(spark, d).select("transaccionID", "tarjetaID")
+    tx = V.transactions(spark, d, "transaccionID", "tarjetaID")
     return joins.with_card(tx, cards, ["card4", "card6"])
 
 
 @query
 def identity_left_join(spark, d):
-    tx = V.transactions(spark, d).select("transaccionID", "TransactionAmt", "isFraud")
+    tx = V.transactions(spark, d, "transaccionID", "TransactionAmt", "isFraud")
     return joins.with_identity(tx, V.identities(spark, d))
 
 
@@ -203,12 +215,13 @@ def category_rate_lookup(spark, d):
 @query
 def engineered_features(spark, d):
     return X.with_engineered(
-        V.transactions(spark, d).select("transaccionID", "TransactionAmt", "C1", "D1"))
+        V.transactions(spark, d, "transaccionID", "TransactionAmt", "C1", "D1"))
 
 
 @query
 def user_relative_features(spark, d):
-    joined = joins.with_profile(V.transactions(spark, d), V.profiles(spark, d))
+    tx = V.transactions(spark, d, "transaccionID", "usuarioID", "TransactionAmt")
+    joined = joins.with_profile(tx, V.profiles(spark, d))
     return rounded(X.with_user_relative(joined).select(
         "transaccionID", "ratio_vs_user", "zscore_vs_user"))
 
@@ -232,7 +245,7 @@ def feature_vector_length(spark, d):
 
 @query
 def rule_probability(spark, d):
-    tx = V.transactions(spark, d)
+    tx = V.transactions(spark, d, "transaccionID", "TransactionAmt", "V314")
     p = S.rule_probability(F.col("TransactionAmt"), F.col("V314"))
     return rounded(tx.select("transaccionID", p.alias("probability"),
                              S.is_suspicious(p, 0.1).alias("suspicious")))
@@ -242,7 +255,7 @@ def rule_probability(spark, d):
 def sigmoid_score(spark, d):
     """Anomaly scores between -1 and 0 out of the amount, around a fixed offset."""
     raw = -F.lit(1.0) * (F.col("TransactionAmt") / (F.col("TransactionAmt") + 60))
-    tx = V.transactions(spark, d).select("transaccionID", raw.alias("s"))
+    tx = V.transactions(spark, d, "transaccionID", "TransactionAmt").select("transaccionID", raw.alias("s"))
     offset = F.when(F.col("transaccionID").cast("bigint") % 9 == 0, F.lit(1e-12)).otherwise(
         F.lit(-0.55))
     return rounded(tx.select("transaccionID", S.anomaly_probability(F.col("s"), offset).alias("score")))
@@ -250,7 +263,7 @@ def sigmoid_score(spark, d):
 
 @query
 def amt_ratio_log(spark, d):
-    tx = V.transactions(spark, d).select("transaccionID", "TransactionAmt")
+    tx = V.transactions(spark, d, "transaccionID", "TransactionAmt")
     return rounded(X.with_amount_ratio(tx))
 
 
@@ -266,7 +279,7 @@ def safe_casts(spark, d):
 
 @query
 def clip_and_inflate(spark, d):
-    tx = V.transactions(spark, d)
+    tx = V.transactions(spark, d, "transaccionID", "TransactionAmt", "C1")
     return rounded(tx.select(
         "transaccionID", S.clip(F.col("TransactionAmt"), 5.0, 100.0).alias("clipped"),
         S.inflate_amount(F.col("TransactionAmt"), F.lit(8.0) * F.col("C1")).alias("inflated")))
@@ -275,7 +288,7 @@ def clip_and_inflate(spark, d):
 @query
 def hour_and_day_index(spark, d):
     seconds = F.col("TransactionDT") - 500000
-    return V.transactions(spark, d).select(
+    return V.transactions(spark, d, "transaccionID", "TransactionDT").select(
         "transaccionID", S.hour_of_day(seconds).alias("hour"), S.day_of_week(seconds).alias("day"))
 
 
@@ -321,7 +334,7 @@ def iso_timestamps(spark, d):
 
 @query
 def label_encode(spark, d):
-    tx = V.transactions(spark, d).select("transaccionID", "ProductCD", "card4", "DeviceInfo")
+    tx = V.transactions(spark, d, "transaccionID", "ProductCD", "card4", "DeviceInfo")
     return cleaning.label_encode(tx, ["ProductCD", "card4", "DeviceInfo"])
 
 
@@ -333,7 +346,7 @@ def fill_defaults(spark, d):
 
 @query
 def constant_fill(spark, d):
-    return cleaning.fill_constant(V.sparse(V.transactions(spark, d)))
+    return cleaning.fill_constant(_sparse(spark, d))
 
 
 # --- cleaning and profiling ------------------------------------------------------------
@@ -341,125 +354,126 @@ def constant_fill(spark, d):
 
 @query
 def fraud_rate(spark, d):
-    return rounded(profiling.fraud_rate(V.transactions(spark, d)))
+    return rounded(profiling.fraud_rate(V.transactions(spark, d, "isFraud")))
 
 
 @query
 def null_profile(spark, d):
-    return rounded(cleaning.null_profile(V.sparse(V.transactions(spark, d))))
+    return rounded(cleaning.null_profile(_sparse(spark, d)))
 
 
 @query
 def null_share_histogram(spark, d):
     """Ten bins over the null percentages of the columns that have gaps."""
-    shares = cleaning.null_profile(V.sparse(V.transactions(spark, d)))
+    shares = cleaning.null_profile(_sparse(spark, d))
     return rounded(profiling.histogram(shares, "null_pct", 10))
 
 
 @query
 def sparse_column_count(spark, d):
-    return cleaning.sparse_column_count(V.sparse(V.transactions(spark, d)))
+    return cleaning.sparse_column_count(_sparse(spark, d))
 
 
 @query
 def drop_sparse(spark, d):
-    return cleaning.drop_sparse(V.sparse(V.transactions(spark, d)))
+    return cleaning.drop_sparse(_sparse(spark, d))
 
 
 @query
 def median_impute(spark, d):
-    rows = V.sparse(V.transactions(spark, d)).select("transaccionID", "amt_gap", "addr_sparse")
+    rows = _sparse(spark, d).select("transaccionID", "amt_gap", "addr_sparse")
     return rounded(cleaning.impute_median(rows))
 
 
 @query
 def mode_impute(spark, d):
     return cleaning.impute_mode(
-        V.sparse(V.transactions(spark, d)).select("transaccionID", "cat_gap"), ["cat_gap"])
+        _sparse(spark, d).select("transaccionID", "cat_gap"), ["cat_gap"])
 
 
 @query
 def clean_dataset(spark, d):
-    return rounded(cleaning.clean(V.sparse(V.transactions(spark, d))))
+    return rounded(cleaning.clean(_sparse(spark, d)))
 
 
 @query
 def category_label_counts(spark, d):
     return profiling.category_label_counts(
-        V.transactions(spark, d), ["ProductCD", "card4", "card6"])
+        V.transactions(spark, d, "ProductCD", "card4", "card6", "isFraud"), ["ProductCD", "card4", "card6"])
 
 
 @query
 def label_counts(spark, d):
-    return profiling.label_counts(V.transactions(spark, d))
+    return profiling.label_counts(V.transactions(spark, d, "isFraud"))
 
 
 @query
 def correlation_matrix(spark, d):
-    return rounded(profiling.correlation_matrix(V.transactions(spark, d), [*NUMBERS, "C7", "isFraud"]))
+    columns = [*NUMBERS, "C7", "isFraud"]
+    return rounded(profiling.correlation_matrix(V.transactions(spark, d, *columns), columns))
 
 
 @query
 def describe_numeric(spark, d):
-    return rounded(profiling.describe_numeric(V.transactions(spark, d), NUMBERS))
+    return rounded(profiling.describe_numeric(V.transactions(spark, d, *NUMBERS), NUMBERS))
 
 
 @query
 def histogram_50(spark, d):
-    return rounded(profiling.histogram(V.transactions(spark, d), "TransactionAmt", 50))
+    return rounded(profiling.histogram(V.transactions(spark, d, "TransactionAmt"), "TransactionAmt", 50))
 
 
 @query
 def box_statistics(spark, d):
-    return rounded(profiling.box_statistics(V.transactions(spark, d), NUMBERS))
+    return rounded(profiling.box_statistics(V.transactions(spark, d, *NUMBERS), NUMBERS))
 
 
 @query
 def iqr_outliers(spark, d):
     return profiling.outliers(
-        V.transactions(spark, d).select("transaccionID", "TransactionAmt"), "TransactionAmt")
+        V.transactions(spark, d, "transaccionID", "TransactionAmt"), "TransactionAmt")
 
 
 @query
 def mean_spend_per_card(spark, d):
-    return rounded(profiling.mean_spend_per_card(V.transactions(spark, d)))
+    return rounded(profiling.mean_spend_per_card(V.transactions(spark, d, "card1", "TransactionAmt")))
 
 
 @query
 def mean_of_card_means(spark, d):
-    return rounded(profiling.mean_of_card_means(V.transactions(spark, d)))
+    return rounded(profiling.mean_of_card_means(V.transactions(spark, d, "card1", "TransactionAmt")))
 
 
 @query
 def fraud_by_hour(spark, d):
-    return rounded(profiling.fraud_by_hour(V.transactions(spark, d)))
+    return rounded(profiling.fraud_by_hour(V.transactions(spark, d, "TransactionDT", "isFraud")))
 
 
 @query
 def fraud_by_day(spark, d):
-    return profiling.fraud_by_day(V.transactions(spark, d))
+    return profiling.fraud_by_day(V.transactions(spark, d, "TransactionDT", "isFraud"))
 
 
 @query
 def top_cards(spark, d):
-    return profiling.top_values(V.transactions(spark, d), "card1", 10)
+    return profiling.top_values(V.transactions(spark, d, "card1"), "card1", 10)
 
 
 @query
 def top_card_rows(spark, d):
     return profiling.rows_of_top_values(
-        V.transactions(spark, d).select("transaccionID", "card1"), "card1", 10)
+        V.transactions(spark, d, "transaccionID", "card1"), "card1", 10)
 
 
 @query
 def spend_pivot(spark, d):
-    tx = V.transactions(spark, d).select("card1", "isFraud", "TransactionAmt")
+    tx = V.transactions(spark, d, "card1", "isFraud", "TransactionAmt")
     return rounded(profiling.spend_by_label(profiling.rows_of_top_values(tx, "card1", 10)))
 
 
 @query
 def numeric_profile(spark, d):
-    return rounded(profiling.numeric_profile(V.transactions(spark, d), NUMBERS))
+    return rounded(profiling.numeric_profile(V.transactions(spark, d, *NUMBERS), NUMBERS))
 
 
 @query
@@ -566,13 +580,14 @@ def batch_counters(spark, d):
 
 @query
 def fraud_rate_drift(spark, d):
-    return rounded(dashboards.fraud_rate_drift(V.transactions(spark, d)))
+    return rounded(dashboards.fraud_rate_drift(V.transactions(spark, d, "fecha_hora_transaccion", "isFraud")))
 
 
 @query
 def dimension_breakdown(spark, d):
     return rounded(dashboards.dimension_breakdown(
-        _scored(spark, d), ["card4", "DeviceType", "P_emaildomain"]))
+        _scored(spark, d, "card4", "DeviceType", "P_emaildomain"),
+        ["card4", "DeviceType", "P_emaildomain"]))
 
 
 @query
@@ -588,7 +603,7 @@ def handled_share(spark, d):
 def _suspect_records(spark, d):
     """Raw records as text with planted flaws: no amount, text amount, label 2."""
     n = F.col("transaccionID").cast("bigint")
-    tx = V.transactions(spark, d)
+    tx = V.transactions(spark, d, *RAW_COLUMNS)
     return tx.select(
         "transaccionID", "usuarioID", "tarjetaID",
         F.col("fecha_hora_transaccion").cast("string").alias("fecha_hora_transaccion"),
@@ -616,7 +631,7 @@ def unique_key_violations(spark, d):
 @query
 def retention_filter(spark, d):
     """Raw rows within 30 days of a date 20 days after the last event's month began."""
-    tx = V.transactions(spark, d).select("transaccionID", "fecha_hora_transaccion")
+    tx = V.transactions(spark, d, "transaccionID", "fecha_hora_transaccion")
     now = F.expr("TIMESTAMP_NTZ'2024-02-10 00:00:00'")
     return quality.within_retention(tx, "transactions_raw", now)
 
@@ -626,7 +641,7 @@ def retention_filter(spark, d):
 
 @query
 def split_test_rows(spark, d):
-    tx = V.transactions(spark, d).select("transaccionID", "isFraud")
+    tx = V.transactions(spark, d, "transaccionID", "isFraud")
     return stratified_split(tx, "transaccionID")
 
 
@@ -697,7 +712,8 @@ def stream_dimension_upsert(spark, d):
     e = V.event_stream(spark, d)
     message = F.struct(
         F.col("user_id").cast("string").alias("usuarioID"), F.col("event_type").alias("usuario"),
-        F.col("value").alias("promedio_de_gastos"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fecha_nacimiento"),
+        F.col("value").alias("promedio_de_gastos"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fecha_nacimiento"),
         F.when(F.col("event_id") % 2 == 0, F.lit("mail@host.example")).alias("email"))
     table = user_table(spark, os.path.join(folder, "users"))
     messages = e.select(F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
@@ -729,7 +745,8 @@ def stream_card_upsert(spark, d):
 def stream_fraud_rate(spark, d):
     """Fraud rate per day over the stream; windows are emitted once the watermark passes them."""
     folder = scratch_path(spark, "stream-rate")
-    tx = V.transactions_from(V.event_stream(spark, d), V.table(spark, d, "customer"))
+    tx = V.transactions_from(
+        V.event_stream(spark, d), None, ("fecha_hora_transaccion", "isFraud"))
     rates = dashboards.fraud_rate_stream(tx, "fecha_hora_transaccion")
     (rates.writeStream.format("parquet").option("path", os.path.join(folder, "rates"))
      .option("checkpointLocation", os.path.join(folder, "checkpoint"))
@@ -757,4 +774,6 @@ def lifecycle_run(spark, d):
 
 @query
 def flagship(spark, d):
-    return rounded(risk_ranking(V.transactions(spark, d), V.profiles(spark, d)))
+    tx = V.transactions(spark, d, "transaccionID", "usuarioID", "fecha_hora_transaccion",
+                        "TransactionAmt", "C1", "D1", "V314")
+    return rounded(risk_ranking(tx, V.profiles(spark, d)))

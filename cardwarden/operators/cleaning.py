@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from cardwarden import constants as C
 from cardwarden.plans.quantiles import exact_quantiles
-from cardwarden.plans.selection import sequence_numbers
+from cardwarden.plans.selection import few_rows, sequence_numbers
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -123,10 +123,10 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace text columns by their label codes."""
-    codes = label_codes(df, columns)
+    codes = few_rows(label_codes(df, columns))
     out = df
     for name in columns:
-        lookup = codes.filter(F.col("column_name") == name).select(
+        lookup = codes.filter(F.col("column_name") == F.lit(name)).select(
             F.col("value").alias("__value"), F.col("code").alias("__code"))
         key = F.coalesce(out[name].cast("string"), F.lit("nan"))
         out = out.join(lookup, key == lookup["__value"], "left").withColumn(

@@ -1,4 +1,4 @@
-"""Equi-joins of the data model. Broadcast or shuffle is decided by measured size (AQE), never forced."""
+"""Equi-joins of the data model. Broadcast or shuffle follows the measured size of a side."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardwarden import constants as C
-from cardwarden.plans.selection import first_per_key, latest_per_key
+from cardwarden.plans.selection import few_rows, first_per_key, latest_per_key
 
 
 def with_profile(tx: DataFrame, profiles: DataFrame, fill: bool = False) -> DataFrame:
@@ -59,14 +59,15 @@ def not_yet_stored(batch: DataFrame, stored: DataFrame, key: str, order: list[Co
 
 
 def rate_table(spark) -> DataFrame:
-    """The fixed category rates as rows (column_name, value, rate)."""
+    """The fixed category rates as rows (column_name, value, rate): 24 of them."""
     rows = [(c, v, r) for c, rates in C.CATEGORY_RATES.items() for v, r in rates.items()]
-    return spark.createDataFrame(rows, "column_name string, value string, rate double")
+    return F.broadcast(spark.createDataFrame(rows, "column_name string, value string, rate double"))
 
 
 def with_category_rates(tx: DataFrame, rates: DataFrame, columns: list[str],
                         default: float = C.DEFAULT_RATE) -> DataFrame:
     """Rate per category column from a table of rates; unseen and missing values get the default."""
+    rates = few_rows(rates)
     out = tx
     for name in columns:
         lookup = rates.filter(F.col("column_name") == name).select(

@@ -11,6 +11,7 @@ from cardwarden import constants as C
 from cardwarden.functions import scalars as S
 from cardwarden.operators.cleaning import fill_profile_defaults, value_counts
 from cardwarden.plans.quantiles import exact_quantiles
+from cardwarden.plans.selection import few_rows
 
 
 def fraud_rate(df: DataFrame) -> DataFrame:
@@ -160,8 +161,8 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def rows_of_top_values(df: DataFrame, column: str, k: int) -> DataFrame:
-    """Only the rows of the k most frequent values; k keys are a bounded semi-join side."""
-    return df.join(top_values(df, column, k).select(column), column, "left_semi")
+    """Only the rows of the k most frequent values, which are a bounded semi-join side."""
+    return df.join(few_rows(top_values(df, column, k).select(column)), column, "left_semi")
 
 
 def spend_by_label(df: DataFrame, key: str = "card1") -> DataFrame:

@@ -28,13 +28,15 @@ FEW_ROWS = 10_000
 
 
 def few_rows(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
-    """The frame as local rows when it has at most ``limit`` of them, else unchanged.
+    """The frame as broadcast local rows when it has at most ``limit`` of them, else unchanged.
 
-    Local rows have a known size, so joining them never shuffles the other side,
-    and the plan behind them runs once instead of once per use.
+    The bound is checked on the rows themselves. Joining the result never shuffles the
+    other side, and the plan behind it runs once instead of once per use.
     """
-    rows = df.limit(limit + 1).collect()
-    return df if len(rows) > limit else df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def cut_keys(df: DataFrame, groups: list[str], key: str, bucket: Column,

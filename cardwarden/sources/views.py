@@ -49,18 +49,29 @@ case when event_id % 29 = 0 then 1 else 0 end isFraud
 """.strip().split("\n")
 
 
-def transactions_from(events: DataFrame, customer: DataFrame) -> DataFrame:
-    """One transaction per event; works on a static or a streaming ``events``."""
-    owner = customer.selectExpr("c_custkey as user_id", "c_nationkey", "c_mktsegment")
+OWNER_COLUMNS = {"addr1", "addr2", "DeviceType"}
+
+
+def transactions_from(events: DataFrame, customer: DataFrame | None,
+                      columns: tuple[str, ...] = ()) -> DataFrame:
+    """One transaction per event; works on a static or a streaming ``events``.
+
+    Name the columns a query needs: without an owner column the customer join is left out.
+    """
     timed = events.selectExpr(
         "event_id", "ts", "user_id", "event_type", "value",
         "cast(get_json_object(props, '$.k') as int) as k",
         "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) as seconds")
-    return timed.join(owner, "user_id", "left").selectExpr(*TRANSACTION_COLUMNS)
+    if not columns or OWNER_COLUMNS & set(columns):
+        owner = customer.selectExpr("c_custkey as user_id", "c_nationkey", "c_mktsegment")
+        timed = timed.join(owner, "user_id", "left")
+    chosen = [c for c in TRANSACTION_COLUMNS if not columns or c.rsplit(" ", 1)[1] in columns]
+    return timed.selectExpr(*chosen)
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions_from(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"))
+def transactions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return transactions_from(
+        table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"), columns)
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +126,10 @@ def scored(tx: DataFrame) -> DataFrame:
     """Transactions under a deterministic stand-in score."""
     raw = F.lit(1.0) / (F.lit(1.0) + F.exp(
         F.lit(-5.0) * (F.col("TransactionAmt") - F.lit(C.AMT_MEAN)) / F.lit(C.AMT_STD)))
+    kept = ["transaccionID", "usuarioID", "tarjetaID", "ProductCD", "card4", "DeviceType",
+            "P_emaildomain", "TransactionAmt"]
     return tx.select(
-        "transaccionID", "usuarioID", "tarjetaID", "ProductCD", "card4", "DeviceType",
-        "P_emaildomain", "TransactionAmt",
+        *[c for c in kept if c in tx.columns],
         F.col("fecha_hora_transaccion").alias("processed_at"), "isFraud",
         F.round(raw, 4).alias("fraud_score"),
         (F.col("transaccionID").cast("bigint") >= 500).alias("is_warmed_up"),
