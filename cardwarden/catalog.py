@@ -51,11 +51,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
 ROUNDING_NUDGE = 3.14159e-8
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded for comparison with another engine's summation order."""
+def rounded(df: DataFrame, places: int = 6, columns: list[str] | None = None) -> DataFrame:
+    """Doubles (or the named columns) rounded, as engines differ in the order of summation."""
     return df.selectExpr(*[
         f"round({f.name} + {ROUNDING_NUDGE}D, {places}) as {f.name}"
-        if isinstance(f.dataType, T.DoubleType) else f.name for f in df.schema.fields])
+        if isinstance(f.dataType, T.DoubleType) and (columns is None or f.name in columns)
+        else f.name for f in df.schema.fields])
 
 
 def _scored(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -233,7 +234,7 @@ def _model_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def feature_vector(spark, d):
-    return rounded(_model_rows(spark, d))
+    return rounded(_model_rows(spark, d), columns=C.BEHAVIOUR_FEATURES)
 
 
 @query

@@ -46,14 +46,16 @@ def with_identity(tx: DataFrame, identity: DataFrame, key: str = "transaccionID"
     return tx.join(identity, key, "left")
 
 
-def not_yet_stored(batch: DataFrame, stored: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def not_yet_stored(batch: DataFrame, stored: DataFrame, key: str,
+                   order: list[Column] | None) -> DataFrame:
     """First row per key of a batch, without the keys a table already holds.
 
     The stored side is first reduced to the batch's own keys, so the stored table
-    is scanned, not shuffled, when the batch is small.
+    is scanned, not shuffled, when the batch is small. Without an order the batch is
+    taken to hold each key once.
     """
-    first = first_per_key(batch, [key], order)
-    keys = batch.select(key).distinct()
+    first = batch if order is None else first_per_key(batch, [key], order)
+    keys = batch.select(key) if order is None else batch.select(key).distinct()
     hits = stored.select(key).join(keys, key, "left_semi")
     return first.join(hits, key, "left_anti")
 

@@ -21,11 +21,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return spark.createDataFrame([], schema) if schema is not None else None
 
 
-def append_first_wins(df: DataFrame, path: str, key: str, order: list[Column],
+def append_first_wins(df: DataFrame, path: str, key: str, order: list[Column] | None = None,
                       day: Column | None = None) -> None:
     """Append the rows whose key the table does not hold yet; the first row of a batch wins.
 
-    A replayed micro-batch finds its own rows and adds nothing. ``day`` partitions
+    Without an order the batch is taken to hold each key once already. A replayed micro-batch finds its own rows and adds nothing. ``day`` partitions
     the table for retention.
     """
     spark = df.sparkSession
@@ -34,7 +34,7 @@ def append_first_wins(df: DataFrame, path: str, key: str, order: list[Column],
         # the key keeps its written type: only that column is read
         stored = spark.read.schema(T.StructType([df.schema[key]])).parquet(path)
         out = not_yet_stored(out, stored, key, order)
-    else:
+    elif order is not None:
         out = first_per_key(out, [key], order)
     if day is None:
         out.write.mode("append").parquet(path)

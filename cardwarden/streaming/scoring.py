@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -62,6 +62,7 @@ class ScoringJob:
     def __post_init__(self):
         S.is_suspicious(F.lit(0.0), self.threshold)
         self.models = ModelStore(self.spark, self.path("model"))
+        self._scorer: tuple[int, Column] | None = None
         self._begin_session(self.session_id)
 
     def _begin_session(self, session_id: str) -> None:
@@ -75,14 +76,15 @@ class ScoringJob:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch of parsed records (with the corrupt-record column)."""
         staged = with_arrival(batch).persist()
+        rows = first_per_key(accepted(staged, KEY), [KEY], [F.col("arrival")]).persist()
         try:
             self._quarantine(staged)
-            rows = first_per_key(accepted(staged, KEY), [KEY], [F.col("arrival")])
             self._store_raw(rows)
             model = self.models.load()
             self._score_and_store(rows, model, batch_id)
             self._train_if_due(model)
         finally:
+            rows.unpersist()
             staged.unpersist()
 
     def _quarantine(self, staged: DataFrame) -> None:
@@ -90,7 +92,7 @@ class ScoringJob:
 
     def _store_raw(self, rows: DataFrame) -> None:
         append_first_wins(
-            raw_projection(rows), self.path("transactions_raw"), KEY, [F.col(KEY)],
+            raw_projection(rows), self.path("transactions_raw"), KEY, None,
             F.to_date(F.col("fecha_hora_transaccion").try_cast("timestamp_ntz")))
 
     def _score_and_store(self, rows: DataFrame, model: ActiveModel | None, batch_id: int) -> None:
@@ -103,18 +105,17 @@ class ScoringJob:
         if model is not None:
             offset = F.lit(model.forest.offset)
             score = F.coalesce(
-                S.anomaly_probability(anomaly_score(model.forest), offset), F.lit(-1.0))
+                S.anomaly_probability(self._score_column(model), offset), F.lit(-1.0))
         scored = features.withColumn("score", score).persist()
         try:
             warmed_up = model is not None and model.warmed_up(self.session_id)
             enriched = enriched_projection(
                 scored.select(KEY, "tx.*", "score"), warmed_up, self.threshold
             ).withColumn("model_version", F.lit(None if model is None else model.version).cast("bigint"))
-            order = [F.col(KEY)]
-            append_first_wins(enriched, self.path("transactions_enriched"), KEY, order,
+            append_first_wins(enriched, self.path("transactions_enriched"), KEY, None,
                               F.to_date("processed_at"))
             alerts = alert_projection(enriched)
-            append_first_wins(alerts, self.path("fraud_alerts"), KEY, order, F.to_date("alerted_at"))
+            append_first_wins(alerts, self.path("fraud_alerts"), KEY, None, F.to_date("alerted_at"))
             self._publish("alerts", alerts)
             self._publish("scores", score_feed(enriched))
             self._publish("enriched", enriched)
@@ -135,6 +136,12 @@ class ScoringJob:
         finally:
             scored.unpersist()
 
+    def _score_column(self, model: ActiveModel) -> Column:
+        """The score expression of a model; its nodes are shipped once per version, not per batch."""
+        if self._scorer is None or self._scorer[0] != model.version:
+            self._scorer = (model.version, anomaly_score(model.forest))
+        return self._scorer[1]
+
     def _publish(self, feed: str, rows: DataFrame) -> None:
         """Send one feed if it is switched on; a topic sink needs a ``topic.<feed>`` option."""
         if feed in self.feeds:

@@ -11,7 +11,10 @@ from cardwarden.operators.evaluation import (
 )
 from cardwarden.operators.model_selection import stratified_split
 from cardwarden.plans.quantiles import exact_quantiles
-from cardwarden.plans.selection import first_rows, last_rows, sequence_numbers
+from cardwarden.plans.selection import (
+    cut_keys, few_rows, first_rows, last_rows, latest_per_key, long_bucket, recent_per_key,
+    sequence_numbers,
+)
 
 PROBS = [0.0, 0.035, 0.25, 0.5, 0.75, 0.999, 1.0]
 
@@ -109,3 +112,31 @@ def test_auc_against_all_pairs(spark, keys):
     pairs = (pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()
     got = roc_auc(df, keys=keys).first()["auc_roc"]
     assert abs(got - pairs / (len(pos) * len(neg))) < 1e-12
+
+
+def test_few_rows_checks_its_bound(spark):
+    df = spark.range(6)
+    assert few_rows(df, 5) is df
+    assert sorted(r["id"] for r in few_rows(df, 6).collect()) == list(range(6))
+
+
+def test_cut_keys_per_group_with_a_hot_group(spark):
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")).alias("g"),
+        F.xxhash64("id").alias("h"))
+    quota = df.groupBy("g").agg(F.ceil(F.count("*") / 3).alias("take"))
+    cuts = {r["g"]: r["cut_key"] for r in cut_keys(df, ["g"], "h", long_bucket(F.col("h")), quota).collect()}
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r["g"], []).append(r["h"])
+    assert set(cuts) == set(rows)
+    assert all(sum(h <= cuts[g] for h in hs) == -(-len(hs) // 3) for g, hs in rows.items())
+
+
+def test_latest_and_recent_of_a_hot_key(spark):
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
+    latest = {r["k"]: r["t"] for r in latest_per_key(df, ["k"], [F.col("t")]).collect()}
+    assert latest[0] == 5997 and len(latest) == 4001
+    recent = recent_per_key(df, ["k"], [F.col("t")], 4).filter("k = 0").orderBy("recency").collect()
+    assert [r["t"] for r in recent] == [5997, 5994, 5991, 5988]
