@@ -99,7 +99,7 @@ FIELD_TYPES = {
     "user_profiles": {
         "usuario_x": "double", "usuario_y": "double", "addr1": "double", "addr2": "double",
         "promedio_de_gastos": "double", "varianza_de_gastos": "double",
-        "promedio_gastos_por_dia": "double",
+        "promedio_gastos_por_dia": "double", "promedio_de_gastos_por_dia": "double",
     },
     "cards": {"card1": "int"},
     "transactions_raw": {
