@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwarden.llm import decontamination, packing, quality, simhash
+from cardwarden.llm import (
+    decontamination, language, packing, preferences, quality, secrets, sharding, simhash, topk, warc,
+)
 from cardwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +79,98 @@ def op9_packing(spark, d):
 @query
 def op10_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op2_warc(spark, d):
+    archives = warc.archive_pages(table(spark, d, "pages"))
+    records = warc.read_records(warc.locate_records(archives), with_payload=False)
+    return records.select(
+        F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+SQL["op2_warc"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+s as (select page_id, cast(strlen(body) as bigint) as n, sha1(body) as digest from p),
+o as (select *, max(page_id) over (partition by digest, n) as original from s)
+select page_id, n as payload_bytes, digest as payload_digest,
+       case when n >= 1000 and original <> page_id then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and original <> page_id then original end as refers_to
+from o
+"""
+
+
+@query
+def op3_secrets(spark, d):
+    found = secrets.scan(table(spark, d, "documents"))
+    return found.select("doc_id", "ordinal", "start", "length", "kind", "value_sha256", "probability", "is_secret")
+
+
+@query
+def op4_topk(spark, d):
+    vectors = topk.scaled(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("id") % 100 == 0, 10)
+
+
+SQL["op4_topk"] = """
+with v as (
+  select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as c
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len([1 for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select q.vec_id as query_id, v.vec_id,
+         cast(coalesce(list_sum([q.c[i] * v.c[i] for i in range(1, len(q.c) + 1)]), 0) as bigint) as score
+  from v q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query
+def op5_language(spark, d):
+    model = language.fit_text_model(table(spark, d, "documents"))
+    return language.identify_languages(table(spark, d, "pages"), model)
+
+
+@query
+def op6_preferences(spark, d):
+    pairs = preferences.format_preferences(preferences.reply_swaps(table(spark, d, "conversations")))
+    marks = lambda c: F.array_join(F.transform(
+        c, lambda s: F.concat(F.length(s["text"]).cast("string"), F.when(s["train"], "+").otherwise("-"))), ",")
+    return pairs.select(
+        "conv_id", F.col("prompt_turns").cast("bigint").alias("prompt_turns"), "prompt", "chosen_text",
+        marks("chosen_segments").alias("chosen_mask"), "rejected_text",
+        marks("rejected_segments").alias("rejected_mask"))
+
+
+SQL["op6_preferences"] = """
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+c as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as own
+      from t group by conv_id),
+l as (select conv_id, own,
+        list_max([i for i in range(1, len(own) + 1) if own[i].role = 'assistant']) as place from c),
+b as (select l.*, o.own[o.place] as borrowed from l left join l o on o.conv_id = xor(l.conv_id, 1)),
+r as (select conv_id, own, case when place is null then own
+        when borrowed is null then own[1:place - 1]
+        else own[1:place - 1] || [borrowed] || own[place + 1:] end as other from b),
+p as (select *, coalesce(
+        list_min([i for i in range(1, least(len(own), len(other)) + 1) if own[i] <> other[i]]) - 1,
+        least(len(own), len(other))) as n from r),
+x as (select conv_id, n, own[1:n] as pre, own[n + 1:] as cho, other[n + 1:] as rej from p)
+select conv_id, cast(n as bigint) as prompt_turns,
+  coalesce(list_aggregate(['<|im_start|>' || s.role || chr(10) || s.text || '<|im_end|>' || chr(10) for s in pre], 'string_agg', ''), '') as prompt,
+  coalesce(list_aggregate(['<|im_start|>' || s.role || chr(10) || s.text || '<|im_end|>' || chr(10) for s in cho], 'string_agg', ''), '') as chosen_text,
+  coalesce(list_aggregate([(length(s.role) + 13) || '-,' || (length(s.text) + 11) || case when s.role = 'assistant' then '+' else '-' end for s in cho], 'string_agg', ','), '') as chosen_mask,
+  coalesce(list_aggregate(['<|im_start|>' || s.role || chr(10) || s.text || '<|im_end|>' || chr(10) for s in rej], 'string_agg', ''), '') as rejected_text,
+  coalesce(list_aggregate([(length(s.role) + 13) || '-,' || (length(s.text) + 11) || case when s.role = 'assistant' then '+' else '-' end for s in rej], 'string_agg', ','), '') as rejected_mask
+from x
+"""
+
+
+@query
+def op8_sharding(spark, d):
+    return sharding.shard_documents(table(spark, d, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
