@@ -44,13 +44,12 @@ def trigrams(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     gaps in a row tells nothing and is left out.
     """
     data, starts = joined(texts)
-    letter = _LETTER[data].astype(np.uint32)
-    if len(letter) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # a gap before the first text; the line feeds after the others are theirs
+    letter = np.concatenate([[0], _LETTER[data]]).astype(np.uint32)
     a, b, c = letter[:-2], letter[1:-1], letter[2:]
     told = ((a > 0) | (b > 0)) & ((b > 0) | (c > 0))
-    # the line feed after a text is a gap of it and of the next one
-    owner = np.searchsorted(starts, np.flatnonzero(told) + 1, side="right") - 1
+    told[starts[1:] - 1] = False  # its middle is the gap between two texts
+    owner = np.searchsorted(starts, np.flatnonzero(told), side="right") - 1
     code = (a << 16 | b << 8 | c)[told] * np.uint32(0x9E3779B1)
     return owner, (code >> np.uint32(32 - bits)).astype(np.int64)
 
