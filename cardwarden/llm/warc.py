@@ -33,8 +33,9 @@ from cardwarden.session import scratch_path
 REVISIT_FROM = 1000
 #: A task begins a new archive after so many bytes of records.
 ARCHIVE_BYTES = 256 << 20
-#: Records fetched by one range read.
+#: Records fetched by one range read, and by one task.
 RANGE_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
 
 _DATA, _INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 
@@ -244,7 +245,8 @@ def locate_records(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataF
 def read_records(places: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records (``RECORDS``) at ``(archive, offset, lengths)``, each range fetched once.
 
-    Rows may come from ``locate_records`` or name single records.
+    Rows may come from ``locate_records`` or name single records. The ranges are dealt out by
+    what they fetch, which the size of the rows that name them does not show.
     """
     schema = RECORDS if with_payload else T.StructType(RECORDS.fields[:-1])
 
@@ -264,8 +266,12 @@ def read_records(places: DataFrame, with_payload: bool = True) -> DataFrame:
                                   pa.binary() if f.name == "payload" else pa.string())
                          for c, f in zip(columns, schema.fields)], names=schema.names)
 
-    ranges = places.select("archive", "offset", "lengths")
-    return ranges.repartition(F.xxhash64("archive", "offset")).mapInArrow(stage, schema)
+    ranges = written(places.select("archive", "offset", "lengths"), "ranges")
+    size = ranges.agg(F.count("*").alias("n"), F.sum(F.aggregate(
+        "lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("bytes")).first()
+    cores = places.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(size["n"], max(cores, -(-(size["bytes"] or 0) // TASK_BYTES))))
+    return ranges.repartition(tasks, F.xxhash64("archive", "offset")).mapInArrow(stage, schema)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, key: str = "page_id", uri: str = "url",
