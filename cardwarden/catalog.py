@@ -19,13 +19,13 @@ from cardwarden.operators.forest import (
     fit_forest, grow_forest, spread, stored_nodes, with_scores,
 )
 from cardwarden.operators.model_selection import (
-    compare_models, feature_importance, grid_search, stratified_split, written,
+    compare_models, feature_importance, grid_search, stratified_split,
 )
 from cardwarden.plans.flagship import risk_ranking
 from cardwarden.plans.selection import (
     first_rows, last_rows, latest_per_key, recent_per_key,
 )
-from cardwarden.session import scratch_path
+from cardwarden.session import scratch_path, written
 from cardwarden.sinks.feeds import as_feed
 from cardwarden.sources import events as ev
 from cardwarden.sources import views as V
@@ -657,7 +657,7 @@ def forest_nodes(spark, d):
 def forest_scores(spark, d):
     rows = written(_model_rows(spark, d), "training-rows")
     forest = fit_forest(rows, "transaccionID", schemas.FEATURE_NAMES)
-    return with_scores(spread(rows, forest.n_samples), forest).select(
+    return with_scores(spread(rows), forest).select(
         "transaccionID", "anomaly_score", "decision", "prediction", "score")
 
 
@@ -665,7 +665,7 @@ def forest_scores(spark, d):
 def forest_alerts(spark, d):
     rows = written(_model_rows(spark, d), "training-rows")
     forest = fit_forest(rows, "transaccionID", schemas.FEATURE_NAMES)
-    scored = with_scores(spread(rows, forest.n_samples), forest).select("transaccionID", "score")
+    scored = with_scores(spread(rows), forest).select("transaccionID", "score")
     tx = V.transactions(spark, d).join(scored, "transaccionID")
     enriched = projections.enriched_projection(tx, True, now=F.col("fecha_hora_transaccion"))
     return projections.alert_projection(enriched, F.col("processed_at"))

@@ -15,9 +15,9 @@ from cardwarden.operators import cleaning, evaluation, joins, profiling
 from cardwarden.operators.forest import ForestParams, fit_forest
 from cardwarden.operators.model_selection import (
     MODELS, compare_models, evaluate_forest, feature_importance, grid_search, model_frame,
-    stratified_split, train_contamination, written,
+    stratified_split, train_contamination,
 )
-from cardwarden.session import build_session
+from cardwarden.session import build_session, scratch_folder, written
 from cardwarden.sinks import reports
 from cardwarden.sources.events import kafka_options, read_events
 from cardwarden.sources.files import read_csv

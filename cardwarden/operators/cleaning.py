@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from cardwarden import constants as C
 from cardwarden.plans.quantiles import exact_quantiles
-from cardwarden.plans.selection import few_rows, sequence_numbers
+from cardwarden.plans.selection import sequence_numbers
+from cardwarden.session import written
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -45,17 +46,26 @@ def sparse_column_count(df: DataFrame, limit_pct: float = 80.0) -> DataFrame:
     return null_shares(df).agg(F.count_if(F.col("null_pct") > limit_pct).alias("sparse_columns"))
 
 
-def drop_sparse(df: DataFrame, limit: float = 0.8) -> DataFrame:
+def gap_counts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
+    """Rows, and nulls per column, in one pass."""
+    row = df.agg(F.count("*").alias("__rows"),
+                 *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    return row["__rows"], {c: row[c] for c in columns}
+
+
+def drop_sparse(df: DataFrame, limit: float = 0.8,
+                gaps: tuple[int, dict[str, int]] | None = None) -> DataFrame:
     """Drop the columns whose share of nulls is strictly above the limit."""
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in df.columns]).first()
-    return df.drop(*[c for c in df.columns if shares[c] is not None and shares[c] > limit])
+    n, nulls = gaps or gap_counts(df, df.columns)
+    return df.drop(*[c for c in df.columns if n and nulls[c] / n > limit])
 
 
-def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def impute_median(df: DataFrame, columns: list[str] | None = None,
+                  gaps: tuple[int, dict[str, int]] | None = None) -> DataFrame:
     """Fill numeric gaps with the exact median. An integer column with a gap becomes double."""
     names = columns or numeric_columns(df)
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
-    names = [c for c in names if gaps[c] > 0]
+    nulls = (gaps or gap_counts(df, names))[1]
+    names = [c for c in names if nulls[c] > 0]
     medians = exact_quantiles(df, {c: [0.5] for c in names})
     return df.withColumns({
         c: F.coalesce(F.col(c).cast("double"), F.lit(m[0])) for c, m in medians.items()
@@ -76,9 +86,10 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
 
 
-def impute_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def impute_mode(df: DataFrame, columns: list[str] | None = None,
+                gaps: tuple[int, dict[str, int]] | None = None) -> DataFrame:
     """Fill text gaps with the most frequent value; one scalar per column is read."""
-    names = columns or text_columns(df)
+    names = [c for c in columns or text_columns(df) if gaps is None or gaps[1][c] > 0]
     if not names:
         return df
     fill = {r["column_name"]: r["mode"] for r in modes(df, names).collect()}
@@ -86,8 +97,13 @@ def impute_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def clean(df: DataFrame, limit: float = 0.8) -> DataFrame:
-    """Drop sparse columns, then fill numbers with the median and texts with the mode."""
-    return impute_mode(impute_median(drop_sparse(df, limit)))
+    """Drop sparse columns, then fill numbers with the median and texts with the mode.
+
+    Nulls are counted once for all three steps; only columns with gaps are read again.
+    """
+    gaps = gap_counts(df, df.columns)
+    kept = drop_sparse(df, limit, gaps)
+    return impute_mode(impute_median(kept, gaps=gaps), text_columns(kept), gaps)
 
 
 def fill_profile_defaults(df: DataFrame) -> DataFrame:
@@ -99,22 +115,14 @@ def fill_constant(df: DataFrame, value: float = -999) -> DataFrame:
     return df.fillna(value, numeric_columns(df)).fillna(str(int(value)), text_columns(df))
 
 
-SMALL_DICTIONARY = 1_000_000
-
-
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, value, code): the place of each text among the sorted distinct texts.
 
-    A missing value counts as the text ``nan``. The distinct values are numbered in
-    one task only while their measured number is small; beyond that they are
-    numbered in place over range partitions.
+    A missing value counts as the text ``nan``. The distinct values are numbered in place
+    over range partitions, so no task sorts a dictionary.
     """
     long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in columns])
     values = long.unpivot([], columns, "column_name", "value").distinct()
-    sizes = long.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    if sum(sizes) <= SMALL_DICTIONARY:
-        w = Window.partitionBy("column_name").orderBy("value")
-        return values.withColumn("code", F.row_number().over(w) - 1)
     numbered = sequence_numbers(values, ["column_name", "value"])
     first = numbered.groupBy("column_name").agg(F.min("sequence").alias("first"))
     return numbered.join(first, "column_name").select(
@@ -122,8 +130,10 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace text columns by their label codes."""
-    codes = few_rows(label_codes(df, columns))
+    """Replace text columns by their label codes; the dictionary is written once."""
+    if not columns:
+        return df
+    codes = written(label_codes(df, columns), "label-codes")
     out = df
     for name in columns:
         lookup = codes.filter(F.col("column_name") == F.lit(name)).select(

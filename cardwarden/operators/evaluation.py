@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardwarden import constants as C
+from cardwarden.session import written
 
 SINGLE_CLASS = "only one class in the data"
 SMALL_SAMPLE = "fewer rows than recommended"
@@ -47,8 +48,12 @@ def classification_metrics(confusion: DataFrame) -> DataFrame:
 
 
 def class_report(confusion: DataFrame) -> DataFrame:
-    """Per class and averaged precision, recall, F1 and support out of one confusion row."""
+    """Per class and averaged precision, recall, F1 and support out of one confusion row.
+
+    A single class has no report: no rows.
+    """
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    confusion = confusion.filter((tp + fn > 0) & (tn + fp > 0))
 
     def entry(name, hit, false_hit, missed):
         return F.struct(
@@ -80,41 +85,47 @@ def class_report(confusion: DataFrame) -> DataFrame:
         a, b, accuracy, average("macro avg", False), average("weighted avg", True))))
 
 
-AUC_BUCKETS = 1 << 18
+def score_counts(df: DataFrame, score: str = "fraud_score", keys: list[str] | None = None,
+                 folder: str | None = None) -> DataFrame:
+    """(keys, score, part, positives, negatives): labels per distinct score, written once.
+
+    The scores lie in range partitions, numbered by ``part``; however they are spread, the
+    partitions are of like size.
+    """
+    keys = keys or []
+    counts = df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col("isFraud") == 1).alias("positives"),
+        F.count_if(F.col("isFraud") == 0).alias("negatives"))
+    return written(counts.repartitionByRange(*keys, "score").withColumn(
+        "part", F.spark_partition_id()), "score-counts", folder)
+
 
+def confusion_at(counts: DataFrame, flagged: Column, keys: list[str] | None = None) -> DataFrame:
+    """tn, fp, fn, tp from counts per score and the condition under which a score is flagged."""
+    def rows(label, condition):
+        return F.coalesce(F.sum(F.when(condition, F.col(label))), F.lit(0)).cast("bigint")
+
+    return counts.groupBy(*(keys or [])).agg(
+        rows("negatives", ~flagged).alias("tn"), rows("negatives", flagged).alias("fp"),
+        rows("positives", ~flagged).alias("fn"), rows("positives", flagged).alias("tp"))
 
-def roc_auc(df: DataFrame, score: str = "fraud_score", keys: list[str] | None = None) -> DataFrame:
-    """Exact area under the ROC curve, ties at half weight; null for a single class.
 
-    Rows are combined per distinct score first. The running count of negatives is
-    split in two levels (score bucket, then inside the bucket), so no task orders
-    all distinct scores.
+def area_under_roc(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The exact area from ``score_counts``: negatives below a score count, ties by half.
+
+    The running count goes within each range partition, and then over the partitions' totals.
     """
     keys = keys or []
-    value = F.col(score).cast("double")
-    per_score = df.groupBy(*keys, value.alias("s")).agg(
-        F.count_if(F.col("isFraud") == 1).cast("double").alias("p"),
-        F.count_if(F.col("isFraud") == 0).cast("double").alias("q"))
-    spans = df.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    scaled = F.when(F.col("high") > F.col("low"),
-                    (F.col("s") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.lit(0.0))
-    bucketed = (
-        (per_score.join(spans, keys) if keys else per_score.withColumns({
-            "low": df.select(F.min(value)).scalar(), "high": df.select(F.max(value)).scalar()}))
-        .withColumn("bucket", F.floor(scaled * AUC_BUCKETS))
-    )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("s").rowsBetween(
-        Window.unboundedPreceding, -1)
-    local = (
-        bucketed.withColumn("below", F.coalesce(F.sum("q").over(inside), F.lit(0.0)))
-        .groupBy(*keys, "bucket").agg(
-            F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("area"),
-            F.sum("p").alias("p"), F.sum("q").alias("q"))
+    p, q = F.col("positives").cast("double"), F.col("negatives").cast("double")
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "part").orderBy("score").rowsBetween(*before)
+    parts = (
+        counts.withColumn("below", F.coalesce(F.sum(q).over(inside), F.lit(0.0)))
+        .groupBy(*keys, "part").agg(
+            F.sum(p * (F.col("below") + q / 2)).alias("area"), F.sum(p).alias("p"), F.sum(q).alias("q"))
     )
-    across = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    total = local.withColumn("before", F.coalesce(F.sum("q").over(across), F.lit(0.0))).groupBy(
-        *keys).agg(
+    across = Window.partitionBy(*keys).orderBy("part").rowsBetween(*before)
+    total = parts.withColumn("before", F.coalesce(F.sum("q").over(across), F.lit(0.0))).groupBy(*keys).agg(
         F.sum(F.col("area") + F.col("p") * F.col("before")).alias("area"),
         F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
@@ -122,6 +133,11 @@ def roc_auc(df: DataFrame, score: str = "fraud_score", keys: list[str] | None =
         both, F.col("area") / (F.col("positives") * F.col("negatives"))).alias("auc_roc"))
 
 
+def roc_auc(df: DataFrame, score: str = "fraud_score", keys: list[str] | None = None) -> DataFrame:
+    """Exact area under the ROC curve, ties at half weight; null for a single class."""
+    return area_under_roc(score_counts(df, score, keys), keys)
+
+
 def evaluation_summary(df: DataFrame, threshold: float = C.THRESHOLD,
                        min_rows: int = C.MIN_EVALUATION_ROWS,
                        score: str = "fraud_score") -> DataFrame:
@@ -143,9 +159,13 @@ def model_metrics(df: DataFrame, threshold: float = C.THRESHOLD,
                   model_version: str = C.MODEL_VERSION,
                   contamination: float = C.CONTAMINATION,
                   evaluated_at: Column | None = None, score: str = "fraud_score") -> DataFrame:
-    """The metrics row of one evaluation; no row when the area under the curve is undefined."""
-    measured = classification_metrics(confusion_counts(with_prediction(df, threshold, score)))
-    auc = roc_auc(df, score).select("auc_roc").scalar()
+    """The metrics row of one evaluation; no row when the area under the curve is undefined.
+
+    Area and confusion counts come from one aggregation of the rows.
+    """
+    counts = score_counts(df, score)
+    measured = classification_metrics(confusion_at(counts, F.col("score") >= F.lit(threshold)))
+    auc = area_under_roc(counts).select("auc_roc").scalar()
     now = F.current_timestamp().cast("timestamp_ntz") if evaluated_at is None else evaluated_at
     return measured.select(
         now.alias("evaluated_at"),

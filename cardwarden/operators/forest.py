@@ -14,22 +14,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardwarden import constants as C
 from cardwarden.functions import scalars as S
 from cardwarden.plans.quantiles import exact_quantiles
-from cardwarden.plans.selection import cut_keys, long_bucket
-from cardwarden.session import scratch_path
+from cardwarden.plans.selection import cut_keys, long_bucket, sequence_numbers
+from cardwarden.session import scratch_folder, scratch_path, written
 
 # executors get the array code inside the task, so they need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 AUTO_SAMPLES = 256
-NODES_PER_BROADCAST = 1_500_000
-ROWS_TO_SPREAD = 2_000_000
+#: Bound on trees x rows per tree. A forest has at most twice as many nodes, 40 bytes each.
+MAX_TREE_ROWS = 2_000_000
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree_id", T.IntegerType()), T.StructField("node_id", T.IntegerType()),
@@ -48,6 +48,16 @@ class ForestParams:
     contamination: float = C.CONTAMINATION
     seed: int = 42
 
+    def __post_init__(self):
+        if self.trees * self.rows_per_tree > MAX_TREE_ROWS:
+            raise ValueError(
+                f"trees x max_samples is {self.trees * self.rows_per_tree}, above {MAX_TREE_ROWS}: "
+                "the nodes of a forest are sent to every task")
+
+    @property
+    def rows_per_tree(self) -> int:
+        return AUTO_SAMPLES if self.max_samples == "auto" else int(self.max_samples)
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -101,9 +111,9 @@ def draw_samples(df: DataFrame, key: str, features: list[str], n: int, trees: in
 
     Rows are put in a random order by a keyed hash and cut into disjoint blocks of
     ``sample_size``, one per tree; when the rows do not reach for all trees, further
-    orders give further blocks. Either way about trees x sample_size keys are ranked
-    (the features join later), however large the table, and the draw does not depend
-    on layout. Keys must be unique.
+    orders give further blocks. Either way about trees x sample_size keys are numbered
+    (the features join later), over range partitions and however large the table, and
+    the draw does not depend on layout. Keys must be unique.
     """
     blocks = max(1, min(trees, n // sample_size))
     orders = math.ceil(trees / blocks)
@@ -118,8 +128,11 @@ def draw_samples(df: DataFrame, key: str, features: list[str], n: int, trees: in
     orders_of_row = F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))
     ordered = source.select(key, orders_of_row.alias("__order")).withColumn(
         "pick", F.xxhash64(F.lit(seed), F.col("__order"), F.col(key)))
-    place = F.row_number().over(Window.partitionBy("__order").orderBy("pick", key)) - 1
-    placed = ordered.withColumn("__place", place).filter(F.col("__place") < wanted)
+    # every order holds the same rows, so the place in it follows from the number over all
+    per_order = wanted if orders == 1 else n
+    placed = sequence_numbers(ordered, ["__order", "pick", key]).withColumn(
+        "__place", F.col("sequence") - F.col("__order") * F.lit(per_order)).filter(
+        F.col("__place") < wanted)
     block = F.floor(F.col("__place") / F.lit(sample_size))
     tree = (F.col("__order") * F.lit(blocks) + block).cast("int")
     assigned = placed.select(key, "pick", tree.alias("tree_id")).filter(F.col("tree_id") < trees)
@@ -215,8 +228,7 @@ def grow_forest(df: DataFrame, key: str, features: list[str],
     n, means, stds = scaling(df, features)
     if n == 0:
         raise ValueError("cannot fit a forest on no rows")
-    asked = AUTO_SAMPLES if params.max_samples == "auto" else int(params.max_samples)
-    sample_size = min(asked, n)
+    sample_size = min(params.rows_per_tree, n)
     samples = draw_samples(df, key, features, n, params.trees, sample_size, params.seed)
     build = _tree_builder(features, means, stds, params.seed, params.max_features)
     # growing is bound by processors, not bytes: a fixed width keeps trees from being coalesced
@@ -246,20 +258,22 @@ def spread_width(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, rows: int | None) -> DataFrame:
-    """Few rows (a known number) over all cores for scoring; many already fill many partitions."""
-    if rows is None or rows > ROWS_TO_SPREAD:
-        return df
-    return df.repartition(spread_width(df.sparkSession))
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the session's partitions, at least one per core, before scoring.
+
+    Walking hundreds of trees costs far more per row than moving its features, and files
+    say nothing about that cost.
+    """
+    conf = df.sparkSession.conf
+    return df.repartition(max(spread_width(df.sparkSession), int(conf.get("spark.sql.shuffle.partitions"))))
 
 
 def calibrated(forest: Forest, training: DataFrame, contamination: float) -> Forest:
     """The offset over all training scores, which are written once: quantiles read them twice."""
-    inputs = spread(training.select(*forest.features), forest.n_samples)
-    path = scratch_path(training.sparkSession, "training-scores")
-    inputs.select(anomaly_score(forest).alias("s")).write.mode("overwrite").parquet(path)
-    scores = training.sparkSession.read.parquet(path)
-    offset = exact_quantiles(scores, {"s": [contamination]})["s"][0]
+    with scratch_folder(training.sparkSession, "calibration") as folder:
+        inputs = spread(training.select(*forest.features))
+        scores = written(inputs.select(anomaly_score(forest).alias("s")), "scores", folder)
+        offset = exact_quantiles(scores, {"s": [contamination]})["s"][0]
     return Forest(forest.nodes, forest.features, forest.means, forest.stds, forest.n_samples,
                   forest.sample_size, forest.params, offset)
 
@@ -315,30 +329,18 @@ def path_sums(x: np.ndarray, packed: dict[str, np.ndarray], block: int = 256) ->
     return out
 
 
-def _tree_groups(forest: Forest, trees: int) -> list[tuple[int, int]]:
-    """Tree ranges whose nodes stay under the broadcast bound, from the sample size alone."""
-    per_tree = 2 * forest.sample_size
-    step = max(1, NODES_PER_BROADCAST // per_tree)
-    return [(a, min(a + step, trees)) for a in range(0, trees, step)]
-
-
 def anomaly_score(forest: Forest, trees: int | None = None) -> Column:
     """Score column, -1 (most anomalous) to 0, over the forest's feature columns.
 
-    The nodes of a group of trees are bounded by the parameters (trees x sample
-    size), not by the data. A forest above the bound is applied group by group and
-    the path lengths are added up. ``trees`` limits the score to the first trees.
+    The nodes are sent to the tasks once; their number is bounded by the parameters (see
+    ``MAX_TREE_ROWS``), not by the data. ``trees`` limits the score to the first trees.
     """
     spark = forest.nodes.sparkSession
     used = forest.params.trees if trees is None else trees
     mean, std = np.array(forest.means), np.array(forest.stds)
     inputs = [F.col(c).cast("double") for c in forest.features]
-    total = None
-    for first, last in _tree_groups(forest, used):
-        part = forest.nodes.filter((F.col("tree_id") >= first) & (F.col("tree_id") < last))
-        shared = spark.sparkContext.broadcast(_pack(part.toArrow().to_pandas()))
-        summed = _path_udf(shared, mean, std)(*inputs)
-        total = summed if total is None else total + summed
+    nodes = forest.nodes.filter(F.col("tree_id") < used).toArrow()
+    total = _path_udf(spark.sparkContext.broadcast(_pack(nodes.to_pandas())), mean, std)(*inputs)
     scale = float(average_path(forest.sample_size)) or 1.0
     return -F.pow(F.lit(2.0), -(total / F.lit(used)) / F.lit(scale))
 

@@ -15,11 +15,10 @@ from cardwarden.operators.forest import (
     Forest, ForestParams, anomaly_score, fit_forest, grow_forest, spread, stored_nodes,
     with_decision,
 )
-from cardwarden.functions.scalars import anomaly_flag
 from cardwarden.operators.profiling import contamination_of
 from cardwarden.plans.quantiles import exact_quantiles
 from cardwarden.plans.selection import cut_keys, hex_bucket
-from cardwarden.session import scratch_path
+from cardwarden.session import scratch_folder, scratch_path, written
 
 
 def stratum_quotas(df: DataFrame, label: str, test_share: float) -> DataFrame:
@@ -69,35 +68,34 @@ def model_frame(df: DataFrame, columns: list[str] | None, keep: list[str]) -> tu
     return frame.select(*keep, *[F.col(c).cast("double").alias(c) for c in features]), features
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared folder: fitting and scoring read it several times."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def train_contamination(train: DataFrame) -> float:
     return train.agg(contamination_of(F.avg("isFraud")).alias("c")).first()["c"]
 
 
+QUALITY = ("model string, n_features int, trees int, sample_size bigint, auc_roc double, f1 double, "
+           "precision double, recall double, tn bigint, fp bigint, fn bigint, tp bigint")
+
+
 def evaluate_forest(forest: Forest, test: DataFrame, name: str) -> DataFrame:
-    """AUC, F1 and confusion counts of one model on labelled rows.
+    """AUC, F1 and confusion counts of one model on labelled rows, as one row (``QUALITY``).
 
-    The scored rows are written once: three aggregates read them.
+    The rows are scored once; their counts per score give the area and the confusion.
     """
-    inputs = spread(test.select("isFraud", *forest.features), forest.n_samples)
-    scored = with_decision(
-        inputs.select("isFraud", anomaly_score(forest).alias("anomaly_score")), F.lit(forest.offset))
-    rows = written(scored.select(
-        "isFraud", (-F.col("decision")).alias("risk"),
-        anomaly_flag(F.col("prediction")).alias("predicted")), "model-scores")
-    measured = E.classification_metrics(E.confusion_counts(rows))
-    auc = E.roc_auc(rows, "risk").select("auc_roc").scalar()
-    return measured.select(
-        F.lit(name).alias("model"), F.lit(len(forest.features)).alias("n_features"),
-        F.lit(forest.params.trees).alias("trees"), F.lit(forest.sample_size).alias("sample_size"),
-        auc.alias("auc_roc"), "f1", "precision", "recall", "tn", "fp", "fn", "tp")
-
+    spark = test.sparkSession
+    inputs = spread(test.select("isFraud", *forest.features))
+    scored = inputs.select("isFraud", (F.lit(forest.offset) - anomaly_score(forest)).alias("risk"))
+    with scratch_folder(spark, "evaluation") as folder:
+        counts = E.score_counts(scored, "risk", folder=folder)
+        auc = E.area_under_roc(counts).first()["auc_roc"]
+        # an anomaly lies below the offset, so its risk is above zero
+        confusion = E.confusion_at(counts, F.col("score") > 0)
+        m = E.classification_metrics(confusion).first()
+    row = (name, len(forest.features), forest.params.trees, forest.sample_size, auc,
+           m["f1"], m["precision"], m["recall"], m["tn"], m["fp"], m["fn"], m["tp"])
+    return spark.createDataFrame([row], QUALITY)
+
+
+DERIVED = ("amt_ratio", "log_amt")
 
 # model name -> (feature list or all, trees, rows per tree, share of features)
 MODELS = {
@@ -110,19 +108,21 @@ MODELS = {
 
 def compare_models(df: DataFrame, key: str, ignore: list[str],
                    models: dict[str, tuple] | None = None) -> DataFrame:
-    """One result row per model: the same split, different features and forest sizes."""
-    split = written(stratified_split(df, key), "split")
-    results = None
-    for name, (columns, trees, samples, share) in (models or MODELS).items():
-        chosen = columns or [c for c in df.columns if c not in (key, "isFraud", *ignore)]
-        frame, features = model_frame(split, chosen, [key, "isFraud", "is_test"])
-        frame = written(frame, "model-frame")
-        train = frame.filter(~F.col("is_test"))
-        params = ForestParams(trees, samples, share, train_contamination(train))
-        forest = fit_forest(train, key, features, params)
-        row = evaluate_forest(forest, frame.filter("is_test"), name)
-        results = row if results is None else results.unionByName(row)
-    return results
+    """One result row per model: the same split and encoded rows, different columns and sizes."""
+    spark, rows = df.sparkSession, []
+    with scratch_folder(spark, "comparison") as folder:
+        chosen = [c for c in df.columns if c not in (key, "isFraud", *ignore)]
+        frame, encoded = model_frame(stratified_split(df, key), chosen, [key, "isFraud", "is_test"])
+        frame = written(frame, "frame", folder)
+        train, test = frame.filter(~F.col("is_test")), frame.filter("is_test")
+        contamination = train_contamination(train)
+        for name, (columns, trees, samples, share) in (models or MODELS).items():
+            features = [c for c in encoded if columns is None or c in columns
+                        or c in DERIVED and "TransactionAmt" in columns]
+            params = ForestParams(trees, samples, share, contamination)
+            forest = fit_forest(train, key, features, params, scratch_path(spark, "nodes", folder))
+            rows += evaluate_forest(forest, test, name).collect()
+    return spark.createDataFrame(rows, QUALITY)
 
 
 GRID_TREES = (100, 300)
@@ -139,32 +139,32 @@ def grid_search(df: DataFrame, key: str, columns: list[str] = C.TOP_15_FEATURES,
     the larger one, so one fit per sample size serves all its settings, and all
     settings of a fit are counted in one pass over the scored test rows.
     """
-    spark = df.sparkSession
-    frame, features = model_frame(stratified_split(df, key), columns, [key, "isFraud", "is_test"])
-    frame = written(frame, "grid-frame")
-    train = frame.filter(~F.col("is_test"))
-    results = None
-    for position, size in enumerate(samples):
-        params = ForestParams(max(trees), size)
-        forest = stored_nodes(grow_forest(train, key, features, params),
-                              scratch_path(spark, "grid-nodes"))
-        scores = {t: anomaly_score(forest, t).alias(f"s_{t}") for t in trees}
-        inputs = spread(frame.select("isFraud", "is_test", *features), forest.n_samples)
-        scored = written(inputs.select("isFraud", "is_test", *scores.values()), "grid-scores")
-        cuts = exact_quantiles(scored.filter(~F.col("is_test")),
-                               {f"s_{t}": list(contaminations) for t in trees})
-        settings = F.array(*[
-            F.struct(
-                F.lit(t).alias("trees"), F.lit(c).alias("contamination"),
-                (F.col(f"s_{t}") - F.lit(cuts[f"s_{t}"][i]) < 0).cast("int").alias("predicted"))
-            for t in trees for i, c in enumerate(contaminations)])
-        flagged = scored.filter("is_test").select("isFraud", F.inline(settings))
-        part = E.classification_metrics(E.confusion_counts(flagged, ["trees", "contamination"]))
-        part = part.select("trees", F.lit(str(size)).alias("max_samples"),
-                           F.lit(position).alias("samples_place"), "contamination", "f1")
-        results = part if results is None else results.unionByName(part)
+    spark, rows = df.sparkSession, []
+    with scratch_folder(spark, "grid") as folder:
+        frame, features = model_frame(stratified_split(df, key), columns, [key, "isFraud", "is_test"])
+        frame = written(frame, "frame", folder)
+        train = frame.filter(~F.col("is_test"))
+        for position, size in enumerate(samples):
+            forest = stored_nodes(grow_forest(train, key, features, ForestParams(max(trees), size)),
+                                  scratch_path(spark, "nodes", folder))
+            scores = {t: anomaly_score(forest, t).alias(f"s_{t}") for t in trees}
+            inputs = spread(frame.select("isFraud", "is_test", *features))
+            scored = written(inputs.select("isFraud", "is_test", *scores.values()), "scores", folder)
+            cuts = exact_quantiles(scored.filter(~F.col("is_test")),
+                                   {f"s_{t}": list(contaminations) for t in trees})
+            settings = F.array(*[
+                F.struct(
+                    F.lit(t).alias("trees"), F.lit(c).alias("contamination"),
+                    (F.col(f"s_{t}") - F.lit(cuts[f"s_{t}"][i]) < 0).cast("int").alias("predicted"))
+                for t in trees for i, c in enumerate(contaminations)])
+            flagged = scored.filter("is_test").select("isFraud", F.inline(settings))
+            measured = E.classification_metrics(E.confusion_counts(flagged, ["trees", "contamination"]))
+            rows += [(r["trees"], str(size), position, r["contamination"], r["f1"],
+                      r["tn"] + r["fp"] + r["fn"] + r["tp"]) for r in measured.collect()]
+    results = spark.createDataFrame(
+        rows, "trees int, max_samples string, place int, contamination double, f1 double, test_rows bigint")
     return results.orderBy(
-        F.desc_nulls_last("f1"), "trees", "samples_place", "contamination").drop("samples_place")
+        F.desc_nulls_last("f1"), "trees", "place", "contamination").drop("place")
 
 
 def feature_importance(df: DataFrame, key: str, ignore: list[str] = (), trees: int = 50,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from cardwarden import constants as C
 from cardwarden.functions import scalars as S
 from cardwarden.operators.cleaning import fill_profile_defaults, value_counts
 from cardwarden.plans.quantiles import exact_quantiles
-from cardwarden.plans.selection import few_rows
 
 
 def fraud_rate(df: DataFrame) -> DataFrame:
@@ -42,35 +39,58 @@ def label_counts(df: DataFrame, label: str = "isFraud") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str], gram_from: int = 50) -> DataFrame:
-    """Pearson correlation as (col_a, col_b, corr), both triangles and the diagonal.
+MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
-    Pairwise-complete in a single aggregation; wide gap-free frames go through the
-    Gram matrix instead, which is one pass whatever the number of columns.
-    """
-    if len(columns) >= gram_from:
-        return _gram_correlation(df, columns)
-    pairs = [(a, a) for a in columns] + list(combinations(columns, 2))
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                F.col(f"c{i}").alias("corr")))
-        if a != b:
-            entries.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"),
-                                    F.col(f"c{i}").alias("corr")))
-    return row.select(F.inline(F.array(*entries)))
 
+def _pair_moments(df: DataFrame, columns: list[str], centers: list[float]) -> DataFrame:
+    """(a, b, moments) of every pair of column numbers over the rows where both are present.
 
-def _gram_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    Each task adds up its batches with a few matrix products and sends one row per pair.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    first, second = np.triu_indices(len(columns))
+    center = np.array(centers)
+
+    def stage(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = ~np.isnan(x)
+            x, one = np.where(there, x - center, 0.0), there.astype(float)
+            part = np.stack([one.T @ one, x.T @ one, one.T @ x, (x * x).T @ one, one.T @ (x * x), x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)),
+                 *[pa.array(m[first, second]) for m in total]], names=["a", "b", *MOMENTS])
+
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sent = numbers.mapInArrow(stage, "a int, b int, " + ", ".join(f"{m} double" for m in MOMENTS))
+    return sent.groupBy("a", "b").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation as (col_a, col_b, corr), both triangles and the diagonal.
 
-    vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="error").transform(df)
-    values = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    rows = [(a, b, float(values[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+    Every pair counts the rows where both columns are present (NaN is missing). A pair in
+    which a column does not vary has a null. Values are centred by the column means first,
+    which keeps the sums small; two passes whatever the number of columns.
+    """
+    present = [F.col(c).cast("double") for c in columns]
+    row = df.agg(*[F.avg(F.when(~F.isnan(c), c)).alias(f"m{i}") for i, c in enumerate(present)]).first()
+    moments = _pair_moments(df, columns, [row[f"m{i}"] or 0.0 for i in range(len(columns))])
+    n = F.col("n")
+    va, vb = (n * F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") for c in "ab")
+    # rounding leaves a remainder of this order where nothing varies
+    varies = (va > n * F.col("saa") * 1e-13) & (vb > n * F.col("sbb") * 1e-13)
+    corr = F.when(varies, (n * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(va) / F.sqrt(vb))
+    names = F.array(*[F.lit(c) for c in columns])
+    a, b = names[F.col("a")], names[F.col("b")]
+    both = F.array(F.struct(a.alias("col_a"), b.alias("col_b"), corr.alias("corr")),
+                   F.struct(b.alias("col_a"), a.alias("col_b"), corr.alias("corr")))
+    return moments.select(F.inline(F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)))
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -162,7 +182,7 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def rows_of_top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     """Only the rows of the k most frequent values, which are a bounded semi-join side."""
-    return df.join(few_rows(top_values(df, column, k).select(column)), column, "left_semi")
+    return df.join(top_values(df, column, k).select(column), column, "left_semi")
 
 
 def spend_by_label(df: DataFrame, key: str = "card1") -> DataFrame:

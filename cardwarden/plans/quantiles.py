@@ -1,124 +1,93 @@
-"""Exact quantiles of columns of any size.
+"""Exact quantiles of columns of any size, several columns per pass.
 
-Spark's ``percentile`` is exact but keeps every distinct value in one buffer.
-That is the right plan while the number of distinct values is small, which is
-measured first. Beyond that a mergeable sketch brackets the wanted rank, exact
-counts confirm the bracket, and the bracket is narrowed until few distinct
-values remain; the answer is read from those.
+A mergeable sketch brackets every wanted rank and exact counts confirm or narrow the
+bracket, until the value at the rank is known. A round shrinks a bracket to about two
+thousandths of its rows, so a few rounds of two passes are enough for any table, and
+nothing but counts and bounds reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import batched
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_DISTINCT = 200_000
 SKETCH_ACCURACY = 10_000
 SLACK = 0.001
+#: Columns measured in one pass; a pass reads only them.
+COLUMNS_PER_PASS = 32
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
-                    direct_distinct: int = DIRECT_DISTINCT) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, ignoring nulls; ``None`` for an empty column."""
-    if not wanted:
-        return {}
-    columns = list(wanted)
-    stats = df.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(columns)],
-    ).first()
-    direct = [c for i, c in enumerate(columns) if stats[f"d_{i}"] <= direct_distinct]
     result: dict[str, list[float | None]] = {}
-    if direct:
-        row = df.agg(*[
-            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in wanted[c]]))
-            .alias(f"q_{i}") for i, c in enumerate(direct)
-        ]).first()
-        for i, c in enumerate(direct):
-            result[c] = list(row[f"q_{i}"]) if row[f"q_{i}"] is not None else [None] * len(wanted[c])
-    for i, c in enumerate(columns):
-        if c not in result:
-            result[c] = _narrowed(df, c, stats[f"n_{i}"], wanted[c], direct_distinct)
+    for names in batched(wanted, COLUMNS_PER_PASS):
+        row = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(names)]).first()
+        ranks = {}
+        for i, c in enumerate(names):
+            places = [(row[f"n_{i}"] - 1) * p for p in wanted[c]]
+            ranks[c] = (row[f"n_{i}"], sorted({r for x in places for r in (math.floor(x), math.ceil(x))}))
+        found = _values_at_ranks(df, {c: v for c, v in ranks.items() if v[0]})
+        for c in names:
+            n = ranks[c][0]
+            result[c] = [_interpolated(found[c], (n - 1) * p) if n else None for p in wanted[c]]
     return result
 
 
-def _narrowed(df: DataFrame, column: str, n: int, probabilities: list[float],
-              direct_distinct: int) -> list[float]:
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
-    positions = [(n - 1) * p for p in probabilities]
-    ranks = sorted({r for pos in positions for r in (math.floor(pos), math.ceil(pos))})
-    at_rank = _values_at_ranks(values, n, ranks, direct_distinct)
-    out = []
-    for pos in positions:
-        low, high = at_rank[math.floor(pos)], at_rank[math.ceil(pos)]
-        out.append(low + (high - low) * (pos - math.floor(pos)))
-    return out
+def _interpolated(at_rank: dict[int, float], place: float) -> float:
+    low, high = at_rank[math.floor(place)], at_rank[math.ceil(place)]
+    return low + (high - low) * (place - math.floor(place))
 
 
-def _between(low: float | None, high: float | None) -> Column:
+def _inside(value: Column, low: float | None, high: float | None) -> Column:
     """Strictly inside a bracket; an open side is ``None``."""
-    inside = F.lit(True)
+    inside = value.isNotNull()
     if low is not None:
-        inside = inside & (F.col("v") > F.lit(low))
+        inside = inside & (value > F.lit(low))
     if high is not None:
-        inside = inside & (F.col("v") < F.lit(high))
+        inside = inside & (value < F.lit(high))
     return inside
 
 
-def _values_at_ranks(values: DataFrame, n: int, ranks: list[int],
-                     direct_distinct: int) -> dict[int, float]:
-    # open bracket per rank: (low, high, rows at or below low, rows inside)
-    brackets: dict[int, tuple] = {r: (None, None, 0, n) for r in ranks}
-    found: dict[int, float] = {}
-    while len(found) < len(ranks):
-        todo = [r for r in ranks if r not in found]
-        sketches = []
-        for r in todo:
-            low, high, below, inside = brackets[r]
+def _values_at_ranks(df: DataFrame, ranks: dict[str, tuple[int, list[int]]]) -> dict[str, dict[int, float]]:
+    # (column, rank) -> (low, high, rows at or below low, rows inside)
+    brackets = {(c, r): (None, None, 0, n) for c, (n, wanted) in ranks.items() for r in wanted}
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    while brackets:
+        # ranks in the same bracket of a column share a sketch
+        sketches: dict[tuple, list[float]] = {}
+        for (c, r), (low, high, below, inside) in brackets.items():
             share = (r - below) / inside
-            sketches.append(F.percentile_approx(
-                F.when(_between(low, high), F.col("v")),
-                [max(0.0, share - SLACK), min(1.0, share + SLACK)], SKETCH_ACCURACY,
-            ).alias(f"p_{r}"))
-        picks = values.agg(*sketches).first()
-        counts = []
-        for r in todo:
-            q0, q1 = picks[f"p_{r}"]
-            counts += [
-                F.count_if(F.col("v") < q0).alias(f"under0_{r}"),
-                F.count_if(F.col("v") <= q0).alias(f"upto0_{r}"),
-                F.count_if(F.col("v") < q1).alias(f"under1_{r}"),
-                F.count_if(F.col("v") <= q1).alias(f"upto1_{r}"),
-                F.approx_count_distinct(F.when(_between(q0, q1), F.col("v"))).alias(f"kinds_{r}"),
-            ]
-        exact = values.agg(*counts).first()
-        for r in todo:
-            low, high, below, inside = brackets[r]
-            q0, q1 = picks[f"p_{r}"]
-            under0, upto0, under1, upto1, kinds = (
-                exact[f"{name}_{r}"] for name in ("under0", "upto0", "under1", "upto1", "kinds"))
-            if r < under0:
-                brackets[r] = (low, q0, below, under0 - below)
-            elif r < upto0:
-                found[r] = q0
+            sketches.setdefault((c, low, high), []).extend(
+                [max(0.0, share - SLACK), min(1.0, share + SLACK)])
+        values = {c: F.col(c).cast("double") for c, _ in brackets}
+        picks = df.agg(*[
+            F.percentile_approx(F.when(_inside(values[c], low, high), values[c]), shares,
+                                SKETCH_ACCURACY).alias(f"p_{k}")
+            for k, ((c, low, high), shares) in enumerate(sketches.items())]).first()
+        bounds = {key: iter(picks[f"p_{k}"]) for k, key in enumerate(sketches)}
+        pairs = {(c, r): (next(bounds[c, b[0], b[1]]), next(bounds[c, b[0], b[1]]))
+                 for (c, r), b in brackets.items()}
+        counted = {(c, q): None for (c, _), pair in pairs.items() for q in pair}
+        row = df.agg(*[x for k, (c, q) in enumerate(counted) for x in (
+            F.count_if(values[c] < F.lit(q)).alias(f"under_{k}"),
+            F.count_if(values[c] <= F.lit(q)).alias(f"upto_{k}"))]).first()
+        counted = {key: (row[f"under_{k}"], row[f"upto_{k}"]) for k, key in enumerate(counted)}
+        left = {}
+        for (c, r), (low, high, below, inside) in brackets.items():
+            q0, q1 = pairs[c, r]
+            (under0, upto0), (under1, upto1) = counted[c, q0], counted[c, q1]
+            if under0 <= r < upto0:
+                found[c][r] = q0
+            elif under1 <= r < upto1:
+                found[c][r] = q1
+            elif r < under0:
+                left[c, r] = (low, q0, below, under0 - below)
             elif r >= upto1:
-                brackets[r] = (q1, high, upto1, below + inside - upto1)
-            elif r >= under1:
-                found[r] = q1
+                left[c, r] = (q1, high, upto1, below + inside - upto1)
             else:
-                brackets[r] = (q0, q1, upto0, under1 - upto0)
-                if kinds <= direct_distinct:
-                    found[r] = _read_rank(values, q0, q1, r - upto0)
+                left[c, r] = (q0, q1, upto0, under1 - upto0)
+        brackets = left
     return found
-
-
-def _read_rank(values: DataFrame, low: float, high: float, rank: int) -> float:
-    """The value at a rank inside a bracket of few distinct values."""
-    running = Window.orderBy("v")
-    counted = (
-        values.filter(_between(low, high)).groupBy("v").agg(F.count("*").alias("rows"))
-        .withColumn("upto", F.sum("rows").over(running))
-    )
-    return counted.filter(F.col("upto") > rank).agg(F.min("v")).first()[0]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardwarden.session import shared_folder, written
+
 BUCKET_BITS = 16
 
 
@@ -24,21 +26,6 @@ def long_bucket(hash_key: Column, bits: int = BUCKET_BITS) -> Column:
     return F.shiftright(hash_key, 64 - bits).cast("int")
 
 
-FEW_ROWS = 10_000
-
-
-def few_rows(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
-    """The frame as broadcast local rows when it has at most ``limit`` of them, else unchanged.
-
-    The bound is checked on the rows themselves. Joining the result never shuffles the
-    other side, and the plan behind it runs once instead of once per use.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def cut_keys(df: DataFrame, groups: list[str], key: str, bucket: Column,
              quota: DataFrame) -> DataFrame:
     """Per group, the key whose rank equals the group's quota: ``(groups..., cut_key)``.
@@ -52,16 +39,17 @@ def cut_keys(df: DataFrame, groups: list[str], key: str, bucket: Column,
         keyed.groupBy(*groups, "bucket").agg(F.count("*").alias("rows"))
         .withColumn("upto", F.sum("rows").over(running))
     )
-    edges = few_rows(
-        counts.join(few_rows(quota), groups)
+    # one row per group, written: the join with all rows then knows its size
+    edges = written(
+        counts.join(quota, groups)
         .filter((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("rows") < F.col("take")))
-        .select(*groups, "bucket", (F.col("take") - F.col("upto") + F.col("rows")).alias("need"))
-    )
+        .select(*groups, "bucket", (F.col("take") - F.col("upto") + F.col("rows")).alias("need")),
+        "edges")
     in_edge = keyed.join(edges, [*groups, "bucket"])
     ranked = in_edge.withColumn(
         "rank_in_edge", F.row_number().over(Window.partitionBy(*groups).orderBy(key)))
-    return few_rows(ranked.filter(F.col("rank_in_edge") == F.col("need")).select(
-        *groups, F.col(key).alias("cut_key")))
+    return written(ranked.filter(F.col("rank_in_edge") == F.col("need")).select(
+        *groups, F.col(key).alias("cut_key")), "cuts")
 
 
 def last_rows(df: DataFrame, order: list[str], n: int, coarse: Column) -> DataFrame:
@@ -119,8 +107,6 @@ def sequence_numbers(df: DataFrame, order: list[str]) -> DataFrame:
     through a reliable checkpoint so both uses see the same layout, then add up the
     partition sizes (one row per partition).
     """
-    from cardwarden.session import shared_folder
-
     shared_folder(df.sparkSession)
     laid_out = (
         df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "cardwarden", master: str | None = None,
@@ -49,9 +51,42 @@ def shared_folder(spark: SparkSession) -> str:
     return local
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return os.path.join(shared_folder(spark), f"scratch-{spark.sparkContext.applicationId}")
+
+
+def scratch_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """A fresh path for an intermediate table."""
+    return os.path.join(folder or scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """A folder for intermediate tables that is deleted at the end, also after an error."""
+    path = scratch_path(spark, label)
+    try:
+        yield path
+    finally:
+        delete_path(spark, path)
+
+
+def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """The frame as a table in the shared folder (or in ``folder``), for plans read several times.
+
+    Cuts the lineage, survives lost executors and gives later joins a measured size.
+    """
+    path = scratch_path(df.sparkSession, label, folder)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has written below the shared folder.
+
+    Frames that read such tables cannot be computed any more.
+    """
+    delete_path(spark, scratch_root(spark))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

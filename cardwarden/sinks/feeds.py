@@ -25,12 +25,15 @@ def as_feed(df: DataFrame, key: str | None = None) -> DataFrame:
 
 def publish(df: DataFrame, fmt: str, options: dict[str, str] | None = None,
             path: str | None = None, key: str | None = None) -> None:
-    """Send rows to a topic (``kafka``) or append them to files (``json``, ``parquet``...)."""
+    """Send rows to a topic (``kafka``) or replace the files of a path (``json``, ``parquet``...).
+
+    A batch's own path makes files replay-safe; a topic gets the rows of a repeated batch again.
+    """
     writer = as_feed(df, key).write.format(fmt).options(**(options or {}))
     if fmt == "kafka":
         writer.save()
     else:
-        writer.mode("append").save(path)
+        writer.mode("overwrite").save(path)
 
 
 def discard(df: DataFrame) -> None:

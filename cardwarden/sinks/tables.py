@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,62 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return spark.createDataFrame([], schema) if schema is not None else None
 
 
+def batch_days(df: DataFrame) -> list:
+    """The distinct days of a micro-batch, ``None`` for undated rows: what stored tables are pruned by."""
+    return [r["day"] for r in df.select("day").distinct().collect()]
+
+
+def on_days(days: list) -> Column:
+    """The condition that a row lies on one of the days; literals, so whole partitions are skipped."""
+    dated = [d for d in days if d is not None]
+    condition = F.col("day").isin(dated) if dated else F.lit(False)
+    return condition | F.col("day").isNull() if None in days else condition
+
+
+def stored_keys(spark: SparkSession, path: str, field: T.StructField, days: list) -> DataFrame | None:
+    """``(key, written_by, batch_id)`` of the rows a day-partitioned table holds for some days."""
+    if not path_exists(spark, path):
+        return None
+    schema = T.StructType([field, T.StructField("written_by", T.StringType()),
+                           T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())])
+    return spark.read.schema(schema).parquet(path).filter(on_days(days)).drop("day")
+
+
+def not_stored_before(rows: DataFrame, path: str, key: str, writer: str, batch_id: int,
+                      days: list) -> DataFrame:
+    """The rows of a micro-batch whose key no other batch has stored on the batch's days.
+
+    What an earlier attempt of the same batch has stored does not count, so every attempt
+    decides alike. An id that comes back under another day is another event.
+    """
+    stored = stored_keys(rows.sparkSession, path, rows.schema[key], days)
+    if stored is None:
+        return rows
+    others = stored.filter((F.col("written_by") != writer) | (F.col("batch_id") != batch_id))
+    return not_yet_stored(rows, others, key, None)
+
+
+def append_batch(rows: DataFrame, path: str, key: str, writer: str, batch_id: int, days: list) -> None:
+    """Append a batch's rows (with ``day``), less those that an attempt of this batch has stored."""
+    stored = stored_keys(rows.sparkSession, path, rows.schema[key], days)
+    if stored is not None:
+        own = stored.filter((F.col("written_by") == writer) & (F.col("batch_id") == batch_id))
+        rows = not_yet_stored(rows, own, key, None)
+    # few files per day, and a day with most of the rows is split over tasks
+    rows.withColumns({"written_by": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")}).hint(
+        "rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def batch_path(path: str, writer: str, batch_id: int) -> str:
+    return os.path.join(path, f"written_by={writer}", f"batch_id={batch_id}")
+
+
 def append_first_wins(df: DataFrame, path: str, key: str, order: list[Column] | None = None,
                       day: Column | None = None) -> None:
     """Append the rows whose key the table does not hold yet; the first row of a batch wins.
 
-    Without an order the batch is taken to hold each key once already. A replayed micro-batch finds its own rows and adds nothing. ``day`` partitions
-    the table for retention.
+    Without an order the batch is taken to hold each key once already. All stored keys are
+    read: this is for tables of few rows. ``day`` partitions the table for retention.
     """
     spark = df.sparkSession
     out = df if day is None else df.withColumn("day", day.cast("date"))
@@ -39,7 +90,6 @@ def append_first_wins(df: DataFrame, path: str, key: str, order: list[Column] |
     if day is None:
         out.write.mode("append").parquet(path)
     else:
-        # few files per day, and a day with most of the rows is split over tasks
         out.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
@@ -48,21 +98,54 @@ def full_refresh(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def drop_expired(spark: SparkSession, path: str, oldest_day: str) -> list[str]:
-    """Remove whole day partitions older than the given day (``yyyy-mm-dd``)."""
+def _children(spark: SparkSession, path: str) -> list:
+    """File system entries right below a path."""
     if not path_exists(spark, path):
         return []
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return list(root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root))
+
+
+UNDATED = "day=__HIVE_DEFAULT_PARTITION__"
+
+
+def _changed_on(status) -> str:
+    return datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc).date().isoformat()
+
+
+def drop_expired(spark: SparkSession, path: str, oldest_day: str) -> list[str]:
+    """Remove whole day partitions older than the given day (``yyyy-mm-dd``).
+
+    Rows without a day go when nothing has been added to them since that day.
+    """
     dropped = []
-    for status in fs.listStatus(root):
+    for status in _children(spark, path):
         name = status.getPath().getName()
-        if name.startswith("day=") and name[4:] < oldest_day:
+        if not name.startswith("day="):
+            continue
+        if (_changed_on(status) if name == UNDATED else name[4:]) < oldest_day:
             delete_path(spark, status.getPath().toString())
             dropped.append(name[4:])
     return sorted(dropped)
 
 
+def batch_folders(spark: SparkSession, path: str, writer: str) -> list[tuple[int, str]]:
+    """(batch number, folder) of what a writer holds in a table of batch folders."""
+    held = [s.getPath() for s in _children(spark, os.path.join(path, f"written_by={writer}"))]
+    return [(int(p.getName()[9:]), p.toString()) for p in held if p.getName().startswith("batch_id=")]
+
+
+def drop_old_batches(spark: SparkSession, path: str, oldest_day: str) -> int:
+    """Remove the batch folders of a table (``written_by=/batch_id=``) last changed before a day."""
+    dropped = 0
+    for writer in _children(spark, path):
+        if writer.getPath().getName().startswith("written_by="):
+            for batch in _children(spark, writer.getPath().toString()):
+                if _changed_on(batch) < oldest_day:
+                    dropped += delete_path(spark, batch.getPath().toString())
+    return dropped
+
+
 class DimensionTable:
     """A keyed dimension kept current by upserts.
 
@@ -70,7 +153,8 @@ class DimensionTable:
     dimension. Reading lays the later rows over the last compacted version, whole
     row by whole row: the newest row per key wins, its nulls included. ``compact``
     folds the appended rows in and switches a pointer once the new version is
-    complete; versions are written once and never changed.
+    complete; versions are written once and never changed. Folded rows and all but
+    the last two versions are removed.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, schema: T.StructType):
@@ -87,11 +171,10 @@ class DimensionTable:
         return os.path.join(self.path, name)
 
     def upsert(self, batch: DataFrame, session_id: str, batch_id: int) -> None:
-        """Append the last row per key of a batch. Session ids sort by time."""
+        """Store the last row per key of a batch; a retry replaces it. Session ids sort by time."""
         last = latest_per_key(batch, [self.key], [F.col("arrival")])
-        last.select(*self.schema.names, "arrival").withColumns({
-            "session_id": F.lit(session_id), "batch_id": F.lit(batch_id).cast("bigint"),
-        }).write.mode("append").partitionBy("session_id", "batch_id").parquet(self._part("deltas"))
+        last.select(*self.schema.names, "arrival").write.mode("overwrite").parquet(
+            self._part(f"deltas/session_id={session_id}/batch_id={batch_id}"))
 
     def _pointer(self):
         pointer = read_table(self.spark, self._part("pointer"), self._pointer_schema)
@@ -119,8 +202,12 @@ class DimensionTable:
         return base.join(newer.select(self.key), self.key, "left_anti").select(
             *self.schema.names).unionByName(newer)
 
-    def compact(self) -> int | None:
-        """Write the snapshot as a new version and point to it; ``None`` when nothing is new."""
+    def compact(self, grace: bool = False) -> int | None:
+        """Write the snapshot as a new version and point to it; ``None`` when nothing is new.
+
+        With ``grace``, rows folded in just now stay until the next time, for readers that
+        have planned with the previous pointer.
+        """
         pointer = self._pointer()
         newest = self._deltas_after(pointer).agg(
             F.max(F.struct("session_id", "batch_id")).alias("top")).first()["top"]
@@ -131,4 +218,22 @@ class DimensionTable:
         self.spark.createDataFrame(
             [(version, newest["session_id"], newest["batch_id"])], self._pointer_schema
         ).coalesce(1).write.mode("append").parquet(self._part("pointer"))
+        folded = pointer if grace else newest
+        if folded is not None:
+            self._drop_deltas(folded["session_id"], folded["batch_id"])
+        for old in _children(self.spark, self._part("versions")):
+            if int(old.getPath().getName()) < version - 1:
+                delete_path(self.spark, old.getPath().toString())
         return version
+
+    def _drop_deltas(self, session_id: str, batch_id: int) -> None:
+        """Remove the deltas up to a batch of a session."""
+        for session in _children(self.spark, self._part("deltas")):
+            name = session.getPath().getName().removeprefix("session_id=")
+            if name < session_id:
+                delete_path(self.spark, session.getPath().toString())
+            elif name == session_id:
+                for batch in _children(self.spark, session.getPath().toString()):
+                    number = batch.getPath().getName().removeprefix("batch_id=")
+                    if number.isdigit() and int(number) <= batch_id:
+                        delete_path(self.spark, batch.getPath().toString())

@@ -20,7 +20,7 @@ def start_upserts(raw: DataFrame, schema: T.StructType, table: DimensionTable, c
     def apply(batch: DataFrame, batch_id: int) -> None:
         table.upsert(accepted(with_arrival(batch), table.key), session_id, batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
-            table.compact()
+            table.compact(grace=True)
 
     return (
         parse_events(raw, schema).writeStream.foreachBatch(apply)

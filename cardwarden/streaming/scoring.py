@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import time
@@ -26,9 +27,11 @@ from cardwarden.operators.projections import (
     alert_projection, enriched_projection, raw_projection, score_feed,
 )
 from cardwarden.plans.selection import first_per_key
-from cardwarden.session import path_exists
+from cardwarden.session import delete_path, path_exists
 from cardwarden.sinks.feeds import no_profiles, publish
-from cardwarden.sinks.tables import append_first_wins
+from cardwarden.sinks.tables import (
+    append_batch, append_first_wins, batch_days, batch_folders, batch_path, not_stored_before,
+)
 from cardwarden.sources.events import accepted, parse_events, quarantined, with_arrival
 from cardwarden.streaming.lifecycle import ActiveModel, ModelStore, TrainingPolicy
 
@@ -65,42 +68,67 @@ class ScoringJob:
         self._scorer: tuple[int, Column] | None = None
         self._begin_session(self.session_id)
 
-    def _begin_session(self, session_id: str) -> None:
-        self.session_id = session_id
-        self._seen, self._warmup_until = 0, -1
+    def _begin_session(self, session_id: str, checkpoint: str | None = None) -> None:
+        self.session_id, self._checkpoint = session_id, checkpoint
+        self._writer = None if checkpoint else session_id
+        self._seen, self._warmup_until, self._first_batch = 0, -1, None
         self._tail: list[tuple[int, int]] = []
 
+    @property
+    def writer(self) -> str:
+        """Names the source of batch numbers: the query that a checkpoint belongs to, else the session.
+
+        A restarted query repeats its last batch under the same name and number.
+        """
+        if self._writer is None:
+            text = self.spark.read.text(os.path.join(self._checkpoint, "metadata")).first()["value"]
+            self._writer = json.loads(text)["id"]
+        return self._writer
+
     def path(self, table: str) -> str:
         return os.path.join(self.folder, table)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch of parsed records (with the corrupt-record column)."""
+        """One micro-batch of parsed records (with the corrupt-record column).
+
+        Rows that other batches have stored go first; all outputs come from what is left. An
+        output is either appended less what an earlier attempt of this batch has appended, or
+        replaces the batch's own folder, so repeating a batch changes nothing.
+        """
         staged = with_arrival(batch).persist()
-        rows = first_per_key(accepted(staged, KEY), [KEY], [F.col("arrival")]).persist()
+        event_day = F.to_date(F.col("fecha_hora_transaccion").try_cast("timestamp_ntz"))
+        rows = first_per_key(accepted(staged, KEY), [KEY], [F.col("arrival")]).withColumn(
+            "day", F.coalesce(event_day, F.current_date())).persist()
+        fresh = None
         try:
             self._quarantine(staged)
-            self._store_raw(rows)
+            days = batch_days(rows)
+            fresh = not_stored_before(
+                rows, self.path("transactions_raw"), KEY, self.writer, batch_id, days).persist()
             model = self.models.load()
-            self._score_and_store(rows, model, batch_id)
+            if not fresh.isEmpty():
+                self._score_and_store(fresh, model, batch_id, days)
+                raw = raw_projection(fresh.drop("day")).join(fresh.select(KEY, "day"), KEY)
+                append_batch(raw, self.path("transactions_raw"), KEY, self.writer, batch_id, days)
             self._train_if_due(model)
         finally:
-            rows.unpersist()
-            staged.unpersist()
+            for frame in (fresh, rows, staged):
+                if frame is not None:
+                    frame.unpersist()
 
     def _quarantine(self, staged: DataFrame) -> None:
-        quarantined(staged, KEY).write.mode("append").parquet(self.path("quarantine"))
+        """Each bad record once, whatever is replayed; batches without any touch nothing."""
+        bad = quarantined(staged, KEY).withColumn("digest", F.sha2("record", 256))
+        if not bad.isEmpty():
+            append_first_wins(bad, self.path("quarantine"), "digest", [F.col("reason")], F.current_date())
 
-    def _store_raw(self, rows: DataFrame) -> None:
-        append_first_wins(
-            raw_projection(rows), self.path("transactions_raw"), KEY, None,
-            F.to_date(F.col("fecha_hora_transaccion").try_cast("timestamp_ntz")))
-
-    def _score_and_store(self, rows: DataFrame, model: ActiveModel | None, batch_id: int) -> None:
+    def _score_and_store(self, rows: DataFrame, model: ActiveModel | None, batch_id: int,
+                         days: list) -> None:
         known = no_profiles(self.spark) if self.profiles is None else self.profiles()
         joined = with_profile(rows, profiles_in_use(rows, known))
         features = joined.select(
-            KEY, "arrival", *feature_columns(),
-            F.struct(*[F.col(c) for c in joined.columns if c != KEY]).alias("tx"))
+            KEY, "arrival", "day", *feature_columns(),
+            F.struct(*[F.col(c) for c in joined.columns if c not in (KEY, "day")]).alias("tx"))
         score = F.lit(-1.0)
         if model is not None:
             offset = F.lit(model.forest.offset)
@@ -109,16 +137,18 @@ class ScoringJob:
         scored = features.withColumn("score", score).persist()
         try:
             warmed_up = model is not None and model.warmed_up(self.session_id)
+            version = F.lit(None if model is None else model.version).cast("bigint")
             enriched = enriched_projection(
                 scored.select(KEY, "tx.*", "score"), warmed_up, self.threshold
-            ).withColumn("model_version", F.lit(None if model is None else model.version).cast("bigint"))
-            append_first_wins(enriched, self.path("transactions_enriched"), KEY, None,
-                              F.to_date("processed_at"))
+            ).withColumn("model_version", version)
             alerts = alert_projection(enriched)
-            append_first_wins(alerts, self.path("fraud_alerts"), KEY, None, F.to_date("alerted_at"))
-            self._publish("alerts", alerts)
-            self._publish("scores", score_feed(enriched))
-            self._publish("enriched", enriched)
+            # all three tables lie under the day of the event, where duplicates are looked for
+            for name, frame in (("transactions_enriched", enriched), ("fraud_alerts", alerts)):
+                append_batch(frame.join(scored.select(KEY, "day"), KEY), self.path(name), KEY,
+                             self.writer, batch_id, days)
+            self._publish("alerts", alerts, batch_id)
+            self._publish("scores", score_feed(enriched), batch_id)
+            self._publish("enriched", enriched, batch_id)
             # the counters ride on the one write that reads every scored row exactly once
             marked = scored.withColumns({
                 "fraud_score": S.stored_score(F.col("score")),
@@ -126,11 +156,8 @@ class ScoringJob:
                 "is_warmed_up": F.lit(warmed_up)})
             counted, counters = observed_counters(marked, f"batch-{self.session_id}-{batch_id}")
             counted.select(
-                KEY, *schemas.FEATURE_NAMES, "arrival",
-                F.lit(self.session_id).alias("session_id"),
-                F.lit(batch_id).cast("bigint").alias("batch_id"),
-            ).write.mode("append").partitionBy("session_id", "batch_id").parquet(
-                self.path("features"))
+                KEY, *schemas.FEATURE_NAMES, "arrival", F.lit(self.session_id).alias("session_id"),
+            ).write.mode("overwrite").parquet(batch_path(self.path("features"), self.writer, batch_id))
             self._note_batch(batch_id, counters.get["rows"])
             self._log_batch(batch_id, counters.get)
         finally:
@@ -142,42 +169,61 @@ class ScoringJob:
             self._scorer = (model.version, anomaly_score(model.forest))
         return self._scorer[1]
 
-    def _publish(self, feed: str, rows: DataFrame) -> None:
+    def _publish(self, feed: str, rows: DataFrame, batch_id: int) -> None:
         """Send one feed if it is switched on; a topic sink needs a ``topic.<feed>`` option."""
         if feed in self.feeds:
             options = {k: v for k, v in self.feed_options.items() if not k.startswith("topic.")}
             if f"topic.{feed}" in self.feed_options:
                 options["topic"] = self.feed_options[f"topic.{feed}"]
-            publish(rows, self.feed_format, options, self.path(f"feed_{feed}"), KEY)
+            publish(rows, self.feed_format, options,
+                    batch_path(self.path(f"feed_{feed}"), self.writer, batch_id), KEY)
 
     def _log_batch(self, batch_id: int, counters: dict) -> None:
         log.info("batch %s %s", batch_id, counters)
-        row = (self.session_id, batch_id, counters["rows"], counters["alerts"],
-               counters["total_scored"], counters["total_at_threshold"])
+        row = (self.session_id, counters["rows"], counters["alerts"], counters["total_scored"],
+               counters["total_at_threshold"])
         self.spark.createDataFrame(
-            [row], "session_id string, batch_id bigint, rows bigint, alerts bigint, "
-                   "total_scored bigint, total_at_threshold bigint",
-        ).coalesce(1).write.mode("append").parquet(self.path("batch_log"))
+            [row], "session_id string, rows bigint, alerts bigint, total_scored bigint, "
+                   "total_at_threshold bigint",
+        ).coalesce(1).write.mode("overwrite").parquet(
+            batch_path(self.path("batch_log"), self.writer, batch_id))
 
     # --- training between batches -----------------------------------------------------
 
     def _note_batch(self, batch_id: int, rows: int) -> None:
-        """Remember where the warm-up ends and the window begins: a few numbers per session."""
+        """Remember where the warm-up ends and the window begins: a few numbers per session.
+
+        Features of batches that neither needs any more are removed.
+        """
+        if self._first_batch is None:
+            self._first_batch = batch_id
+            self._drop_features(lambda number: number < batch_id)
+        if self._tail and self._tail[-1][0] == batch_id:  # a repeated attempt
+            self._seen -= self._tail.pop()[1]
         if self._seen < self.policy.warmup_size:
             self._warmup_until = batch_id
         self._seen += rows
         self._tail.append((batch_id, rows))
+        passed = []
         while sum(n for _, n in self._tail[1:]) >= self.policy.window_size:
-            self._tail.pop(0)
+            passed.append(self._tail.pop(0)[0])
+        gone = [number for number in passed if number > self._warmup_until]
+        if gone:
+            self._drop_features(lambda number: number in gone)
+
+    def _drop_features(self, condition: Callable[[int], bool]) -> None:
+        for number, path in batch_folders(self.spark, self.path("features"), self.writer):
+            if condition(number):
+                delete_path(self.spark, path)
 
     def session_features(self) -> DataFrame:
         schema = T.StructType(
             [T.StructField(KEY, T.StringType())]
             + [T.StructField(name, T.DoubleType()) for name in schemas.FEATURE_NAMES]
             + [T.StructField("arrival", T.LongType()), T.StructField("session_id", T.StringType()),
-               T.StructField("batch_id", T.LongType())])
+               T.StructField("written_by", T.StringType()), T.StructField("batch_id", T.LongType())])
         return self.spark.read.schema(schema).parquet(self.path("features")).filter(
-            F.col("session_id") == self.session_id)
+            (F.col("written_by") == self.writer) & (F.col("session_id") == self.session_id))
 
     def warmup_rows(self) -> DataFrame:
         """The first rows of the session; only the batches that hold them are read."""
@@ -210,7 +256,7 @@ class ScoringJob:
 
     def start(self, raw: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         """Run over a stream of messages. Every start is a session of its own."""
-        self._begin_session(new_session_id())
+        self._begin_session(new_session_id(), checkpoint)
         parsed = parse_events(raw, schemas.TRANSACTION)
         return (
             parsed.writeStream.foreachBatch(self.process)

@@ -102,12 +102,10 @@ def test_scaling_a_feature_leaves_scores(points, forest):
     assert max(abs(a[k] - b[k]) for k in a) < 1e-6
 
 
-def test_groups_of_trees_give_the_same_scores(points, forest, monkeypatch):
-    whole = {r["k"]: r["s"] for r in points.select("k", anomaly_score(forest).alias("s")).collect()}
-    monkeypatch.setattr(FO, "NODES_PER_BROADCAST", 1000)
-    assert len(FO._tree_groups(forest, 40)) > 1
-    parts = {r["k"]: r["s"] for r in points.select("k", anomaly_score(forest).alias("s")).collect()}
-    assert max(abs(whole[k] - parts[k]) for k in whole) < 1e-12
+def test_size_of_a_forest_is_limited():
+    with pytest.raises(ValueError):
+        ForestParams(trees=1001, max_samples=2000)
+    assert ForestParams(trees=500, max_samples=2048).rows_per_tree == 2048
 
 
 def test_feature_subsets(points):

@@ -4,26 +4,26 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardwarden.operators.cleaning import label_codes, label_encode
 from cardwarden.operators import cleaning
+from cardwarden.operators.cleaning import label_encode
 from cardwarden.operators.evaluation import (
-    class_report, classification_metrics, evaluation_summary, model_metrics, roc_auc,
+    area_under_roc, class_report, classification_metrics, evaluation_summary, model_metrics, roc_auc,
+    score_counts,
 )
 from cardwarden.operators.model_selection import stratified_split
+from cardwarden.operators.profiling import correlation_matrix
 from cardwarden.plans.quantiles import exact_quantiles
 from cardwarden.plans.selection import (
-    cut_keys, few_rows, first_rows, last_rows, latest_per_key, long_bucket, recent_per_key,
-    sequence_numbers,
+    cut_keys, first_rows, last_rows, latest_per_key, long_bucket, recent_per_key, sequence_numbers,
 )
 
 PROBS = [0.0, 0.035, 0.25, 0.5, 0.75, 0.999, 1.0]
 
 
 @pytest.mark.parametrize("kind", ["spread", "hot", "two_ends", "heavy_tail"])
-@pytest.mark.parametrize("limit", [200_000, 50])
-def test_exact_quantiles(spark, kind, limit):
+def test_exact_quantiles(spark, kind):
     rng = np.random.default_rng(7)
-    n = 20_000
+    n = 50_000
     v = rng.random(n) * 100
     if kind == "hot":
         v[: n // 3] = 42.0
@@ -33,8 +33,11 @@ def test_exact_quantiles(spark, kind, limit):
         v = np.exp(rng.normal(0, 6, n))
     df = spark.createDataFrame([(float(x),) for x in v], "v double").union(
         spark.sql("select cast(null as double)"))
-    got = exact_quantiles(df, {"v": PROBS}, direct_distinct=limit)["v"]
-    assert np.allclose(got, np.quantile(v, PROBS), rtol=1e-12, atol=1e-12)
+    df = df.withColumn("w", -F.col("v")).persist()
+    got = exact_quantiles(df, {"v": PROBS, "w": [0.5]})
+    assert np.allclose(got["v"], np.quantile(v, PROBS), rtol=1e-12, atol=1e-12)
+    assert np.allclose(got["w"], np.quantile(-v, [0.5]), rtol=1e-12, atol=1e-12)
+    df.unpersist()
 
 
 def test_quantiles_of_an_empty_column(spark):
@@ -49,14 +52,56 @@ def test_sequence_numbers(spark):
     assert len(rows) == 1000 and all(r["k"] == r["sequence"] for r in rows)
 
 
-def test_label_codes_agree_whatever_the_dictionary_size(spark, monkeypatch):
+def test_label_codes(spark):
     df = spark.createDataFrame(
         [("b", "z"), ("a", None), (None, "y"), ("c", "y")], "p string, q string")
-    small = sorted(map(tuple, label_codes(df, ["p", "q"]).collect()))
-    monkeypatch.setattr(cleaning, "SMALL_DICTIONARY", 0)
-    assert sorted(map(tuple, label_codes(df, ["p", "q"]).collect())) == small
     encoded = label_encode(df, ["p", "q"]).collect()
     assert sorted(tuple(r) for r in encoded) == [(0, 0), (1, 2), (2, 1), (3, 1)]
+    assert label_encode(df, []) is df
+
+
+def test_encoding_reads_the_rows_once_besides_the_dictionary(spark, tmp_path):
+    texts = [F.sha2((F.col("id") * (k + 3)).cast("string"), 256).alias(f"t{k}") for k in range(5)]
+    spark.range(12_000).select("id", *texts).write.parquet(str(tmp_path / "facts"))
+    encoded = label_encode(spark.read.parquet(str(tmp_path / "facts")), [f"t{k}" for k in range(5)])
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    scans = [f for f in encoded.inputFiles() if "/facts/" in f]
+    assert len(scans) == len(set(scans)) and plan.count("Relation [id#") == 1
+    assert encoded.agg(F.countDistinct("t4"), F.max("t4")).first()[:] == (12_000, 11_999)
+
+
+def test_cleaning_counts_gaps_once(spark, tmp_path):
+    spark.range(1000).select(
+        F.when(F.col("id") % 10 > 0, F.col("id")).alias("a"), F.when(F.col("id") > 990, 1).alias("sparse"),
+        F.when(F.col("id") % 3 > 0, F.lit("x")).alias("t"), F.lit("full").alias("u")).write.parquet(
+        str(tmp_path / "d"))
+    rows = spark.read.parquet(str(tmp_path / "d"))
+    out = cleaning.clean(rows)
+    assert out.columns == ["a", "t", "u"]
+    assert out.agg(*[F.count(c) for c in out.columns]).first()[:] == (1000, 1000, 1000)
+    assert out.filter("a = 500").count() == 100 and cleaning.clean(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [6, 60])
+def test_correlations_of_constant_gappy_and_wide_frames(spark, width):
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(300, width)) + 1e6
+    data[:, 1] = 0.1
+    data[rng.random(data.shape) < 0.2] = np.nan
+    data[:, 2] = np.nan
+    rows = [[None if np.isnan(x) and i % 2 else float(x) for x in r] for i, r in enumerate(data)]
+    names = [f"x{i}" for i in range(width)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation_matrix(df, names).collect()}
+    assert len(got) == width * width
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            both = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+            if {i, j} & {1, 2}:
+                assert got[a, b] is None
+            else:
+                assert abs(got[a, b] - np.corrcoef(data[both, i], data[both, j])[0, 1]) < 1e-9
+    assert {r["corr"] for r in correlation_matrix(df.limit(0), names).collect()} <= {None}
 
 
 def test_first_and_last_rows(spark):
@@ -114,10 +159,37 @@ def test_auc_against_all_pairs(spark, keys):
     assert abs(got - pairs / (len(pos) * len(neg))) < 1e-12
 
 
-def test_few_rows_checks_its_bound(spark):
-    df = spark.range(6)
-    assert few_rows(df, 5) is df
-    assert sorted(r["id"] for r in few_rows(df, 6).collect()) == list(range(6))
+def test_far_score_does_not_gather_the_rest_in_one_partition(spark):
+    rng = np.random.default_rng(4)
+    scores = np.append(rng.random(4000), 1e9)
+    df = spark.createDataFrame([(int(i % 3 == 0), float(x)) for i, x in enumerate(scores)],
+                               "isFraud int, fraud_score double")
+    advisory = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = score_counts(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", advisory)
+    sizes = [r["count"] for r in counts.groupBy("part").count().collect()]
+    assert sum(sizes) == 4001 and max(sizes) < 2 * 4001 / len(sizes) and len(sizes) > 4
+    y = np.arange(4001) % 3 == 0
+    pos, neg = scores[y], np.sort(scores[~y])
+    expected = np.searchsorted(neg, pos).sum() / (len(pos) * len(neg))
+    assert abs(area_under_roc(counts).first()["auc_roc"] - expected) < 1e-12
+
+
+def test_metrics_row_scans_its_input_once(spark, tmp_path):
+    spark.range(100).select((F.col("id") % 4 == 0).cast("int").alias("isFraud"),
+                            (F.col("id") / 100).alias("fraud_score")).write.parquet(str(tmp_path / "s"))
+    row = model_metrics(spark.read.parquet(str(tmp_path / "s")))
+    assert not [f for f in row.inputFiles() if f.startswith(f"file://{tmp_path}")]
+    first = row.first()
+    assert first["samples_evaluated"] == 100 and first["true_positives"] + first["false_negatives"] == 25
+
+
+def test_single_class_has_no_report(spark):
+    single = spark.createDataFrame([(5, 2, 0, 0)], "tn long, fp long, fn long, tp long")
+    assert class_report(single).count() == 0
 
 
 def test_cut_keys_per_group_with_a_hot_group(spark):
