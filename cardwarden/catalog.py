@@ -16,10 +16,11 @@ from cardwarden.functions import scalars as S
 from cardwarden.operators import cleaning, dashboards, evaluation, joins, profiling, projections
 from cardwarden.operators import quality
 from cardwarden.operators.forest import (
-    fit_forest, grow_forest, spread, stored_nodes, with_scores,
+    NODE_SCHEMA, Forest, ForestParams, anomaly_score, fit_forest, grow_forest, scaling, spread,
+    stored_nodes, with_scores,
 )
 from cardwarden.operators.model_selection import (
-    compare_models, feature_importance, grid_search, stratified_split,
+    MODELS, compare_models, feature_importance, grid_search, stratified_split,
 )
 from cardwarden.plans.flagship import risk_ranking
 from cardwarden.plans.selection import (
@@ -31,7 +32,7 @@ from cardwarden.sources import events as ev
 from cardwarden.sources import views as V
 from cardwarden.streaming.dimensions import card_table, start_upserts, user_table
 from cardwarden.streaming.lifecycle import TrainingPolicy
-from cardwarden.streaming.scoring import ScoringJob
+from cardwarden.streaming.scoring import ScoringJob, new_session_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,17 +47,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return fn
 
 
-# means of cents over 2^n rows end in exact halves, whose rounding would depend on the
-# order of summation; the nudge moves them off the half
-ROUNDING_NUDGE = 3.14159e-8
-
-
 def rounded(df: DataFrame, places: int = 6, columns: list[str] | None = None) -> DataFrame:
-    """Doubles (or the named columns) rounded, as engines differ in the order of summation."""
-    return df.selectExpr(*[
-        f"round({f.name} + {ROUNDING_NUDGE}D, {places}) as {f.name}"
+    """Doubles (or the named columns) rounded: what is summed or computed in an engine's own way."""
+    return df.select(*[
+        F.round(f.name, places).alias(f.name)
         if isinstance(f.dataType, T.DoubleType) and (columns is None or f.name in columns)
-        else f.name for f in df.schema.fields])
+        else F.col(f.name) for f in df.schema.fields])
 
 
 def _scored(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -169,8 +165,8 @@ def anomaly_flags(spark, d):
 def profile_join(spark, d):
     tx = V.transactions(spark, d, "transaccionID", "usuarioID", "TransactionAmt")
     joined = joins.with_profile(tx, V.profiles(spark, d), fill=True)
-    return rounded(joined.select("transaccionID", "usuarioID", "TransactionAmt",
-                                 "promedio_de_gastos", "varianza_de_gastos"))
+    return joined.select("transaccionID", "usuarioID", "TransactionAmt",
+                                 "promedio_de_gastos", "varianza_de_gastos")
 
 
 @query
@@ -223,8 +219,8 @@ def engineered_features(spark, d):
 def user_relative_features(spark, d):
     tx = V.transactions(spark, d, "transaccionID", "usuarioID", "TransactionAmt")
     joined = joins.with_profile(tx, V.profiles(spark, d))
-    return rounded(X.with_user_relative(joined).select(
-        "transaccionID", "ratio_vs_user", "zscore_vs_user"))
+    return X.with_user_relative(joined).select(
+        "transaccionID", "ratio_vs_user", "zscore_vs_user")
 
 
 def _model_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +230,7 @@ def _model_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def feature_vector(spark, d):
-    return rounded(_model_rows(spark, d), columns=C.BEHAVIOUR_FEATURES)
+    return _model_rows(spark, d)
 
 
 @query
@@ -248,8 +244,8 @@ def feature_vector_length(spark, d):
 def rule_probability(spark, d):
     tx = V.transactions(spark, d, "transaccionID", "TransactionAmt", "V314")
     p = S.rule_probability(F.col("TransactionAmt"), F.col("V314"))
-    return rounded(tx.select("transaccionID", p.alias("probability"),
-                             S.is_suspicious(p, 0.1).alias("suspicious")))
+    return tx.select("transaccionID", p.alias("probability"),
+                             S.is_suspicious(p, 0.1).alias("suspicious"))
 
 
 @query
@@ -281,9 +277,9 @@ def safe_casts(spark, d):
 @query
 def clip_and_inflate(spark, d):
     tx = V.transactions(spark, d, "transaccionID", "TransactionAmt", "C1")
-    return rounded(tx.select(
+    return tx.select(
         "transaccionID", S.clip(F.col("TransactionAmt"), 5.0, 100.0).alias("clipped"),
-        S.inflate_amount(F.col("TransactionAmt"), F.lit(8.0) * F.col("C1")).alias("inflated")))
+        S.inflate_amount(F.col("TransactionAmt"), F.lit(8.0) * F.col("C1")).alias("inflated"))
 
 
 @query
@@ -315,8 +311,8 @@ def expiry_format(spark, d):
 
 @query
 def secret_round_trip(spark, d):
-    """A short secret is encrypted and comes back; a long one is kept."""
-    key = F.lit(spark.conf.get("cardwarden.secret.key", "0123456789abcdef"))
+    """A short secret is encrypted and comes back; a long one is kept. Each card has its own key."""
+    key = F.md5("tarjetaID")
     secret = F.when(F.col("seq") % 2 == 0, F.col("card_number")).otherwise(
         F.concat("card_number", "card_number", "card_number"))
     held = V.card_events(spark, d).select("tarjetaID", secret.alias("secret"))
@@ -355,12 +351,12 @@ def constant_fill(spark, d):
 
 @query
 def fraud_rate(spark, d):
-    return rounded(profiling.fraud_rate(V.transactions(spark, d, "isFraud")))
+    return profiling.fraud_rate(V.transactions(spark, d, "isFraud"))
 
 
 @query
 def null_profile(spark, d):
-    return rounded(cleaning.null_profile(_sparse(spark, d)))
+    return cleaning.null_profile(_sparse(spark, d))
 
 
 @query
@@ -410,8 +406,24 @@ def label_counts(spark, d):
 
 @query
 def correlation_matrix(spark, d):
+    """With a constant column, which correlates with nothing, and one with gaps."""
     columns = [*NUMBERS, "C7", "isFraud"]
-    return rounded(profiling.correlation_matrix(V.transactions(spark, d, *columns), columns))
+    tx = V.transactions(spark, d, *columns).withColumns({
+        "constant": F.lit(0.1), "gappy": F.when(F.col("C7") > 1, F.col("V314"))})
+    return rounded(profiling.correlation_matrix(tx, [*columns, "constant", "gappy"]))
+
+
+WIDE = 60
+
+
+@query
+def correlation_wide(spark, d):
+    """Sixty derived columns with gaps; the last one is constant."""
+    n = F.col("event_id")
+    columns = [F.when((n + k) % (k + 3) != 0, F.lit(1.0) if k == WIDE - 1 else n * (k * 7 + 3) % (101 + k) / 2)
+               .alias(f"w{k}") for k in range(WIDE)]
+    return rounded(profiling.correlation_matrix(
+        V.table(spark, d, "events").select(*columns), [f"w{k}" for k in range(WIDE)]))
 
 
 @query
@@ -437,7 +449,7 @@ def iqr_outliers(spark, d):
 
 @query
 def mean_spend_per_card(spark, d):
-    return rounded(profiling.mean_spend_per_card(V.transactions(spark, d, "card1", "TransactionAmt")))
+    return profiling.mean_spend_per_card(V.transactions(spark, d, "card1", "TransactionAmt"))
 
 
 @query
@@ -447,7 +459,7 @@ def mean_of_card_means(spark, d):
 
 @query
 def fraud_by_hour(spark, d):
-    return rounded(profiling.fraud_by_hour(V.transactions(spark, d, "TransactionDT", "isFraud")))
+    return profiling.fraud_by_hour(V.transactions(spark, d, "TransactionDT", "isFraud"))
 
 
 @query
@@ -479,17 +491,17 @@ def numeric_profile(spark, d):
 
 @query
 def categorical_top5(spark, d):
-    return rounded(profiling.categorical_profile(V.transactions(spark, d), CATEGORIES))
+    return profiling.categorical_profile(V.transactions(spark, d), CATEGORIES)
 
 
 @query
 def spending_profiles(spark, d):
-    return rounded(profiling.spending_profiles(V.transactions(spark, d)))
+    return profiling.spending_profiles(V.transactions(spark, d))
 
 
 @query
 def category_fraud_rates(spark, d):
-    return rounded(profiling.learned_rates(V.transactions(spark, d), CATEGORIES))
+    return profiling.learned_rates(V.transactions(spark, d), CATEGORIES)
 
 
 # --- evaluation ------------------------------------------------------------------------
@@ -507,18 +519,18 @@ def evaluable_rows(spark, d):
 @query
 def confusion_metrics(spark, d):
     predicted = evaluation.with_prediction(_evaluable(spark, d))
-    return rounded(evaluation.classification_metrics(evaluation.confusion_counts(predicted)))
+    return evaluation.classification_metrics(evaluation.confusion_counts(predicted))
 
 
 @query
 def class_report(spark, d):
     predicted = evaluation.with_prediction(_evaluable(spark, d))
-    return rounded(evaluation.class_report(evaluation.confusion_counts(predicted)))
+    return evaluation.class_report(evaluation.confusion_counts(predicted))
 
 
 @query
 def roc_auc(spark, d):
-    return rounded(evaluation.roc_auc(_evaluable(spark, d)))
+    return evaluation.roc_auc(_evaluable(spark, d))
 
 
 @query
@@ -526,10 +538,23 @@ def evaluation_summary(spark, d):
     return rounded(evaluation.evaluation_summary(_evaluable(spark, d)))
 
 
+@query
+def single_class_evaluation(spark, d):
+    """Rows of one class: no metrics, no report, no area."""
+    rows = _evaluable(spark, d).filter("isFraud = 0")
+    measured = evaluation.classification_metrics(
+        evaluation.confusion_counts(evaluation.with_prediction(rows)))
+    report = evaluation.class_report(measured.select("tn", "fp", "fn", "tp"))
+    return measured.select(
+        "tn", "fp", "fn", "tp", "precision", "recall", "f1",
+        report.agg(F.count("*").alias("n")).scalar().alias("report_rows"),
+        evaluation.roc_auc(rows).scalar().alias("auc_roc"))
+
+
 @query
 def model_metrics_row(spark, d):
     when = F.expr("TIMESTAMP_NTZ'2024-02-01 00:00:00'")
-    return rounded(evaluation.model_metrics(_evaluable(spark, d), evaluated_at=when))
+    return evaluation.model_metrics(_evaluable(spark, d), evaluated_at=when)
 
 
 # --- windows and ordering --------------------------------------------------------------
@@ -581,24 +606,24 @@ def batch_counters(spark, d):
 
 @query
 def fraud_rate_drift(spark, d):
-    return rounded(dashboards.fraud_rate_drift(V.transactions(spark, d, "fecha_hora_transaccion", "isFraud")))
+    return dashboards.fraud_rate_drift(V.transactions(spark, d, "fecha_hora_transaccion", "isFraud"))
 
 
 @query
 def dimension_breakdown(spark, d):
-    return rounded(dashboards.dimension_breakdown(
+    return dashboards.dimension_breakdown(
         _scored(spark, d, "card4", "DeviceType", "P_emaildomain"),
-        ["card4", "DeviceType", "P_emaildomain"]))
+        ["card4", "DeviceType", "P_emaildomain"])
 
 
 @query
 def alert_triage(spark, d):
-    return rounded(dashboards.alert_triage(_alerts(spark, d)))
+    return dashboards.alert_triage(_alerts(spark, d))
 
 
 @query
 def handled_share(spark, d):
-    return rounded(dashboards.handled_share(_alerts(spark, d)))
+    return dashboards.handled_share(_alerts(spark, d))
 
 
 def _suspect_records(spark, d):
@@ -671,6 +696,85 @@ def forest_alerts(spark, d):
     return projections.alert_projection(enriched, F.col("processed_at"))
 
 
+@query
+def scaling_stats(spark, d):
+    """Mean and population deviation per feature, as the forest scales by them."""
+    _, means, stds = scaling(_model_rows(spark, d), schemas.FEATURE_NAMES)
+    short = lambda c: F.when(F.abs(c) < 1000, F.round(c, 4)).otherwise(F.round(c, 1)).alias(c)
+    return spark.createDataFrame(
+        list(zip(schemas.FEATURE_NAMES, means, stds)), "feature string, mean double, std double",
+    ).select("feature", short("mean"), short("std"))
+
+
+# fixed values: (tree, node, feature, cut, left, right, rows, depth, path length)
+FIXED_NODES = [
+    (0, 0, "TransactionAmt", 100.0, 1, 2, 256, 0, 0.0), (0, 1, None, None, -1, -1, 200, 1, 11.5),
+    (0, 2, "C13", 150.0, 3, 4, 56, 1, 0.0), (0, 3, None, None, -1, -1, 40, 2, 7.25),
+    (0, 4, None, None, -1, -1, 16, 2, 2.5),
+    (1, 0, "V314", 400.0, 1, 2, 256, 0, 0.0), (1, 1, None, None, -1, -1, 205, 1, 10.0),
+    (1, 2, None, None, -1, -1, 51, 1, 3.0),
+    (2, 0, "ratio_vs_user", 1.5, 1, 2, 256, 0, 0.0), (2, 1, None, None, -1, -1, 220, 1, 12.0),
+    (2, 2, None, None, -1, -1, 36, 1, 1.75),
+]
+FIXED_OFFSET = -0.6
+
+
+def fixed_forest(spark: SparkSession) -> Forest:
+    """Three small trees given by hand, so that scores have a closed form."""
+    names = schemas.FEATURE_NAMES
+    nodes = spark.createDataFrame([
+        (t, n, names.index(f) if f else -1, float("inf") if cut is None else cut, left, right, size, depth, path)
+        for t, n, f, cut, left, right, size, depth, path in FIXED_NODES], NODE_SCHEMA)
+    return Forest(nodes, names, [0.0] * len(names), [1.0] * len(names), 256, 256,
+                  ForestParams(trees=3, max_samples=256), FIXED_OFFSET)
+
+
+@query
+def fixed_forest_scores(spark, d):
+    scored = with_scores(_model_rows(spark, d), fixed_forest(spark))
+    return rounded(scored.select("transaccionID", "anomaly_score", "decision", "prediction", "score"))
+
+
+@query
+def forest_contract(spark, d):
+    """Per tree: the rows at its root, the rows in its leaves, and whether it keeps the height limit."""
+    rows = written(_model_rows(spark, d), "training-rows")
+    forest = grow_forest(rows, "transaccionID", schemas.FEATURE_NAMES)
+    at_root = F.max(F.when(F.col("node_id") == 0, F.col("size")))
+    return forest.nodes.groupBy("tree_id").agg(
+        at_root.cast("bigint").alias("root_rows"),
+        F.sum(F.when(F.col("left") < 0, F.col("size"))).alias("leaf_rows"),
+        (F.max("depth") <= F.ceil(F.log2(at_root))).alias("within_height"))
+
+
+@query
+def offset_share(spark, d):
+    """The offset lies at the rank of the contamination among all training scores."""
+    rows = written(_model_rows(spark, d), "training-rows")
+    params = ForestParams(trees=40, max_samples=256)
+    forest = fit_forest(rows, "transaccionID", schemas.FEATURE_NAMES, params)
+    scores = spread(rows).select(anomaly_score(forest).alias("s"))
+    counts = scores.agg(F.count("*").alias("n"), F.count_if(F.col("s") < forest.offset).alias("below"),
+                        F.count_if(F.col("s") <= forest.offset).alias("upto"))
+    rank = F.floor((F.col("n") - 1) * params.contamination) + 1
+    return counts.select("n", ((F.col("below") <= rank) & (F.col("upto") >= rank)).alias("at_rank"))
+
+
+@query
+def grid_contract(spark, d):
+    """The settings of the grid and the test rows behind each."""
+    return grid_search(V.transactions(spark, d), "transaccionID", trees=(10, 30)).drop("f1")
+
+
+@query
+def comparison_contract(spark, d):
+    """Names, sizes and test rows of all models of the comparison, with small forests."""
+    small = {name: (columns, 10, samples, share) for name, (columns, _, samples, share) in MODELS.items()}
+    rows = compare_models(V.transactions(spark, d), "transaccionID", IGNORED, small)
+    return rows.select("model", "n_features", "trees", "sample_size", (F.col("tp") + F.col("fn")).alias("frauds"),
+                       (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("test_rows"))
+
+
 IGNORED = ["usuarioID", "tarjetaID", "terminalID", "fecha_hora_transaccion"]
 
 
@@ -694,16 +798,109 @@ def feature_importances(spark, d):
 ONCE = {"availableNow": True}
 
 
+def _message_batches(spark: SparkSession, folder: str, batches: list[DataFrame]) -> DataFrame:
+    """Message frames as a stream with one micro-batch each, in order."""
+    for number, rows in enumerate(batches):
+        rows.coalesce(1).write.text(os.path.join(folder, "messages", str(number)))
+    return ev.read_events(spark, "text", {"maxFilesPerTrigger": "1"}, os.path.join(folder, "messages", "*"))
+
+
+def _quarters(spark: SparkSession, d: str) -> list[DataFrame]:
+    tx = V.transactions(spark, d)
+    return [V.as_messages(tx.filter(F.col("transaccionID").cast("bigint") % 4 == k)) for k in range(4)]
+
+
+def _run(job: ScoringJob, stream: DataFrame) -> ScoringJob:
+    job.start(stream, os.path.join(job.folder, "checkpoint"), ONCE).awaitTermination()
+    return job
+
+
+NEVER = TrainingPolicy(warmup_size=10**9, window_size=10**9)
+
+
+def _training_once(spark: SparkSession, label: str) -> ScoringJob:
+    """A session that trains after its first batch; at threshold 0 every scored row is suspicious."""
+    return ScoringJob(spark, scratch_path(spark, label), threshold=0.0,
+                      forest=ForestParams(trees=10, max_samples=64),
+                      policy=TrainingPolicy(warmup_size=100, retrain_seconds=1e9))
+
+
+def _scored_by_fixed_forest(spark: SparkSession, d: str) -> ScoringJob:
+    """The scoring stream over all transactions in four batches, with profiles and a stored model."""
+    folder = scratch_path(spark, "stream-scored")
+    profiles = written(V.profiles(spark, d), "profiles")
+    job = ScoringJob(spark, folder, profiles=lambda: profiles, policy=NEVER)
+    job.models.save(fixed_forest(spark), "an earlier session", 0.0)
+    return _run(job, _message_batches(spark, folder, _quarters(spark, d)))
+
+
 @query
 def stream_scored(spark, d):
-    """The scoring stream over the events table; no model yet, so scores stay null."""
-    folder = scratch_path(spark, "stream-scored")
-    tx = V.transactions_from(V.event_stream(spark, d), V.table(spark, d, "customer"))
-    job = ScoringJob(spark, folder, policy=TrainingPolicy(warmup_size=10**9, window_size=10**9))
-    job.start(V.as_messages(tx), os.path.join(folder, "checkpoint"), ONCE).awaitTermination()
-    return job.table("transactions_enriched").select(
+    """The scoring stream with profiles and a stored model, which scores but raises no alert."""
+    return _scored_by_fixed_forest(spark, d).table("transactions_enriched").select(
         "transaccionID", "usuarioID", "TransactionAmt", "zscore_amt", "velocity", "amt_distance",
-        "fraud_score", "is_suspicious", "is_warmed_up", "isFraud")
+        "fraud_score", "is_suspicious", "is_warmed_up", "model_version", "isFraud")
+
+
+@query
+def session_counters(spark, d):
+    """Running totals of the session after each of its four batches."""
+    job = _scored_by_fixed_forest(spark, d)
+    return dashboards.session_counters(job.table("batch_log")).drop("session_id").withColumn(
+        "batch_id", F.col("batch_id").cast("bigint"))
+
+
+@query
+def stream_alerts(spark, d):
+    """Alerts of a session that has trained after its first batch."""
+    job = _training_once(spark, "stream-alerts")
+    _run(job, _message_batches(spark, job.folder, _quarters(spark, d)))
+    return job.table("fraud_alerts").select(
+        "transaccionID", "usuarioID", "TransactionAmt", "isFraud_label", "status")
+
+
+@query
+def stream_dedupe_two_batches(spark, d):
+    """Three batches over all days with repeated ids, within a batch too: the first one stays."""
+    folder = scratch_path(spark, "stream-dedupe")
+    n = F.col("transaccionID").cast("bigint") % 3
+    tx = V.transactions(spark, d)
+    twice = tx.withColumn("TransactionAmt", F.col("TransactionAmt") * 2)
+    batches = [tx.filter(n == 0), twice.filter(n == 0).unionByName(tx.filter(n == 1)),
+               twice.unionByName(tx)]
+    job = _run(ScoringJob(spark, folder, policy=NEVER),
+               _message_batches(spark, folder, [V.as_messages(b) for b in batches]))
+    raw, enriched = (job.table(t).select("transaccionID", "TransactionAmt") for t in (
+        "transactions_raw", "transactions_enriched"))
+    return raw.withColumnRenamed("TransactionAmt", "raw_amount").join(enriched, "transaccionID", "full")
+
+
+@query
+def stream_quarantine(spark, d):
+    """Unreadable and wrong-typed messages, sent twice and kept once."""
+    folder = scratch_path(spark, "stream-quarantine")
+    fields = ("transaccionID", "usuarioID", "TransactionAmt", "C1", "isFraud")
+    flawed = V.flawed_messages(V.transactions(spark, d, *fields)).filter("value is not null")
+    job = _run(ScoringJob(spark, folder, policy=NEVER), _message_batches(spark, folder, [flawed, flawed]))
+    return job.table("quarantine").select("transaccionID", "record", "reason")
+
+
+@query
+def stored_key_violations(spark, d):
+    """Rows and distinct keys of the five stored tables with a unique key, after repeated input."""
+    job, quarters = _training_once(spark, "stored-keys"), _quarters(spark, d)
+    _run(job, _message_batches(spark, job.folder, [*quarters, quarters[1]]))
+    users, cards = user_table(spark, job.path("users")), card_table(spark, job.path("cards"))
+    user = F.col("user_id").cast("string")
+    events = V.table(spark, d, "events").select(
+        F.col("event_id").alias("arrival"), user.alias("usuarioID"), F.concat(F.lit("CRD_"), user).alias("tarjetaID"))
+    for table in (users, cards):
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in table.schema.fields if f.name not in events.columns}
+        for number in range(2):
+            table.upsert(events.withColumns(missing), "a session", number)
+    return quality.stored_key_violations({
+        "user_profiles": users.snapshot(), "cards": cards.snapshot(),
+        **{t: job.table(t) for t in ("transactions_raw", "transactions_enriched", "fraud_alerts")}})
 
 
 @query
@@ -744,37 +941,30 @@ def stream_card_upsert(spark, d):
 
 @query
 def stream_fraud_rate(spark, d):
-    """Fraud rate per day over the stream; windows are emitted once the watermark passes them."""
+    """Fraud rate per day over the stream, the days still open included."""
     folder = scratch_path(spark, "stream-rate")
     tx = V.transactions_from(
         V.event_stream(spark, d), None, ("fecha_hora_transaccion", "isFraud"))
-    rates = dashboards.fraud_rate_stream(tx, "fecha_hora_transaccion")
-    (rates.writeStream.format("parquet").option("path", os.path.join(folder, "rates"))
-     .option("checkpointLocation", os.path.join(folder, "checkpoint"))
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
-    schema = rates.schema
-    return rounded(spark.read.schema(schema).parquet(os.path.join(folder, "rates")))
+    rates = dashboards.rate_table(spark, os.path.join(folder, "rates"))
+    dashboards.start_fraud_rates(tx, "fecha_hora_transaccion", rates, os.path.join(folder, "checkpoint"),
+                                 new_session_id(), ONCE).awaitTermination()
+    return rates.snapshot()
 
 
 @query
 def lifecycle_run(spark, d):
-    """Warm-up, first training and alerts over all transactions in four micro-batches."""
+    """No model in the first batch, then a new version for each of the other three."""
     folder = scratch_path(spark, "lifecycle")
-    messages = os.path.join(folder, "messages")
-    tx = V.transactions(spark, d).repartitionByRange(4, "TransactionDT")
-    V.as_messages(tx).write.text(messages)
     profiles = written(V.profiles(spark, d), "profiles")
-    job = ScoringJob(spark, folder, profiles=lambda: profiles,
-                     policy=TrainingPolicy(retrain_seconds=0))
-    stream = ev.read_events(spark, "text", {"maxFilesPerTrigger": "1"}, messages)
-    job.start(stream, os.path.join(folder, "checkpoint"), ONCE).awaitTermination()
-    return job.table("transactions_enriched").groupBy(
-        "model_version", "is_warmed_up").agg(
-        F.count("*").alias("n"), F.count_if("is_suspicious").alias("suspicious"))
+    job = ScoringJob(spark, folder, profiles=lambda: profiles, forest=ForestParams(trees=20, max_samples=256),
+                     policy=TrainingPolicy(warmup_size=100, retrain_seconds=0))
+    _run(job, _message_batches(spark, folder, _quarters(spark, d)))
+    return job.table("transactions_enriched").groupBy("model_version", "is_warmed_up").agg(
+        F.count("*").alias("n"), F.count("fraud_score").alias("scored"))
 
 
 @query
 def flagship(spark, d):
     tx = V.transactions(spark, d, "transaccionID", "usuarioID", "fecha_hora_transaccion",
                         "TransactionAmt", "C1", "D1", "V314")
-    return rounded(risk_ranking(tx, V.profiles(spark, d)))
+    return risk_ranking(tx, V.profiles(spark, d))

@@ -132,3 +132,32 @@ def iso_text(ts: Column) -> Column:
 
 def log_amount(amount: Column) -> Column:
     return F.log1p(amount)
+
+
+def _fixed_point(value: Column, places: int) -> Column:
+    return value.cast(f"decimal(18,{places})")
+
+
+def exact_mean(value: Column, places: int = 4) -> Column:
+    """Mean of amounts of so many decimal places: summed exactly, divided once.
+
+    The result does not depend on the order in which rows are added up.
+    """
+    return F.sum(_fixed_point(value, places)).cast("double") / F.nullif(F.count(value), F.lit(0))
+
+
+def exact_variance(value: Column, places: int = 4) -> Column:
+    """Sample variance from exact sums, null for fewer than two values; see ``exact_mean``."""
+    fixed = _fixed_point(value, places)
+    n, total = F.count(value), F.sum(fixed).cast("double")
+    squares = F.sum(fixed * fixed).cast("double")
+    spread = n * squares - total * total
+    return F.greatest(spread, F.lit(0.0)) / F.nullif(n * (n - 1), F.lit(0))
+
+
+def secret_key(spark) -> str:
+    """The configured encryption key; there is none in the code."""
+    key = spark.conf.get("cardwarden.secret.key", None)
+    if not key:
+        raise ValueError("set cardwarden.secret.key to a key of 16, 24 or 32 bytes")
+    return key

@@ -1,10 +1,11 @@
-"""The five data jobs as functions and commands: clean, statistics, train, evaluate, stream."""
+"""The data jobs as functions and commands: clean, statistics, train, evaluate, stream, retention."""
 
 from __future__ import annotations
 
 import argparse
 import os
 import time
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from cardwarden.operators.model_selection import (
     MODELS, compare_models, evaluate_forest, feature_importance, grid_search, model_frame,
     stratified_split, train_contamination,
 )
-from cardwarden.session import build_session, scratch_folder, written
+from cardwarden.session import build_session, scratch_folder, scratch_path, written
 from cardwarden.sinks import reports
+from cardwarden.sinks.tables import drop_expired, drop_old_batches
 from cardwarden.sources.events import kafka_options, read_events
 from cardwarden.sources.files import read_csv
 from cardwarden.streaming.dimensions import card_table, start_upserts, user_table
@@ -33,8 +35,9 @@ def clean_files(spark: SparkSession, transactions: str, identities: str, out: st
     """Join transactions with identities, drop sparse columns, fill gaps, store the result."""
     joined = joins.with_identity(
         read_csv(spark, transactions), read_csv(spark, identities), OFFLINE_KEY)
-    # written once before the passes that measure gaps, medians and modes
-    cleaning.clean(written(joined, "joined")).write.mode("overwrite").parquet(out)
+    with scratch_folder(spark, "clean") as folder:
+        # written once before the passes that measure gaps, medians and modes
+        cleaning.clean(written(joined, "joined", folder)).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
@@ -51,15 +54,16 @@ def statistics(spark: SparkSession, cleaned: str, out: str) -> None:
 def train(spark: SparkSession, cleaned: str, out: str, model: str = "top_25") -> DataFrame:
     """Split, fit one of the named models, store it and return its quality on the test rows."""
     columns, trees, samples, share = MODELS[model]
-    split = stratified_split(spark.read.parquet(cleaned), OFFLINE_KEY)
-    chosen = columns or [c for c in split.columns if c not in (OFFLINE_KEY, "isFraud", "is_test")]
-    frame, features = model_frame(split, chosen, [OFFLINE_KEY, "isFraud", "is_test"])
-    frame = written(frame, "training-frame")
-    rows = frame.filter(~F.col("is_test"))
-    params = ForestParams(trees, samples, share, train_contamination(rows))
-    forest = fit_forest(rows, OFFLINE_KEY, features, params)
-    ModelStore(spark, out).save(forest, f"offline-{model}", time.time())
-    return evaluate_forest(forest, frame.filter("is_test"), model)
+    with scratch_folder(spark, "train") as folder:
+        split = stratified_split(spark.read.parquet(cleaned), OFFLINE_KEY)
+        chosen = columns or [c for c in split.columns if c not in (OFFLINE_KEY, "isFraud", "is_test")]
+        frame, features = model_frame(split, chosen, [OFFLINE_KEY, "isFraud", "is_test"])
+        frame = written(frame, "frame", folder)
+        rows = frame.filter(~F.col("is_test"))
+        params = ForestParams(trees, samples, share, train_contamination(rows))
+        forest = fit_forest(rows, OFFLINE_KEY, features, params, scratch_path(spark, "nodes", folder))
+        ModelStore(spark, out).save(forest, f"offline-{model}", time.time())
+        return evaluate_forest(forest, frame.filter("is_test"), model)
 
 
 def experiments(spark: SparkSession, cleaned: str, out: str) -> None:
@@ -89,6 +93,28 @@ def evaluate(spark: SparkSession, enriched: str, metrics: str | None = None,
     return frames
 
 
+#: Tables of a stream folder under event days, and those in one folder per batch.
+DATED = ("transactions_raw", "transactions_enriched", "fraud_alerts", "quarantine")
+BATCHED = ("features", "batch_log", "feed_alerts", "feed_scores", "feed_enriched")
+
+
+def retention(spark: SparkSession, folder: str, today: str | None = None) -> dict[str, list[str] | int]:
+    """Drop what is older than its retention: whole days of stored tables, old batches of the rest.
+
+    Days are event days; quarantined records go by the day they came. Tables without a period
+    of their own keep as long as the enriched table. Dimensions drop folded rows themselves.
+    """
+    now = date.fromisoformat(today) if today else datetime.now(timezone.utc).date()
+
+    def oldest(table: str) -> str:
+        days = C.RETENTION_DAYS.get(table, C.RETENTION_DAYS["transactions_enriched"])
+        return (now - timedelta(days=days)).isoformat()
+
+    dropped: dict[str, list[str] | int] = {
+        t: drop_expired(spark, os.path.join(folder, t), oldest(t)) for t in DATED}
+    return dropped | {t: drop_old_batches(spark, os.path.join(folder, t), oldest(t)) for t in BATCHED}
+
+
 def stream_group(spark: SparkSession, servers: str, folder: str, topics: dict[str, str],
                  max_offsets: int = 200, trigger: str = "5 seconds") -> StreamGroup:
     """The scoring, user and card streams over topics; profiles come from the user table."""
@@ -132,7 +158,7 @@ def main(argv: list[str] | None = None) -> None:
     for name, paths in {
         "clean": ["transactions", "identities", "out"], "statistics": ["cleaned", "out"],
         "experiments": ["cleaned", "out"], "train": ["cleaned", "out"], "evaluate": ["enriched"],
-        "stream": ["servers", "folder"],
+        "stream": ["servers", "folder"], "retention": ["folder"],
     }.items():
         command = commands.add_parser(name)
         for path in paths:
@@ -159,6 +185,8 @@ def main(argv: list[str] | None = None) -> None:
         experiments(spark, **args)
     elif job == "train":
         train(spark, **args).show(truncate=False)
+    elif job == "retention":
+        print(retention(spark, **args))
     elif job == "evaluate":
         for frame in evaluate(spark, **args).values():
             frame.show(truncate=False)

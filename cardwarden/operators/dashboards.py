@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from cardwarden import constants as C
+from cardwarden.functions.scalars import exact_mean
+from cardwarden.sinks.tables import DimensionTable
+from cardwarden.sources.events import with_arrival
 
 
 def _counters() -> list:
@@ -23,6 +28,14 @@ def batch_counters(enriched: DataFrame) -> DataFrame:
     return enriched.agg(*_counters())
 
 
+def session_counters(log: DataFrame) -> DataFrame:
+    """Running totals per session after each of its batches, from the batch log."""
+    so_far = Window.partitionBy("session_id").orderBy("batch_id").rowsBetween(
+        Window.unboundedPreceding, 0)
+    return log.select("session_id", "batch_id", *[
+        F.sum(c).over(so_far).alias(c) for c in ("rows", "alerts", "total_scored", "total_at_threshold")])
+
+
 def observed_counters(enriched: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """The same counters collected while the frame is written: no extra pass."""
     observation = Observation(name)
@@ -45,9 +58,14 @@ def fraud_rate_drift(tx: DataFrame, time: str = "fecha_hora_transaccion", every:
     )
 
 
+RATES = T.StructType([
+    T.StructField("window_start", T.TimestampNTZType()), T.StructField("n", T.LongType()),
+    T.StructField("frauds", T.LongType()), T.StructField("rate", T.DoubleType())])
+
+
 def fraud_rate_stream(tx: DataFrame, time: str, every: str = "1 day",
                       late: str = "1 hour") -> DataFrame:
-    """The per-window rate over a stream; the watermark lets finished windows be emitted."""
+    """The per-window rate over a stream; the watermark bounds the state."""
     timed = tx.withColumn(time, F.col(time).cast("timestamp"))  # what a watermark accepts
     return (
         timed.withWatermark(time, late).groupBy(F.window(time, every).alias("w"))
@@ -57,6 +75,23 @@ def fraud_rate_stream(tx: DataFrame, time: str, every: str = "1 day",
     )
 
 
+def rate_table(spark, path: str) -> DimensionTable:
+    return DimensionTable(spark, path, "window_start", RATES)
+
+
+def start_fraud_rates(tx: DataFrame, time: str, table: DimensionTable, checkpoint: str,
+                      session_id: str, trigger: dict | None = None, every: str = "1 day") -> StreamingQuery:
+    """Keep the rate of every window current, the open ones included: one upsert per changed window."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(with_arrival(batch), session_id, batch_id)
+
+    return (
+        fraud_rate_stream(tx, time, every).writeStream.outputMode("update").foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+    )
+
+
 def dimension_breakdown(enriched: DataFrame, dimensions: list[str], every: str = "1 day") -> DataFrame:
     """Rows, suspicious rows and mean score per dimension value and time window."""
     long = enriched.select("processed_at", "fraud_score", *dimensions).unpivot(
@@ -65,7 +100,7 @@ def dimension_breakdown(enriched: DataFrame, dimensions: list[str], every: str =
         long.groupBy(F.window("processed_at", every).alias("w"), "dimension", "value")
         .agg(F.count("*").alias("n"),
              F.count_if(F.col("fraud_score") >= C.THRESHOLD).alias("suspicious"),
-             F.avg("fraud_score").alias("mean_score"))
+             exact_mean(F.col("fraud_score")).alias("mean_score"))
         .select(F.col("w.start").alias("window_start"), "dimension", "value", "n", "suspicious",
                 "mean_score")
     )

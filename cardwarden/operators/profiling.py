@@ -155,7 +155,7 @@ def outliers(df: DataFrame, column: str) -> DataFrame:
 
 
 def mean_spend_per_card(df: DataFrame) -> DataFrame:
-    return df.groupBy("card1").agg(F.avg("TransactionAmt").alias("mean_spend"))
+    return df.groupBy("card1").agg(S.exact_mean(F.col("TransactionAmt")).alias("mean_spend"))
 
 
 def mean_of_card_means(df: DataFrame) -> DataFrame:
@@ -220,8 +220,8 @@ def spending_profiles(df: DataFrame, limit: int = C.PROFILE_LIMIT) -> DataFrame:
     """Mean, sample variance and count per combination of nine keys, the most active first."""
     return (
         fill_profile_defaults(df).groupBy(*C.PROFILE_KEYS)
-        .agg(F.avg("TransactionAmt").alias("mean"),
-             F.coalesce(F.var_samp("TransactionAmt"), F.lit(0.0)).alias("var"),
+        .agg(S.exact_mean(F.col("TransactionAmt")).alias("mean"),
+             F.coalesce(S.exact_variance(F.col("TransactionAmt")), F.lit(0.0)).alias("var"),
              F.count("TransactionAmt").alias("count"))
         .orderBy(F.desc("count"), *C.PROFILE_KEYS).limit(limit)
     )

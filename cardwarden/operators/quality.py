@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,14 @@ def within_retention(df: DataFrame, table: str, now: Column) -> DataFrame:
     """Rows younger than the table's retention."""
     age_limit = now - F.make_interval(days=F.lit(C.RETENTION_DAYS[table]))
     return df.filter(F.col(C.RETENTION_COLUMN[table]) > age_limit)
+
+
+def stored_key_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per stored table with a unique key: rows, distinct keys, and rows without a key."""
+    counted = [
+        df.groupBy(C.UNIQUE_KEYS[name]).agg(F.count("*").alias("n")).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(C.UNIQUE_KEYS[name]).alias("keys"),
+            F.coalesce(F.sum(F.when(F.col(C.UNIQUE_KEYS[name]).isNull(), F.col("n"))), F.lit(0)).alias("keyless"))
+        .select(F.lit(name).alias("table_name"), "rows", "keys", "keyless")
+        for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counted)

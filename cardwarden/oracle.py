@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cardwarden import constants as C
+from cardwarden.operators.forest import average_path
 
 DT = "date_diff('second', TIMESTAMP '2024-01-01 00:00:00', e.ts)"
 K = "cast(json_extract_string(e.props, '$.k') as int)"
@@ -35,9 +36,17 @@ select cast(e.event_id as varchar) as "transaccionID", e.ts as fecha_hora_transa
   case when e.event_id % 29 = 0 then 1 else 0 end as "isFraud"
 from events e left join customer c on e.user_id = c.c_custkey)"""
 
-PROFILES = """profiles as (
-select cast(user_id as varchar) as "usuarioID", avg(value) as promedio_de_gastos,
-  var_samp(value) as varianza_de_gastos
+# exact sums of amounts, divided once
+_FIXED = "cast({0} as decimal(18,4))"
+_SUM = f"cast(sum({_FIXED}) as double)"
+_SQUARES = f"cast(sum({_FIXED} * {_FIXED}) as double)"
+MEAN = f"{_SUM} / nullif(count({{0}}), 0)"
+VARIANCE = (f"greatest(count({{0}}) * {_SQUARES} - {_SUM} * {_SUM}, 0::double)"
+            " / nullif(count({0}) * (count({0}) - 1), 0)")
+
+PROFILES = f"""profiles as (
+select cast(user_id as varchar) as "usuarioID", {MEAN.format('value')} as promedio_de_gastos,
+  {VARIANCE.format('value')} as varianza_de_gastos
 from events where user_id % 5 <> 0 group by user_id)"""
 
 CARDS = """cards as (
@@ -118,9 +127,10 @@ def _rate_case(name: str) -> str:
 
 
 RATES = ", ".join(_rate_case(name) for name in C.CATEGORY_RATES)
-RELATIVE = """round("TransactionAmt" / greatest(coalesce(promedio_de_gastos, 135.027), 1::double), 6) as ratio_vs_user,
-  round(("TransactionAmt" - coalesce(promedio_de_gastos, 135.027::double))
-    / greatest(sqrt(coalesce(varianza_de_gastos, 239.163::double * 239.163::double)), 1::double), 6) as zscore_vs_user"""
+RATIO = '"TransactionAmt" / greatest(coalesce(promedio_de_gastos, 135.027::double), 1::double)'
+RELATIVE = f"""{RATIO} as ratio_vs_user,
+  ("TransactionAmt" - coalesce(promedio_de_gastos, 135.027::double))
+    / greatest(sqrt(coalesce(varianza_de_gastos, 239.163::double * 239.163::double)), 1::double) as zscore_vs_user"""
 
 
 def _long(columns: list[str], extra: str = "") -> str:
@@ -152,6 +162,33 @@ def _report_row(name: str, hit: str, false_hit: str, missed: str) -> str:
 from confusion"""
 
 
+SPLIT = """sizes as (select "isFraud", count(*) as c,
+    count(*) * ceil(sum(count(*)) over () * 0.2::double) / sum(count(*)) over () as exact,
+    ceil(sum(count(*)) over () * 0.2::double) as draws from tx group by "isFraud"),
+quota as (select "isFraud", floor(exact) + case when row_number() over (order by exact - floor(exact) desc, "isFraud")
+    <= draws - sum(floor(exact)) over () then 1 else 0 end as take from sizes),
+split as (select t."transaccionID", t."isFraud", row_number() over (partition by t."isFraud"
+    order by md5('42:' || t."transaccionID")) <= take as is_test
+from tx t join quota q on t."isFraud" = q."isFraud")"""
+
+FEATURES = 'select "transaccionID", ' + ", ".join(
+    f'coalesce(cast("{c}" as double), 0) as "{c}"' for c in C.NUMERIC_FEATURES) + f""", {RATES},
+  {RELATIVE} from tx left join profiles using ("usuarioID")"""
+
+FEATURE_NAMES = [*C.NUMERIC_FEATURES, *[f"{c}_rate" for c in C.CATEGORY_RATES], *C.BEHAVIOUR_FEATURES]
+
+# the three trees of the catalog's fixed forest, walked by hand
+FIXED_OFFSET = -0.6
+FIXED = f"""walked as (
+select *, (case when "TransactionAmt" > 100 then case when "C13" > 150 then 2.5::double else 7.25::double end
+    else 11.5::double end
+  + case when "V314" > 400 then 3::double else 10::double end
+  + case when {RATIO} > 1.5 then 1.75::double else 12::double end) / 3 as depth
+from tx left join profiles using ("usuarioID")),
+fixed as (select *, 1::double / (1::double + exp(5::double * (s - {FIXED_OFFSET}::double) / abs({FIXED_OFFSET}::double))) as score
+from (select *, -pow(2::double, -depth / {float(average_path(256))!r}::double) as s from walked))"""
+
+
 SUSPECT = """suspect as (
 select "transaccionID", cast("transaccionID" as bigint) as n from tx)"""
 
@@ -169,10 +206,29 @@ from tx, span group by 1, least(floor(("TransactionAmt" - low) / ((high - low) /
 QUARTILES = _each("""select '{c}' as column_name, quantile_cont("{c}", 0.25) as q25,
   quantile_cont("{c}", 0.5) as q50, quantile_cont("{c}", 0.75) as q75 from tx""", NUMS)
 
-_PAIRS = [*NUMS, "C7", "isFraud"]
-CORRELATION = " union all ".join(
-    f"""select '{a}' as col_a, '{b}' as col_b, round(corr("{a}", "{b}"), 6) as corr from tx"""
-    for a in _PAIRS for b in _PAIRS)
+_PAIRS = [*NUMS, "C7", "isFraud", "constant", "gappy"]
+
+
+def _correlations(columns: list[str], source: str) -> str:
+    """All pairs; a column that does not vary within a pair gives null."""
+    def varies(a: str, b: str) -> str:
+        return f"""stddev_pop(case when "{b}" is not null then "{a}" end) > 0"""
+
+    entries = ", ".join(
+        f"""{{'col_a': '{a}', 'col_b': '{b}', 'corr': case when {varies(a, b)} and {varies(b, a)}
+  then round(corr("{a}", "{b}"), 6) end}}""" for a in columns for b in columns)
+    return f"select unnest(list_value({entries}), recursive := true) from {source}"
+
+
+CORRELATION = _correlations(_PAIRS, """(select *, 0.1::double as constant,
+  case when "C7" > 1 then "V314" end as gappy from tx)""")
+
+_WIDE = ", ".join(
+    f"case when (event_id + {k}) % {k + 3} <> 0 then "
+    + ("1.0::double" if k == 59 else f"cast(event_id * {k * 7 + 3} % {101 + k} as double) / 2")
+    + f" end as w{k}" for k in range(60))
+CORRELATION_WIDE = "with wide as (select " + _WIDE + " from events) " + _correlations(
+    [f"w{k}" for k in range(60)], "wide")
 
 PROFILE_KEYS_SQL = """card1, coalesce(card4, 'unknown') as card4, coalesce(card6, 'unknown') as card6,
   coalesce("ProductCD", 'W') as "ProductCD", coalesce("P_emaildomain", 'unknown.com') as "P_emaildomain",
@@ -186,17 +242,19 @@ def _code(c: str) -> str:
     return f"""dense_rank() over (order by coalesce("{c}", 'nan')) - 1 as "{c}\""""
 
 
-SQL: dict[str, str] = {
-    "parse_events_json": _with(TX) + """select "transaccionID", "usuarioID",
-  case when cast("transaccionID" as bigint) % 50 <> 1 then "TransactionAmt" end as "TransactionAmt",
-  "C1", "isFraud" from tx where cast("transaccionID" as bigint) % 50 not in (0, 2)""",
-    "quarantine_split": _with(TX) + """
+QUARANTINED = _with(TX) + """
 select cast(null as varchar) as "transaccionID", 'not json ' || "transaccionID" as record,
   'unreadable' as reason from tx where cast("transaccionID" as bigint) % 50 = 0
 union all
 select "transaccionID", '{"transaccionID":"' || "transaccionID" || '","usuarioID":"' || "usuarioID"
   || '","TransactionAmt":"x","C1":' || cast("C1" as varchar) || ',"isFraud":' || cast("isFraud" as varchar)
-  || '}', 'wrong_type' from tx where cast("transaccionID" as bigint) % 50 = 1""",
+  || '}', 'wrong_type' from tx where cast("transaccionID" as bigint) % 50 = 1"""
+
+SQL: dict[str, str] = {
+    "parse_events_json": _with(TX) + """select "transaccionID", "usuarioID",
+  case when cast("transaccionID" as bigint) % 50 <> 1 then "TransactionAmt" end as "TransactionAmt",
+  "C1", "isFraud" from tx where cast("transaccionID" as bigint) % 50 not in (0, 2)""",
+    "quarantine_split": QUARANTINED,
     "raw_projection": _with(TX) + """select "transaccionID", "usuarioID", "tarjetaID",
   fecha_hora_transaccion, "TransactionAmt", "TransactionDT", "isFraud",
   fecha_hora_transaccion as ingested_at from tx""",
@@ -216,8 +274,8 @@ from enriched where is_suspicious""",
     "anomaly_flags": _with(TX, SCORED) + """select "transaccionID",
   case when fraud_score > 0.9 then 1 else 0 end as anomaly from scored""",
     "profile_join": _with(TX, PROFILES) + """select "transaccionID", "usuarioID", "TransactionAmt",
-  round(coalesce(promedio_de_gastos, 135.027), 6) as promedio_de_gastos,
-  round(coalesce(varianza_de_gastos, 239.163::double * 239.163::double), 6) as varianza_de_gastos
+  coalesce(promedio_de_gastos, 135.027::double) as promedio_de_gastos,
+  coalesce(varianza_de_gastos, 239.163::double * 239.163::double) as varianza_de_gastos
 from tx left join profiles using ("usuarioID")""",
     "card_join": _with(TX, CARDS) + """select "transaccionID", "usuarioID", "tarjetaID_1" as "card_tarjetaID",
   card4_1 as card_card4, card6_1 as card_card6
@@ -242,7 +300,7 @@ qualify row_number() over (partition by user_id order by ts, event_id) = 1""",
         f'coalesce(cast("{c}" as double), 0) as "{c}"' for c in C.NUMERIC_FEATURES)
     + f""", {RATES}, {RELATIVE} from tx left join profiles using ("usuarioID")""",
     "feature_vector_length": "select cast(27 as int) as entries, count(*) as n from events",
-    "rule_probability": _with(TX) + f"""select "transaccionID", round({RULE}, 6) as probability,
+    "rule_probability": _with(TX) + f"""select "transaccionID", {RULE} as probability,
   {RULE} >= 0.1 as suspicious from tx""",
     "sigmoid_score": _with(TX) + """select "transaccionID",
   round(case when cast("transaccionID" as bigint) % 9 = 0 then 0.5::double else
@@ -254,8 +312,8 @@ qualify row_number() over (partition by user_id order by ts, event_id) = 1""",
     "safe_casts": """select o_orderkey, 7.5::double as bad_double, o_totalprice as good_double,
   cast(left(o_orderpriority, 1) as int) as good_int, cast(1 as int) as bad_int from orders""",
     "clip_and_inflate": _with(TX) + """select "transaccionID",
-  round(least(greatest("TransactionAmt", 5), 100), 6) as clipped,
-  round(least(greatest("TransactionAmt" * (8 * "C1"), 0.251::double), 31937.391::double), 6) as inflated from tx""",
+  least(greatest("TransactionAmt", 5::double), 100::double) as clipped,
+  least(greatest("TransactionAmt" * (8 * "C1"), 0.251::double), 31937.391::double) as inflated from tx""",
     "hour_and_day_index": _with(TX) + """select "transaccionID",
   cast(((floor(("TransactionDT" - 500000) / 3600) % 24) + 24) % 24 as int) as hour,
   cast(((floor(("TransactionDT" - 500000) / 86400) % 7) + 7) % 7 as int) as day from tx""",
@@ -271,10 +329,10 @@ qualify row_number() over (partition by user_id order by ts, event_id) = 1""",
     "fill_defaults": _with(TX) + f"""select "transaccionID", {PROFILE_KEYS_SQL} from tx""",
     "constant_fill": _with(TX, SPARSE) + """select "transaccionID", coalesce(amt_gap, -999) as amt_gap,
   coalesce(addr_sparse, -999) as addr_sparse, coalesce(cat_gap, '-999') as cat_gap, "isFraud" from sparse""",
-    "fraud_rate": _with(TX) + """select count(*) as n, round(avg("isFraud") * 100, 6) as fraud_pct,
-  round(case when avg("isFraud") > 0 and avg("isFraud") < 0.5 then avg("isFraud") else 0.035::double end, 6) as contamination from tx""",
+    "fraud_rate": _with(TX) + """select count(*) as n, avg("isFraud") * 100 as fraud_pct,
+  case when avg("isFraud") > 0 and avg("isFraud") < 0.5 then avg("isFraud") else 0.035::double end as contamination from tx""",
     "null_profile": _with(TX, SPARSE) + _each("""select '{c}' as column_name,
-  round(avg(case when "{c}" is null then 1 else 0 end) * 100, 6) as null_pct from sparse having null_pct > 0""",
+  avg(case when "{c}" is null then 1 else 0 end) * 100 as null_pct from sparse having null_pct > 0""",
         ["transaccionID", "amt_gap", "addr_sparse", "cat_gap", "isFraud"]),
     "null_share_histogram": _with(TX, SPARSE) + """, shares as (
   select avg(case when amt_gap is null then 100::double else 0::double end) as p from sparse
@@ -303,6 +361,7 @@ from sparse""",
 from ({_long(["ProductCD", "card4", "card6"], ', "isFraud"')}) where value is not null group by all""",
     "label_counts": _with(TX) + 'select "isFraud", count(*) as n from tx group by all',
     "correlation_matrix": _with(TX) + CORRELATION,
+    "correlation_wide": CORRELATION_WIDE,
     "describe_numeric": _with(TX) + _each("""select '{c}' as column_name, count("{c}") as n,
   round(avg("{c}"), 6) as mean, round(stddev_samp("{c}"), 6) as std, cast(min("{c}") as double) as min,
   round(quantile_cont("{c}", 0.25), 6) as q25, round(quantile_cont("{c}", 0.5), 6) as q50,
@@ -318,11 +377,11 @@ from quartiles join long using (column_name) group by all""",
   quantile_cont("TransactionAmt", 0.75) as b from tx)
 select "transaccionID", "TransactionAmt" from tx, q
 where "TransactionAmt" < a - 1.5 * (b - a) or "TransactionAmt" > b + 1.5 * (b - a)""",
-    "mean_spend_per_card": _with(TX) + 'select card1, round(avg("TransactionAmt"), 6) as mean_spend from tx group by card1',
+    "mean_spend_per_card": _with(TX) + 'select card1, ' + MEAN.format('"TransactionAmt"') + ' as mean_spend from tx group by card1',
     "mean_of_card_means": _with(TX)
-    + 'select round(avg(m), 6) as mean_of_means from (select avg("TransactionAmt") as m from tx group by card1)',
+    + 'select round(avg(m), 6) as mean_of_means from (select ' + MEAN.format('"TransactionAmt"') + ' as m from tx group by card1)',
     "fraud_by_hour": _with(TX) + """select cast("TransactionDT" // 3600 % 24 as int) as hour,
-  round(avg("isFraud") * 100, 6) as fraud_pct from tx group by 1""",
+  avg("isFraud") * 100 as fraud_pct from tx group by 1""",
     "fraud_by_day": _with(TX) + """select cast("TransactionDT" // 86400 % 7 as int) as day_of_week,
   cast(sum("isFraud") as bigint) as frauds from tx group by 1""",
     "top_cards": _with(TX, TOP_CARDS) + "select * from top_cards",
@@ -338,17 +397,17 @@ from tx where card1 in (select card1 from top_cards) group by card1""",
   cast(max("{c}") as double) as max from tx""", NUMS),
     "categorical_top5": _with(TX) + f""", counts as (select column_name, value, count(*) as n
   from ({_long(CATS)}) where value is not null group by all)
-select column_name, value, round(n / sum(n) over (partition by column_name), 6) as share from counts
+select column_name, value, n / sum(n) over (partition by column_name) as share from counts
 qualify row_number() over (partition by column_name order by n desc, value) <= 5""",
-    "spending_profiles": _with(TX) + f"""select {PROFILE_KEYS_SQL}, round(avg("TransactionAmt"), 6) as mean,
-  round(coalesce(var_samp("TransactionAmt"), 0), 6) as var, count("TransactionAmt") as count
+    "spending_profiles": _with(TX) + f"""select {PROFILE_KEYS_SQL}, {MEAN.format('"TransactionAmt"')} as mean,
+  coalesce({VARIANCE.format('"TransactionAmt"')}, 0::double) as var, count("TransactionAmt") as count
 from tx group by 1, 2, 3, 4, 5, 6, 7, 8, 9 order by count desc, 1, 2, 3, 4, 5, 6, 7, 8, 9 limit 5000""",
-    "category_fraud_rates": _with(TX) + f"""select column_name, value, round(avg("isFraud"), 6) as rate,
+    "category_fraud_rates": _with(TX) + f"""select column_name, value, avg("isFraud") as rate,
   count(*) as n from ({_long(CATS, ', "isFraud"')}) where value is not null group by column_name, value""",
     "evaluable_rows": _with(TX, SCORED, EVALUABLE) + 'select "transaccionID", fraud_score, "isFraud" from evaluable',
     "confusion_metrics": _with(TX, SCORED, EVALUABLE, CONFUSION) + f"""select tn, fp, fn, tp,
-  round({_ratio('tp', 'tp + fp')}, 6) as precision, round({_ratio('tp', 'tp + fn')}, 6) as recall,
-  round({_ratio('2 * tp', '2 * tp + fp + fn')}, 6) as f1 from confusion""",
+  {_ratio('tp', 'tp + fp')} as precision, {_ratio('tp', 'tp + fn')} as recall,
+  {_ratio('2 * tp', '2 * tp + fp + fn')} as f1 from confusion""",
     "class_report": _with(TX, SCORED, EVALUABLE, CONFUSION)
     + f""", rows_by_class as ({_report_row('legit', 'tn', 'fn', 'fp')} union all {_report_row('fraud', 'tp', 'fp', 'fn')}),
 every_row as (select * from rows_by_class
@@ -357,9 +416,8 @@ union all select 'accuracy', (tp + tn) / (tp + fp + fn + tn), (tp + tn) / (tp +
 union all select 'macro avg', avg(precision), avg(recall), avg(f1), cast(sum(support) as bigint) from rows_by_class
 union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
   sum(f1 * support) / sum(support), cast(sum(support) as bigint) from rows_by_class)
-select class, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support
-from every_row""",
-    "roc_auc": _with(TX, SCORED, EVALUABLE, AUC) + "select round(auc_roc, 6) as auc_roc from auc",
+select * from every_row""",
+    "roc_auc": _with(TX, SCORED, EVALUABLE, AUC) + "select auc_roc from auc",
     "evaluation_summary": _with(TX, SCORED, EVALUABLE) + """select count(*) as n_samples,
   cast(sum("isFraud") as bigint) as n_real_frauds, count(*) filter (fraud_score >= 0.5) as n_alerts,
   round(avg("isFraud"), 6) as fraud_rate, round(avg(fraud_score), 6) as score_mean,
@@ -368,9 +426,9 @@ from every_row""",
   case when count(*) < 100 then 'fewer rows than recommended' end as sample_warning from evaluable""",
     "model_metrics_row": _with(TX, SCORED, EVALUABLE, CONFUSION, AUC) + f"""
 select TIMESTAMP '2024-02-01 00:00:00' as evaluated_at, tp + fp + tn + fn as samples_evaluated,
-  0.5::double as threshold, round(auc_roc, 6) as auc_roc,
-  round({_ratio('2 * tp', '2 * tp + fp + fn')}, 6) as f1_score, round({_ratio('tp', 'tp + fn')}, 6) as recall,
-  round({_ratio('tp', 'tp + fp')}, 6) as precision, tp as true_positives, fp as false_positives,
+  0.5::double as threshold, auc_roc,
+  {_ratio('2 * tp', '2 * tp + fp + fn')} as f1_score, {_ratio('tp', 'tp + fn')} as recall,
+  {_ratio('tp', 'tp + fp')} as precision, tp as true_positives, fp as false_positives,
   tn as true_negatives, fn as false_negatives, '{C.MODEL_VERSION}' as model_version,
   0.035::double as contamination_rate from confusion, auc""",
     "last_n_window": "select event_id, ts, user_id, value from events order by ts desc, event_id desc limit 5000",
@@ -390,19 +448,19 @@ from alerts order by processed_at desc, "transaccionID" limit 50""",
     "fraud_rate_drift": _with(TX) + """, days as (select date_trunc('day', fecha_hora_transaccion) as window_start,
   count(*) as n, cast(sum("isFraud") as bigint) as frauds from tx group by 1),
 running as (select *, sum(frauds) over (order by window_start) / sum(n) over (order by window_start) as r from days)
-select cast(window_start as timestamp) as window_start, n, frauds, round(frauds / n, 6) as rate,
-  round(r, 6) as running_rate, round(r - 0.03499::double, 6) as drift from running""",
+select cast(window_start as timestamp) as window_start, n, frauds, frauds / n as rate,
+  r as running_rate, r - 0.03499::double as drift from running""",
     "dimension_breakdown": _with(TX, SCORED) + ", long as (" + _each(
         """select processed_at, fraud_score, '{c}' as dimension, "{c}" as value from scored""",
         ["card4", "DeviceType", "P_emaildomain"]) + """)
 select cast(date_trunc('day', processed_at) as timestamp) as window_start, dimension, value, count(*) as n,
-  count(*) filter (fraud_score >= 0.5) as suspicious, round(avg(fraud_score), 6) as mean_score
+  count(*) filter (fraud_score >= 0.5) as suspicious, """ + MEAN.format("fraud_score") + """ as mean_score
 from long group by 1, 2, 3""",
     "alert_triage": _with(TX, SCORED, ALERTS) + """select status, count(*) as n,
-  round(avg(review_minutes), 6) as mean_minutes, round(count(*) / sum(count(*)) over (), 6) as share
+  avg(review_minutes) as mean_minutes, count(*) / sum(count(*)) over () as share
 from alerts group by status""",
     "handled_share": _with(TX, SCORED, ALERTS) + """select count(*) as n,
-  round(avg(case when status <> 'flagged' then 1 else 0 end), 6) as handled_share from alerts""",
+  avg(case when status <> 'flagged' then 1 else 0 end) as handled_share from alerts""",
     "schema_violations": _with(TX, SUSPECT, VIOLATIONS) + "select * from violations",
     "violation_counts": _with(TX, SUSPECT, VIOLATIONS)
     + "select field, rule, count(*) as n from violations group by field, rule",
@@ -410,16 +468,57 @@ from alerts group by status""",
 group by l_orderkey, l_linenumber having count(*) > 1""",
     "retention_filter": _with(TX) + """select "transaccionID", fecha_hora_transaccion from tx
 where fecha_hora_transaccion > TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 30 DAY""",
-    "split_test_rows": _with(TX) + """, sizes as (select "isFraud", count(*) as c,
-    count(*) * ceil(sum(count(*)) over () * 0.2::double) / sum(count(*)) over () as exact,
-    ceil(sum(count(*)) over () * 0.2::double) as draws from tx group by "isFraud"),
-quota as (select "isFraud", floor(exact) + case when row_number() over (order by exact - floor(exact) desc, "isFraud")
-    <= draws - sum(floor(exact)) over () then 1 else 0 end as take from sizes)
-select t."transaccionID", t."isFraud", row_number() over (partition by t."isFraud"
-    order by md5('42:' || t."transaccionID")) <= take as is_test
-from tx t join quota q on t."isFraud" = q."isFraud\"""",
-    "stream_scored": _with(TX) + f"""select "transaccionID", "usuarioID", "TransactionAmt", {ENGINEERED},
-  cast(null as double) as fraud_score, false as is_suspicious, false as is_warmed_up, "isFraud" from tx""",
+    "split_test_rows": _with(TX, SPLIT) + "select * from split",
+    "stream_scored": _with(TX, PROFILES, FIXED) + f"""select "transaccionID", "usuarioID", "TransactionAmt",
+  {ENGINEERED}, round(score, 4) as fraud_score, score >= 0.5 as is_suspicious, false as is_warmed_up,
+  cast(1 as bigint) as model_version, "isFraud" from fixed""",
+    "session_counters": _with(TX, PROFILES, FIXED) + """, batches as (
+  select cast("transaccionID" as bigint) % 4 as batch_id, count(*) as r, count(*) filter (score >= 0.5) as t
+  from fixed group by 1)
+select batch_id, cast(sum(r) over so_far as bigint) as rows, cast(0 as bigint) as alerts,
+  cast(sum(r) over so_far as bigint) as total_scored, cast(sum(t) over so_far as bigint) as total_at_threshold
+from batches window so_far as (order by batch_id)""",
+    "stream_quarantine": QUARANTINED,
+    "stream_alerts": _with(TX) + """select "transaccionID", "usuarioID", "TransactionAmt",
+  "isFraud" as "isFraud_label", 'flagged' as status from tx where cast("transaccionID" as bigint) % 4 <> 0""",
+    "stream_dedupe_two_batches": _with(TX) + """select "transaccionID", amount as raw_amount, amount as "TransactionAmt"
+from (select "transaccionID", "TransactionAmt" * case cast("transaccionID" as bigint) % 3 when 2 then 2 else 1 end
+  as amount from tx)""",
+    "stored_key_violations": _with(TX) + """, counted as (
+  select count(*) as n, count(*) filter (cast("transaccionID" as bigint) % 4 <> 0) as alerted,
+    count(distinct "usuarioID") as users from tx)
+select unnest(['user_profiles', 'cards', 'transactions_raw', 'transactions_enriched', 'fraud_alerts']) as table_name,
+  unnest([users, users, n, n, alerted]) as rows, unnest([users, users, n, n, alerted]) as keys,
+  cast(0 as bigint) as keyless from counted""",
+    "lifecycle_run": _with(TX) + """select case when k > 0 then k end as model_version, k > 0 as is_warmed_up,
+  count(*) as n, case when k > 0 then count(*) else 0 end as scored
+from (select cast("transaccionID" as bigint) % 4 as k from tx) group by k""",
+    "scaling_stats": _with(TX, PROFILES) + ", features as (" + FEATURES + "), stats as (" + " union all ".join(
+        f"""select '{c}' as feature, avg("{c}") as m, coalesce(nullif(stddev_pop("{c}"), 0), 1) as d from features"""
+        for c in FEATURE_NAMES) + """)
+select feature, case when abs(m) < 1000 then round(m, 4) else round(m, 1) end as mean,
+  case when abs(d) < 1000 then round(d, 4) else round(d, 1) end as std from stats""",
+    "fixed_forest_scores": _with(TX, PROFILES, FIXED) + f"""select "transaccionID", round(s, 6) as anomaly_score,
+  round(s - {FIXED_OFFSET}::double, 6) as decision,
+  case when s - {FIXED_OFFSET}::double < 0 then -1 else 1 end as prediction, round(score, 6) as score from fixed""",
+    "forest_contract": """select cast(t as int) as tree_id, least(1024, n) as root_rows, least(1024, n) as leaf_rows,
+  true as within_height from range(300) r(t), (select count(*) as n from events)""",
+    "offset_share": "select count(*) as n, true as at_rank from events",
+    "grid_contract": """select cast(trees as int) as trees, max_samples, cast(c as double) as contamination,
+  (select cast(ceil(count(*) * 0.2::double) as bigint) from events) as test_rows
+from (values (10), (30)) a(trees), (values ('auto'), ('1024'), ('2048')) b(max_samples),
+  (values (0.035), (0.05), (0.08)) d(c)""",
+    "comparison_contract": _with(TX, SPLIT) + """, parts as (
+  select count(*) filter (is_test) as test_rows, count(*) filter (is_test and "isFraud" = 1) as frauds,
+    count(*) filter (not is_test) as train_rows from split)
+select model, n_features, cast(10 as int) as trees, least(asked, train_rows) as sample_size, frauds, test_rows
+from parts, (values ('base', 27, 256), ('tuned', 27, 2048), ('top_15', 17, 2048), ('top_25', 27, 2048))
+  m(model, n_features, asked)""",
+    "single_class_evaluation": _with(TX, SCORED, EVALUABLE) + """select
+  count(*) filter (fraud_score < 0.5) as tn, count(*) filter (fraud_score >= 0.5) as fp,
+  cast(0 as bigint) as fn, cast(0 as bigint) as tp, cast(null as double) as precision,
+  cast(null as double) as recall, cast(null as double) as f1, cast(0 as bigint) as report_rows,
+  cast(null as double) as auc_roc from evaluable where "isFraud" = 0""",
     "stream_dimension_upsert": """select cast(user_id as varchar) as "usuarioID", event_type as usuario,
   value as promedio_de_gastos, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as fecha_nacimiento,
   case when event_id % 2 = 0 then 'mail@host.example' end as email from events
@@ -428,34 +527,12 @@ qualify row_number() over (partition by user_id order by event_id desc) = 1""",
   cast(user_id as varchar) as "usuarioID", event_type as card4, cast(event_id as int) as card1 from events
 qualify row_number() over (partition by user_id, event_id % 2 order by event_id desc) = 1""",
     "stream_fraud_rate": _with(TX) + """select cast(date_trunc('day', fecha_hora_transaccion) as timestamp) as window_start,
-  count(*) as n, cast(sum("isFraud") as bigint) as frauds, round(sum("isFraud") / count(*), 6) as rate from tx
-group by date_trunc('day', fecha_hora_transaccion)
-having date_trunc('day', min(fecha_hora_transaccion)) + INTERVAL 1 DAY <= (select max(fecha_hora_transaccion) from tx) - INTERVAL 1 HOUR""",
+  count(*) as n, cast(sum("isFraud") as bigint) as frauds, sum("isFraud") / count(*) as rate from tx
+group by date_trunc('day', fecha_hora_transaccion)""",
     "flagship": _with(TX, PROFILES) + f""", rated as (
 select *, {ENGINEERED}, {RELATIVE}, {RULE} as rule_score from tx left join profiles using ("usuarioID"))
-select "transaccionID", "usuarioID", fecha_hora_transaccion, round("TransactionAmt", 6) as "TransactionAmt",
-  round(zscore_amt, 6) as zscore_amt, round(velocity, 6) as velocity, round(amt_distance, 6) as amt_distance,
-  ratio_vs_user, zscore_vs_user, round(rule_score, 6) as rule_score from rated where rule_score >= 0.1
+select "transaccionID", "usuarioID", fecha_hora_transaccion, "TransactionAmt", zscore_amt, velocity,
+  amt_distance, ratio_vs_user, zscore_vs_user, rule_score from rated where rule_score >= 0.1
 order by rule_score desc, fecha_hora_transaccion desc, "transaccionID" limit 100""",
 }
 
-
-def _nudged(sql: str) -> str:
-    """Moves every ``round(x, 6)`` off exact halves, as the catalog does."""
-    out, at = [], 0
-    while (start := sql.find("round(", at)) >= 0:
-        depth, end = 1, start + len("round(")
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[end], 0)
-            end += 1
-        inner = sql[start + len("round("):end - 1]
-        if inner.endswith(", 6"):
-            inner = f"({_nudged(inner[:-3])}) + 3.14159e-8, 6"
-        else:
-            inner = _nudged(inner)
-        out += [sql[at:start], "round(", inner, ")"]
-        at = end
-    return "".join(out) + sql[at:]
-
-
-SQL = {name: _nudged(text) for name, text in SQL.items()}

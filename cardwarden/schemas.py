@@ -19,6 +19,7 @@ def _fields(**types: str) -> T.StructType:
     )
 
 
+# fixed values: field names, types and order of the messages and of the enriched rows
 TRANSACTION = _fields(
     transaccionID="string", fecha_hora_transaccion="string", usuarioID="string",
     terminalID="string", tarjetaID="string",

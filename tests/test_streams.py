@@ -6,13 +6,19 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cardwarden import schemas
+from cardwarden import jobs, schemas
+from cardwarden.catalog import fixed_forest
+from cardwarden.functions.scalars import secret_key
 from cardwarden.operators.forest import ForestParams
 from cardwarden.operators.joins import with_profile
 from cardwarden.operators.projections import enriched_projection
 from cardwarden.sinks import reports
 from cardwarden.sinks.feeds import as_feed, discard, no_profiles
-from cardwarden.sinks.tables import DimensionTable, append_first_wins, drop_expired, full_refresh
+from cardwarden.session import delete_path
+from cardwarden.sinks.tables import (
+    DimensionTable, append_batch, append_first_wins, batch_days, drop_expired, full_refresh,
+    not_stored_before,
+)
 from cardwarden.sources import events as ev
 from cardwarden.sources import files
 from cardwarden.sources import views as V
@@ -77,16 +83,84 @@ def test_scored_rows_equal_the_batch_plan(spark, source, tmp_path):
     assert log["rows"] == 101 and log["alerts"] == 0 and log["total_scored"] == 0
 
 
+def contents(spark, out):
+    """Rows of every output, as (table, rows, distinct rows)."""
+    found = {}
+    for table in ("transactions_raw", "transactions_enriched", "quarantine", "features", "batch_log",
+                  "feed_alerts", "feed_scores", "feed_enriched"):
+        path = os.path.join(out, table)
+        if os.path.isdir(path):
+            rows = spark.read.json(path) if table.startswith("feed") else spark.read.parquet(path)
+            rows = rows.drop("written_by", "batch_id", "session_id")
+            found[table] = (rows.count(), rows.distinct().count())
+    return found
+
+
+def replayable(spark, out):
+    job = ScoringJob(spark, out, feeds=("alerts", "scores", "enriched"))
+    job.models.save(fixed_forest(spark), "earlier", 0.0)
+    return job
+
+
 def test_replays_add_nothing(spark, source, tmp_path):
     out = str(tmp_path / "out")
-    run(ScoringJob(spark, out), spark, source, tmp_path / "cp")
-    run(ScoringJob(spark, out), spark, source, tmp_path / "cp")
-    run(ScoringJob(spark, out), spark, source, tmp_path / "lost")
+    run(replayable(spark, out), spark, source, tmp_path / "cp")
+    before = contents(spark, out)
+    assert before["quarantine"] == (2, 2) and before["transactions_raw"] == (101, 101)
+    assert before["features"][0] == before["feed_enriched"][0] == before["feed_scores"][0] == 101
+    run(replayable(spark, out), spark, source, tmp_path / "cp")
+    run(replayable(spark, out), spark, source, tmp_path / "lost")
+    assert contents(spark, out) == before
     write_lines(source, "b.txt", [message(i) for i in range(90, 130)])
-    run(ScoringJob(spark, out), spark, source, tmp_path / "cp")
-    for table in ("transactions_raw", "transactions_enriched"):
-        rows = spark.read.parquet(os.path.join(out, table))
-        assert rows.count() == 131 == rows.select("transaccionID").distinct().count()
+    run(replayable(spark, out), spark, source, tmp_path / "cp")
+    after = contents(spark, out)
+    assert after["transactions_raw"] == after["transactions_enriched"] == (131, 131)
+    assert after["feed_enriched"] == (131, 131) and after["batch_log"][0] == 2
+
+
+@pytest.mark.parametrize("lost", [None, "transactions_raw", "transactions_enriched", "features", "feed_scores"])
+def test_repeating_a_batch_restores_what_is_missing(spark, source, tmp_path, lost):
+    """A retry inside a session, after a failure that left one output unwritten."""
+    job = replayable(spark, str(tmp_path / "out"))
+    batch = ev.parse_events(spark.read.text(str(source)), schemas.TRANSACTION)
+    job.process(batch, 0)
+    before = contents(spark, job.folder)
+    if lost:
+        assert delete_path(spark, job.path(lost))
+    job.process(batch, 0)
+    assert contents(spark, job.folder) == before
+    assert job._seen == 101
+    job.process(batch, 1)
+    assert contents(spark, job.folder) == before
+
+
+def test_empty_batch_changes_nothing(spark, source, tmp_path):
+    job = replayable(spark, str(tmp_path / "out"))
+    batch = ev.parse_events(spark.read.text(str(source)), schemas.TRANSACTION)
+    job.process(batch.limit(0), 0)
+    assert contents(spark, job.folder) == {}
+    job.process(batch, 1)
+    before = contents(spark, job.folder)
+    job.process(batch.limit(0), 2)
+    assert contents(spark, job.folder) == before
+
+
+def test_stored_side_is_pruned_to_the_days_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-02"), ("c", None)], "k string, d string")
+    rows = rows.withColumn("day", F.to_date("d"))
+    append_batch(rows, path, "k", "w", 0, batch_days(rows))
+    batch = rows.filter("k = 'b'").unionByName(spark.createDataFrame(
+        [("n", "2024-01-02", None)], rows.schema).withColumn("day", F.to_date("d")))
+    fresh = not_stored_before(batch, path, "k", "w", 1, batch_days(batch))
+    assert [r["k"] for r in fresh.collect()] == ["n"]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.split("PartitionFilters: [")[1:]]
+    assert any(f.startswith("isnotnull(day") and "2024-01-02" in f.split("]")[0] for f in filters)
+    same = not_stored_before(batch, path, "k", "w", 0, batch_days(batch))
+    assert sorted(r["k"] for r in same.collect()) == ["b", "n"]
+    undated = rows.filter("k = 'c'")
+    assert not_stored_before(undated, path, "k", "w", 1, batch_days(undated)).isEmpty()
 
 
 def test_lifecycle_from_no_model_to_alerts_and_a_cached_model(spark, tmp_path):
@@ -133,6 +207,8 @@ def test_window_is_the_tail_of_the_session(spark, tmp_path):
         write_lines(source, f"{i}.txt", [message(j) for j in range(i * 20, i * 20 + 20)])
         os.utime(source / f"{i}.txt", (1000 + i, 1000 + i))
     run(job, spark, source, tmp_path / "cp")
+    held = sorted(os.listdir(os.path.join(job.path("features"), f"written_by={job.writer}")))
+    assert [h for h in held if h.startswith("batch")] == ["batch_id=0", "batch_id=2", "batch_id=3"]
     window = {r["transaccionID"] for r in job.window_rows().collect()}
     warm = {r["transaccionID"] for r in job.warmup_rows().collect()}
     assert window == {f"t{i:04d}" for i in range(50, 80)}
@@ -172,11 +248,18 @@ def test_dimension_keeps_the_last_row_with_its_nulls(spark, tmp_path):
     expected = [("u1", 5.0, "a@b.example"), ("u2", 2.0, None), ("u3", 3.0, "a@b.example")]
     assert go("cp", 0) == expected
     assert table.compact() == 1 and table.compact() is None
+    assert not [f for _, _, files in os.walk(tmp_path / "users/deltas") for f in files if f.endswith(".parquet")]
     assert go("lost", 1) == expected
     write_lines(source, "2.txt", [user(1, promedio_de_gastos=None)])
     assert go("cp", 0) == [("u1", None, "a@b.example"), *expected[1:]]
     assert table.compact() is not None
+    assert len([v for v in os.listdir(tmp_path / "users/versions") if v.isdigit()]) == 2
     assert table.snapshot().count() == 3
+    table.upsert(table.snapshot().withColumn("arrival", F.lit(1)), "zz", 0)
+    table.upsert(table.snapshot().withColumn("arrival", F.lit(1)), "zz", 0)
+    older = table.snapshot()
+    assert table.compact(grace=True) is not None
+    assert older.count() == 3 == table.snapshot().count()
 
 
 def test_card_table_key(spark, tmp_path):
@@ -194,10 +277,37 @@ def test_first_write_wins_and_retention(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "n").collect()) == [("a", 1), ("b", 3)]
     assert drop_expired(spark, path, "2024-01-02") == ["2024-01-01"]
     assert [r["k"] for r in spark.read.parquet(path).collect()] == ["b"]
+    undated = str(tmp_path / "u")
+    append_first_wins(rows.withColumn("d", F.lit(None).cast("string")), undated, "k", [F.col("n")], F.col("d"))
+    assert drop_expired(spark, undated, "2024-01-02") == []
+    assert drop_expired(spark, undated, "2999-01-01") == ["__HIVE_DEFAULT_PARTITION__"]
     full_refresh(rows.limit(1), path)
     assert spark.read.parquet(path).count() == 1
 
 
+def test_retention_job(spark, source, tmp_path):
+    job = replayable(spark, str(tmp_path / "out"))
+    batch = ev.parse_events(spark.read.text(str(source)), schemas.TRANSACTION)
+    job.process(batch, 0)
+    assert jobs.retention(spark, job.folder, "2024-01-06")["transactions_raw"] == []
+    gone = jobs.retention(spark, job.folder, "2024-12-31")
+    assert gone["transactions_raw"] == gone["transactions_enriched"] == ["2024-01-05"] and gone["features"] == 0
+    assert jobs.retention(spark, job.folder, "2999-01-01")["features"] == 1
+    left = [f for d, _, files in os.walk(job.folder) for f in files
+            if f.endswith((".parquet", ".json")) and "/model" not in d]
+    assert not left
+
+
+def test_secret_key_must_be_configured(spark):
+    with pytest.raises(ValueError):
+        secret_key(spark)
+    spark.conf.set("cardwarden.secret.key", "k" * 16)
+    try:
+        assert secret_key(spark) == "k" * 16
+    finally:
+        spark.conf.unset("cardwarden.secret.key")
+
+
 def test_group_of_streams(spark, tmp_path):
     group = StreamGroup(spark, {})
     with pytest.raises(RuntimeError):
