@@ -61,11 +61,17 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
 
 
 def _links_within(values: np.ndarray, free: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of links among fingerprints that differ only in the ``free`` bits."""
+    """A spanning set of links among fingerprints of one posting, which differ only in the ``free`` bits.
+
+    Few members are tallied and verified pair by pair; in a long posting each member looks up
+    the fingerprints within its distance, so the work stays in proportion to the members.
+    """
     m = len(values)
     unsigned = values.view(np.uint64)
     if m <= 64:
-        near = np.bitwise_count(unsigned[:, None] ^ unsigned[None, :]) <= distance
+        differ = unsigned[:, None] ^ unsigned[None, :]
+        tally = 8 - np.count_nonzero(differ[..., None].view(np.uint8), axis=-1)
+        near = (tally >= 8 - distance) & (np.bitwise_count(differ) <= distance)
         i, j = np.nonzero(np.triu(near, 1))
     else:
         order = np.argsort(unsigned)
