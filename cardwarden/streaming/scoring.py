@@ -108,8 +108,7 @@ class ScoringJob:
             model = self.models.load()
             if not fresh.isEmpty():
                 self._score_and_store(fresh, model, batch_id, days)
-                raw = raw_projection(fresh.drop("day")).join(fresh.select(KEY, "day"), KEY)
-                append_batch(raw, self.path("transactions_raw"), KEY, self.writer, batch_id, days)
+                append_batch(raw_projection(fresh, None, "day"), self.path("transactions_raw"), KEY, self.writer, batch_id, days)
             self._train_if_due(model)
         finally:
             for frame in (fresh, rows, staged):
@@ -139,16 +138,15 @@ class ScoringJob:
             warmed_up = model is not None and model.warmed_up(self.session_id)
             version = F.lit(None if model is None else model.version).cast("bigint")
             enriched = enriched_projection(
-                scored.select(KEY, "tx.*", "score"), warmed_up, self.threshold
+                scored.select(KEY, "day", "tx.*", "score"), warmed_up, self.threshold, None, "score", "day"
             ).withColumn("model_version", version)
-            alerts = alert_projection(enriched)
+            alerts = alert_projection(enriched, None, "day")
             # all three tables lie under the day of the event, where duplicates are looked for
             for name, frame in (("transactions_enriched", enriched), ("fraud_alerts", alerts)):
-                append_batch(frame.join(scored.select(KEY, "day"), KEY), self.path(name), KEY,
-                             self.writer, batch_id, days)
-            self._publish("alerts", alerts, batch_id)
+                append_batch(frame, self.path(name), KEY, self.writer, batch_id, days)
+            self._publish("alerts", alerts.drop("day"), batch_id)
             self._publish("scores", score_feed(enriched), batch_id)
-            self._publish("enriched", enriched, batch_id)
+            self._publish("enriched", enriched.drop("day"), batch_id)
             # the counters ride on the one write that reads every scored row exactly once
             marked = scored.withColumns({
                 "fraud_score": S.stored_score(F.col("score")),
