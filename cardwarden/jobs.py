@@ -20,9 +20,9 @@ from cardwarden.operators.model_selection import (
 )
 from cardwarden.session import build_session, scratch_folder, scratch_path, written
 from cardwarden.sinks import reports
-from cardwarden.sinks.tables import drop_expired, drop_old_batches
+from cardwarden.sinks.tables import drop_expired, drop_old_batches, full_refresh
 from cardwarden.sources.events import kafka_options, read_events
-from cardwarden.sources.files import read_csv
+from cardwarden.sources.files import read_csv, read_parquet
 from cardwarden.streaming.dimensions import card_table, start_upserts, user_table
 from cardwarden.streaming.lifecycle import ModelStore
 from cardwarden.streaming.runner import StreamGroup
@@ -31,20 +31,26 @@ from cardwarden.streaming.scoring import ScoringJob, new_session_id
 OFFLINE_KEY = "TransactionID"
 
 
-def clean_files(spark: SparkSession, transactions: str, identities: str, out: str) -> DataFrame:
-    """Join transactions with identities, drop sparse columns, fill gaps, store the result."""
+def clean_files(spark: SparkSession, transactions: str, identities: str, out: str,
+                csv: str | None = None) -> DataFrame:
+    """Join transactions with identities, drop sparse columns, fill gaps, store the result.
+
+    ``csv`` is a second place for the result, as text with a header.
+    """
     joined = joins.with_identity(
         read_csv(spark, transactions), read_csv(spark, identities), OFFLINE_KEY)
     with scratch_folder(spark, "clean") as folder:
         # written once before the passes that measure gaps, medians and modes
-        cleaning.clean(written(joined, "joined", folder)).write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+        full_refresh(cleaning.clean(written(joined, "joined", folder)), out)
+    cleaned = read_parquet(spark, out)
+    if csv:
+        reports.write_csv(cleaned, csv)
+    return cleaned
 
 
 def statistics(spark: SparkSession, cleaned: str, out: str) -> None:
     """Global, numeric, categorical and correlation statistics of the 25 chosen columns."""
-    rows = cleaning.keep_existing(
-        spark.read.parquet(cleaned), [*C.TOP_25_FEATURES, "isFraud"])
+    rows = read_parquet(spark, cleaned, [*C.TOP_25_FEATURES, "isFraud"])
     chosen = [c for c in rows.columns if c != "isFraud"]
     numeric = [c for c in cleaning.numeric_columns(rows) if c in chosen]
     texts = [c for c in cleaning.text_columns(rows) if c in chosen]
@@ -55,7 +61,7 @@ def train(spark: SparkSession, cleaned: str, out: str, model: str = "top_25") ->
     """Split, fit one of the named models, store it and return its quality on the test rows."""
     columns, trees, samples, share = MODELS[model]
     with scratch_folder(spark, "train") as folder:
-        split = stratified_split(spark.read.parquet(cleaned), OFFLINE_KEY)
+        split = stratified_split(read_parquet(spark, cleaned), OFFLINE_KEY)
         chosen = columns or [c for c in split.columns if c not in (OFFLINE_KEY, "isFraud", "is_test")]
         frame, features = model_frame(split, chosen, [OFFLINE_KEY, "isFraud", "is_test"])
         frame = written(frame, "frame", folder)
@@ -68,7 +74,7 @@ def train(spark: SparkSession, cleaned: str, out: str, model: str = "top_25") ->
 
 def experiments(spark: SparkSession, cleaned: str, out: str) -> None:
     """All named models, the grid over the 15-column set, and the feature ranking."""
-    rows = spark.read.parquet(cleaned)
+    rows = read_parquet(spark, cleaned)
     reports.write_report({
         "models": compare_models(rows, OFFLINE_KEY, []),
         "grid": grid_search(rows, OFFLINE_KEY),
@@ -163,6 +169,8 @@ def main(argv: list[str] | None = None) -> None:
         command = commands.add_parser(name)
         for path in paths:
             command.add_argument(path)
+        if name == "clean":
+            command.add_argument("--csv")
         if name == "train":
             command.add_argument("--model", choices=sorted(MODELS), default="top_25")
         if name == "evaluate":

@@ -16,7 +16,8 @@ def test_offline_jobs(spark, sf_dir, tmp_path, monkeypatch):
     V.identities(spark, sf_dir).withColumnRenamed("transaccionID", "TransactionID").write.option(
         "header", True).csv(str(tmp_path / "id"))
     cleaned = str(tmp_path / "clean")
-    rows = jobs.clean_files(spark, str(tmp_path / "tx"), str(tmp_path / "id"), cleaned)
+    rows = jobs.clean_files(spark, str(tmp_path / "tx"), str(tmp_path / "id"), cleaned, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == rows.count()
     assert rows.count() == tx.count() and "addr2" not in rows.columns and "id_02" in rows.columns
     nulls = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in rows.columns]).first()
     assert not any(nulls)
