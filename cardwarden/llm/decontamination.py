@@ -54,39 +54,38 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, item: str = "item_id",
     return source.mapInArrow(stage, schema).distinct()
 
 
-class WindowSet:
-    """One block of windows: the n-grams with their items, the words in them, their lengths."""
-
-    def __init__(self, items: list[str | None], grams: list[bytes]):
-        self.items: dict[bytes, list[str]] = {}
-        vocabulary: set[bytes] = set()
-        lengths: set[int] = set()
-        for item, gram in zip(items, grams):
-            if gram not in self.items:
-                parts = gram.split(b" ")
-                vocabulary.update(parts)
-                lengths.add(len(parts))
-            self.items.setdefault(gram, []).extend([] if item is None else [item])
-        self.vocabulary = frozenset(vocabulary)
-        self.lengths = sorted(lengths)
-
-    def mark(self, w: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words lie inside an occurrence of a window, and the items that occur."""
-        hit = np.zeros(len(w), dtype=bool)
-        found: set[str] = set()
-        if not w or not self.lengths:
-            return hit, found
-        known = np.fromiter(map(self.vocabulary.__contains__, w), dtype=bool, count=len(w))
-        unknown = np.concatenate([[0], np.cumsum(~known)])
-        for n in self.lengths:
-            if n > len(w):
-                break
-            for i in np.flatnonzero(unknown[n:] == unknown[:-n]).tolist():
-                items = self.items.get(b" ".join(w[i:i + n]))
-                if items is not None:
-                    hit[i:i + n] = True
-                    found.update(items)
+def window_set(items: list[str | None], grams: list[bytes]) -> tuple[dict[bytes, list[str]], frozenset, list[int]]:
+    """One block of windows as plain data: the n-grams with their items, their words, their lengths."""
+    held: dict[bytes, list[str]] = {}
+    vocabulary: set[bytes] = set()
+    lengths: set[int] = set()
+    for item, gram in zip(items, grams):
+        if gram not in held:
+            parts = gram.split(b" ")
+            vocabulary.update(parts)
+            lengths.add(len(parts))
+        held.setdefault(gram, []).extend([] if item is None else [item])
+    return held, frozenset(vocabulary), sorted(lengths)
+
+
+def mark(windows: tuple[dict[bytes, list[str]], frozenset, list[int]], w: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    """Which words lie inside an occurrence of a window, and the items that occur."""
+    held, vocabulary, lengths = windows
+    hit = np.zeros(len(w), dtype=bool)
+    found: set[str] = set()
+    if not w or not lengths:
         return hit, found
+    known = np.fromiter(map(vocabulary.__contains__, w), dtype=bool, count=len(w))
+    unknown = np.concatenate([[0], np.cumsum(~known)])
+    for n in lengths:
+        if n > len(w):
+            break
+        for i in np.flatnonzero(unknown[n:] == unknown[:-n]).tolist():
+            items = held.get(b" ".join(w[i:i + n]))
+            if items is not None:
+                hit[i:i + n] = True
+                found.update(items)
+    return hit, found
 
 
 def _blocks(windows: DataFrame, block_bytes: int):
@@ -95,8 +94,8 @@ def _blocks(windows: DataFrame, block_bytes: int):
     number = F.pmod(F.xxhash64("ngram", "item"), F.lit(n_blocks))
     for k in range(n_blocks):
         rows = windows.filter(number == k).toArrow()
-        yield k, n_blocks, WindowSet(rows.column("item").to_pylist(),
-                                     rows.column("ngram").to_pylist())
+        yield k, n_blocks, window_set(rows.column("item").to_pylist(),
+                                      rows.column("ngram").to_pylist())
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
@@ -120,13 +119,13 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text:
             marked = marked.select(*[quoted(c) for c in marked.columns if c not in names], *previous)
 
         def compute(batch, shared=shared, later=bool(k)):
-            sets = shared.value
+            windows_now = shared.value
             counts, bits, items = [], [], []
             old = (batch_column(batch, "__old_hit_bits").to_pylist(),
                    batch_column(batch, "__old_items").to_pylist()) if later else None
             for row, body in enumerate(utf8(batch_column(batch, text))):
                 w = words(body)
-                hit, found = sets.mark(w)
+                hit, found = mark(windows_now, w)
                 if old:
                     hit |= np.unpackbits(np.frombuffer(old[0][row], np.uint8), count=len(w)).astype(bool)
                     found |= set(old[1][row])

@@ -151,12 +151,13 @@ def identify_languages(pages: DataFrame, model: TextModel, key: str = "page_id",
         return base.select(F.col("__key").alias(key), "host", "suffix", "declared",
                            nothing.alias("text_language"), nothing.alias("language"),
                            F.lit(None).cast("double").alias("probability"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast((model.languages, model.log_share))
 
     def compute(batch):
         bodies = (visible_text((b or b"").decode()).encode()
                   for b in utf8(batch_column(batch, "__html")))
-        parts = [shared.value.log_likelihoods(part) for part in chunks(bodies)]
+        text_model = TextModel(*shared.value)
+        parts = [text_model.log_likelihoods(part) for part in chunks(bodies)]
         return [pa.array(list(np.concatenate(parts)), pa.list_(pa.float64()))]
 
     scored = with_columns(base, "__html", [T.StructField("ll", T.ArrayType(T.DoubleType()))], compute)

@@ -12,9 +12,9 @@ than one sequence per block.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +29,8 @@ from cardwarden.llm.common import batch_column, quoted, utf8
 BLOCK_TOKENS = 4 << 20
 END_ID = 0
 
-#: Characters whose classes (letter, digit, space) have been the same in every Unicode version.
-_SETTLED = re.compile("[^\x00-ɏ]")
+#: Characters beyond those whose classes (letter, digit, space) are the same in every Unicode version.
+_UNSETTLED = re.compile("[^\x00-ɏ]")
 
 
 @dataclass(frozen=True)
@@ -45,30 +45,26 @@ class Encoder:
     ranks: str | None = None
     pattern: str | None = None
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        exact, fast = _load(self)
-        if fast is None:
-            return [np.array(e.ids, np.uint32)
-                    for e in exact.encode_batch(texts, add_special_tokens=False)]
-        return [np.array(exact.encode(t, add_special_tokens=False).ids
-                         if _SETTLED.search(t) else fast.encode_ordinary(t), np.uint32)
-                for t in texts]
+    def loaded(self) -> Callable[[str], np.ndarray]:
+        """The files read, as a function from text to ids."""
+        from tokenizers import Tokenizer
 
+        exact = Tokenizer.from_file(self.vocabulary)
+        exact.encode_special_tokens = True  # their strings in a text are ordinary text
+        fast = None
+        if self.ranks is not None:
+            import tiktoken
 
-@functools.lru_cache(maxsize=2)
-def _load(encoder: Encoder):
-    from tokenizers import Tokenizer
+            with open(self.ranks, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            fast = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
-    exact = Tokenizer.from_file(encoder.vocabulary)
-    exact.encode_special_tokens = True  # their strings in a text are ordinary text
-    if encoder.ranks is None:
-        return exact, None
-    import tiktoken
+        def encode(text: str) -> np.ndarray:
+            if fast is not None and not _UNSETTLED.search(text):
+                return np.array(fast.encode_ordinary(text), np.uint32)
+            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    with open(encoder.ranks, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return exact, tiktoken.Encoding("ranks", pat_str=encoder.pattern, mergeable_ranks=ranks,
-                                    special_tokens={})
+        return encode
 
 
 def pack_block(lengths: np.ndarray, capacity: int, linear: float = 1.0,
@@ -118,7 +114,7 @@ def pack(docs: DataFrame, encoder: Encoder, capacity: int = 1024, key: str = "do
     schema = PIECES if with_ids else T.StructType(PIECES.fields[:-1])
 
     def stage(batches):
-        base = None
+        base, encode = None, encoder.loaded()
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
 
@@ -153,7 +149,7 @@ def pack(docs: DataFrame, encoder: Encoder, capacity: int = 1024, key: str = "do
                 base = batch_column(batch, "part")[0].as_py() << 33
             names = batch_column(batch, "key").to_pylist()
             for name, body in zip(names, utf8(batch_column(batch, "text"))):
-                ids = encoder.encode([(body or b"").decode()])[0]
+                ids = encode((body or b"").decode())
                 held.append((name, np.append(ids, np.uint32(END_ID))))
                 tokens += len(ids) + 1
                 if tokens >= block_tokens:

@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     shape = T.StructType([T.StructField("weights", T.BinaryType()), T.StructField("scale", T.BinaryType()),
                           T.StructField("rest", T.ArrayType(T.DoubleType()))])
 
-    def solve(group: pa.Table) -> pa.Table:
+    def solve(group):
         group = group.sort_by("h")
         sets = [np.frombuffer(x, np.int32).astype(np.int64) for x in group.column("features").to_pylist()]
         model = fit_rows(sets, np.array(group.column("y").to_pylist(), np.int64), bits)
@@ -253,8 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                          "scale": pa.array([model.scale.tobytes()], pa.binary()),
                          "rest": pa.array([[model.bias, model.slope, model.shift]], pa.list_(pa.float64()))})
 
-    found = kept.groupBy(F.lit(0).alias("one")).applyInArrow(
-        lambda group: solve(group), shape).collect()
+    found = kept.groupBy(F.lit(0).alias("one")).applyInArrow(solve, shape).collect()
     if not found:
         return Model(np.zeros(1 << bits), np.zeros(1 << bits), 0.0, 1.0, 0.0)
     return Model(np.frombuffer(found[0]["weights"]), np.frombuffer(found[0]["scale"]), *found[0]["rest"])
@@ -266,10 +265,12 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text", score: str =
 
     Null and empty texts get the score of a document without n-grams.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.weights, model.scale, model.bias, model.slope, model.shift))
 
     def compute(batch):
-        parts = [shared.value.scores(part) for part in chunks(utf8(batch_column(batch, text)))]
+        held = Model(*shared.value)
+        parts = [held.scores(part) for part in chunks(utf8(batch_column(batch, text)))]
         values = np.concatenate(parts)
         return [pa.array(values), pa.array((values >= threshold).astype(np.int32))]
 

@@ -91,13 +91,13 @@ def _fit(matrix: np.ndarray, width: int) -> np.ndarray:
 class QueryBlock:
     """Queries with their running k best and the bound that follows from them."""
 
-    def __init__(self, ids: np.ndarray, comps: np.ndarray, k: int, exact: type):
+    def __init__(self, ids: np.ndarray, comps: np.ndarray, k: int, exact: str, bound: np.ndarray | None = None):
         self.ids, self.comps, self.k, self.exact = ids, comps, k, exact
         self.norm = np.sqrt((comps.astype(np.float64) ** 2).sum(1))
-        self.bound = np.full(len(ids), -np.inf)
+        self.bound = np.full(len(ids), -np.inf) if bound is None else bound
 
     def products(self, chosen: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-        """Exact integer products; ``exact`` is a float type only where every sum fits it."""
+        """Exact integer products; ``exact`` names a float type only where every sum fits it."""
         width = max(self.comps.shape[1], matrix.shape[1])
         return _fit(self.comps[chosen], width).astype(self.exact) @ _fit(matrix, width).astype(self.exact).T
 
@@ -181,7 +181,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int =
     longest, width = size["norm"] or 0.0, max(1, size["width"] or 1)
     if longest ** 2 >= 2.0 ** 62:
         raise OverflowError("inner products could exceed 64 bits")
-    exact = np.float64 if longest ** 2 < 2.0 ** 52 else np.int64
+    exact = "float64" if longest ** 2 < 2.0 ** 52 else "int64"
     blocks = max(1, -(-queries.count() * width * 8 // query_bytes))
     seeds = packed(vectors.orderBy(F.desc("norm"), "id").limit(SEED_ROWS).toArrow())
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()),
@@ -191,7 +191,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int =
         block = QueryBlock(*packed(queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()),
                            k, exact)
         block.seed(*seeds)
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast((block.ids, block.comps, k, exact, block.bound))
 
         def stage(batches, shared=shared):
             def unpacked():
@@ -201,7 +201,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int =
                         yield row["longest"], ids, np.frombuffer(row["comps"], np.int64).reshape(
                             len(ids), row["width"])
 
-            block = shared.value
+            block = QueryBlock(*shared.value)
             best = block.scan(unpacked())
             rows = [(int(block.ids[q]), i, -int(s)) for q, held in best.items() for s, i in held]
             for at in range(0, len(rows), 10_000):

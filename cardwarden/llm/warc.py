@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardwarden.llm import zipped
 from cardwarden.llm.common import SLICE, batch_column, quoted, written
+from cardwarden.llm.zipped import data_start, members, read_range
 from cardwarden.session import scratch_path
 
 #: Payloads from this size on are replaced by revisits when they repeat.
@@ -193,23 +193,23 @@ def record_places(file) -> list[tuple[int, int]]:
 
     A data member without an index is walked once, gzip member by gzip member.
     """
-    listed = zipped.members(file, file.size())
+    listed = members(file, file.size())
     data = [m for m in listed if m.name.startswith("archive/") and m.name.endswith(".warc.gz")]
     index = [m for m in listed if m.name.startswith("indexes/") and m.stored]
     if any(not m.stored for m in data):
         raise ValueError("records can only be read by range from stored members")
     if len(data) == 1 and len(index) == 1:
-        start = zipped.data_start(file, data[0])
-        lines = zipped.read_range(file, zipped.data_start(file, index[0]), index[0].size).decode().splitlines()
+        start = data_start(file, data[0])
+        lines = read_range(file, data_start(file, index[0]), index[0].size).decode().splitlines()
         return [(start + int(a), int(n)) for a, n in (line.split(" ")[:2] for line in lines)]
     places = []
     for member in data:
-        start = zipped.data_start(file, member)
+        start = data_start(file, member)
         at, end = start, start + member.size
         while at < end:
             inflate, n = zlib.decompressobj(31), 0
             while not inflate.eof:
-                part = zipped.read_range(file, at + n, min(1 << 16, end - at - n))
+                part = read_range(file, at + n, min(1 << 16, end - at - n))
                 inflate.decompress(part)
                 n += len(part) - len(inflate.unused_data)
             places.append((at, n))
@@ -254,7 +254,7 @@ def read_records(places: DataFrame, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with _open(row["archive"]) as file:
-                    data = zipped.read_range(file, row["offset"], sum(row["lengths"]))
+                    data = read_range(file, row["offset"], sum(row["lengths"]))
                 at, rows = 0, []
                 for n in row["lengths"]:
                     rows.append(decode_record(zlib.decompress(data[at:at + n], 31), with_payload))

@@ -237,7 +237,7 @@ def test_both_prunings_leave_the_best():
     order = np.argsort(-(comps ** 2).sum(1), kind="stable")
     comps, ids = comps[order], np.arange(len(comps))
     queries = np.concatenate([direction[None, :] * 7, rng.integers(-100, 100, (30, 4)), np.zeros((1, 4), int)])
-    block = topk.QueryBlock(np.arange(-len(queries), 0), queries, 5, np.float64)
+    block = topk.QueryBlock(np.arange(-len(queries), 0), queries, 5, "float64")
     block.seed(ids[:64], comps[:64])
     parts = [(float(np.sqrt((comps[a:a + 100] ** 2).sum(1)[0])), ids[a:a + 100], comps[a:a + 100])
              for a in range(0, len(comps), 100)]
