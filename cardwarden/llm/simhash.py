@@ -164,7 +164,12 @@ def fingerprint_components(rows: DataFrame, key: str, column: str, distance: int
     Keys sort with nulls last; a component of null keys only has a null first key.
     """
     distinct = written(rows.groupBy(column).agg(F.min(key).alias("own")), "fingerprints")
-    links = written(fingerprint_links(distinct.select(column), column, distance), "near")
+    return reached_keys(distinct, fingerprint_links(distinct.select(column), column, distance), column)
+
+
+def reached_keys(distinct: DataFrame, links: DataFrame, column: str) -> DataFrame:
+    """``(column, first_key, keeper)`` of ``distinct(column, own)`` nodes over ``links(a, b)``."""
+    links = written(links, "near")
     roots = written(connected_components(links), "components")
     linked = written(distinct.join(roots.withColumnRenamed("node", column), column), "linked")
     rank = F.struct(F.col("own").isNull().alias("missing"), F.col("own").alias("own"),

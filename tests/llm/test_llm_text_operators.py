@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cardwarden.llm import decontamination, packing, quality, simhash
+from cardwarden.llm import decontamination, packing, quality, simhash, similar
 from cardwarden.llm.queries import byte_bpe
 
 DOCS = "doc_id bigint, text string, score string, items int, __fp int"
@@ -189,6 +189,53 @@ def test_large_postings_link_the_same_components(spark, distance):
     assert [find(got, k) for k in range(len(values))] == [find(expected, k) for k in range(len(values))]
 
 
+def brute_similar(rows):
+    """The keys that stay: of each component of texts with five-word Jaccard of 0.8 or more the smallest."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t))
+        sets.append({" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = [k for k, _ in rows]
+    rank = lambda k: (k is None, k or 0)
+    near = [(i, j) for i in range(len(rows)) for j in range(i)
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            low = min(label[i], label[j], key=rank)
+            changed |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
+    return set(label)
+
+
+def test_similar_documents_leave_one(spark):
+    rng = random.Random(15)
+    rows = near_copies()
+    for g in range(30):  # copies around the bound, some linked only through others
+        base = some_words(rng, 300, 5000).split()
+        for c in range(6):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 14)):
+                copy[rng.randrange(len(copy))] = f"y{rng.randrange(999)}"
+            rows.append((10_000 + g * 10 + c, " ".join(copy)))
+    wanted = brute_similar(rows)
+    assert len(wanted) < len(brute_components([(i, brute_fingerprint(t)) for i, t in rows]))
+    frame = spark.createDataFrame([(i, t, "s", 1, 2) for i, t in rows], DOCS)
+    kept = similar.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(wanted, key=str)
+    assert similar.keep_one(frame.limit(0)).count() == 0
+
+
+def test_pipeline_stage_finds_edited_copies(spark, sf_dir):
+    import corpus_pipeline
+
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wanted = brute_similar([(r["doc_id"], r["text"]) for r in frame.collect()])
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, frame, sf_dir).collect()} == wanted
+
+
 # --- quality -----------------------------------------------------------------------------
 
 
