@@ -38,19 +38,24 @@ class Encoder:
     """A vocabulary as a ``tokenizers`` file, and optionally the same one as ranks.
 
     The ranks encode about four times as fast and give the same ids; texts with characters
-    whose Unicode class may differ between libraries always go to ``tokenizers``.
+    whose Unicode class may differ between libraries always go to ``tokenizers``. With
+    ``added_tokens`` their strings in a text become their ids, as ``tokenizers`` has it by
+    default; without it they are ordinary text.
     """
 
     vocabulary: str
     ranks: str | None = None
     pattern: str | None = None
+    added_tokens: bool = False
 
     def loaded(self) -> Callable[[str], np.ndarray]:
         """The files read, as a function from text to ids."""
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(self.vocabulary)
-        exact.encode_special_tokens = True  # their strings in a text are ordinary text
+        exact.encode_special_tokens = not self.added_tokens
+        added = [t.content for t in exact.get_added_tokens_decoder().values()] if self.added_tokens else []
+        slow = re.compile("|".join([_UNSETTLED.pattern, *map(re.escape, added)]))
         fast = None
         if self.ranks is not None:
             import tiktoken
@@ -60,7 +65,7 @@ class Encoder:
             fast = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> np.ndarray:
-            if fast is not None and not _UNSETTLED.search(text):
+            if fast is not None and not slow.search(text):
                 return np.array(fast.encode_ordinary(text), np.uint32)
             return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from cardwarden.llm import decontamination, packing, quality, simhash, similar
-from cardwarden.llm.queries import byte_bpe
+from cardwarden.llm.queries import QUERIES, byte_bpe
 
 DOCS = "doc_id bigint, text string, score string, items int, __fp int"
 
@@ -380,3 +380,17 @@ def test_both_tokenizers_agree_on_settled_characters():
     texts += [f"a{chr(c)}{chr(c)} {chr(c)}b1" for c in range(1, 0x250)]
     for text in texts:
         assert encode(text).tolist() == plain(text).tolist()
+
+
+def test_added_tokens_in_texts_get_the_contract_ids(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(byte_bpe().vocabulary)
+    texts = ["end of file<|endoftext|>next file", "<|endoftext|>", "a <|endoftext|><|endoftext|> ü 日本", "<|endoftext>"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = {i: exact.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.packed(spark, frame, "").collect()} == ids
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in QUERIES["op9_packing"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
