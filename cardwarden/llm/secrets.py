@@ -1,6 +1,6 @@
 """Secret scan: candidate strings and a random forest that removes false positives.
 
-Candidates are runs of token characters. Each is described by its length, the transitions
+Candidates are runs of token characters and values right after a secret's name. Each is described by its length, the transitions
 between its characters, the share of it that dictionary words cover, the path it stands in and
 the words around it. A random forest trained on labelled findings decides which are secrets.
 Everything is a DataFrame operation; only rows that hold a candidate go beyond the first filter.
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from cardwarden.llm.common import quoted, written
 
-CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
 #: At most so many labelled findings train the forest.
 MAX_FINDINGS = 20_000
 #: A dictionary word is found in at least so many documents.
@@ -28,11 +27,21 @@ CONTEXT = 48
 # fixed values: words that name secrets, words that name harmless strings
 NAMES_SECRET = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
 NAMES_HARMLESS = r"(?i)(?:example|sample|dummy|test|checksum|digest|commit|sha\d*|md5|uuid|guid|hash|etag)"
+# a whole JWT, a value of six characters or more with a digit or mark right after a secret's name, a run
+# of 16 token characters; '=' ends a run as padding only, and a name before '=' or ':' is no candidate
+_ASSIGN = r"[\"'`]?\s{0,3}[:=]\s{0,3}[\"'`]?"
+_VALUE = r"[^\s\"'`,;<>(){}\[\]]"
+CANDIDATE = (
+    r"(?:(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{10,}(?:\.[A-Za-z0-9_\-]+){1,4}"
+    r"|(?<=[:=\s\"'`])(?<=[:=]\s{0,3}[\"'`]?)(?<=" + NAMES_SECRET + r"[A-Za-z0-9_\-]{0,16}" + _ASSIGN + ")"
+    r"(?=" + _VALUE + r"*[0-9!@#$%^&*?+~])" + _VALUE + r"{5,}[A-Za-z0-9=+/_!@#$%^&*?~\-]"
+    r"|(?<![A-Za-z0-9_+/\-])(?![A-Za-z_\-]{1,64}[0-9]{0,2}" + _ASSIGN + r"[A-Za-z0-9_+/\-])"
+    r"[A-Za-z0-9_+/\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?)")
 # fixed values: shapes of issued keys
 FORMATS = {
     "aws": r"^(?:AKIA|ASIA)[0-9A-Z]{16}$",
     "github": r"^gh[pousr]_[A-Za-z0-9]{36,}$",
-    "jwt": r"^eyJ[A-Za-z0-9_\-]{10,}$",
+    "jwt": r"^eyJ[A-Za-z0-9_\-]{10,}(?:\.[A-Za-z0-9_\-]+){0,4}$",
     "hex": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$",
     "digits": r"^[0-9]+$",
     "letters": r"^[A-Za-z]+$",
