@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwarden.llm import (
-    decontamination, language, packing, preferences, quality, secrets, sharding, simhash, topk, warc,
+    decontamination, language, packing, passages, preferences, quality, secrets, sharding, simhash, topk, warc,
 )
 from cardwarden.llm.common import table
 
@@ -180,3 +180,24 @@ def op8_sharding(spark, d):
     return sharding.shard_documents(table(spark, d, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op12_passages(spark, d):
+    return passages.remove_repeats(table(spark, d, "documents"), with_text=False)
+
+
+SQL["op12_passages"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+g as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) as g from p),
+h as (select g, min(doc_id) as home from g group by g),
+c as (select doc_id, list(distinct p) as gone
+      from (select doc_id, unnest(range(i, i + 50)) as p from g join h using (g) where home < doc_id) group by doc_id),
+k as (select doc_id, w, case when gone is null then w
+        else list_select(w, list_filter(range(1, len(w) + 1), lambda i: not list_contains(gone, i))) end as kept
+      from d left join c using (doc_id))
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - len(kept) as bigint) as n_removed,
+       sha256(array_to_string(kept, ' ')) as kept_sha256
+from k
+"""
