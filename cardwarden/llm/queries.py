@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwarden.llm import (
-    decontamination, language, packing, passages, preferences, quality, secrets, sharding, simhash, topk, warc,
+    alignment, decontamination, language, packing, passages, preferences, quality, repair, secrets, sharding,
+    simhash, topk, warc,
 )
 from cardwarden.llm.common import table
 
@@ -30,6 +31,13 @@ def byte_bpe() -> packing.Encoder:
                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def both_vocabularies() -> alignment.Vocabularies:
+    """The byte-level vocabulary and the piece model of this machine."""
+    import public_tokenizers
+
+    return alignment.Vocabularies(byte_bpe(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def contract_bpe() -> packing.Encoder:
     """The same vocabulary with the ids ``tokenizers`` gives by default: added tokens are found in texts."""
     return replace(byte_bpe(), added_tokens=True)
@@ -182,6 +190,11 @@ def op8_sharding(spark, d):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op11_repair(spark, d):
+    return repair.repair(table(spark, d, "conversations"), damage=True, with_text=False)
+
+
 @query
 def op12_passages(spark, d):
     return passages.remove_repeats(table(spark, d, "documents"), with_text=False)
@@ -201,3 +214,8 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - len(kept) as big
        sha256(array_to_string(kept, ' ')) as kept_sha256
 from k
 """
+
+
+@query
+def op13_alignment(spark, d):
+    return alignment.alignment_digests(table(spark, d, "documents"), both_vocabularies())
