@@ -80,15 +80,17 @@ class Aligner:
         return piece.replace("▁", " ").encode()
 
     def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        """Both id sequences, or nothing where either does not give back the text's bytes."""
+        """Both id sequences, or nothing where either does not give back the text's bytes.
+
+        A byte-level vocabulary always does: its tokens are cut from the bytes.
+        """
         if not text:
             return None
         said = text.decode()
         a = self.encode_a(" " + said).astype(np.int64)
         b = np.array(self.pieces.encode(said), np.int64)
         whole = b" " + text
-        if (b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole
-                or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole):
+        if self.length_a[a].sum() != len(whole) or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
             return None
         return a, b
 
@@ -132,8 +134,7 @@ class Groups:
         """Distinct links as ``a * width + b``, sorted, and how often each occurs."""
         product = self.count_a * self.count_b
         single = product == 1
-        keys, times = np.unique(self.a[self.start_a[single]] * width + self.b[self.start_b[single]], return_counts=True)
-        found = [(keys, times)]
+        raw, found = [self.a[self.start_a[single]] * width + self.b[self.start_b[single]]], []
         usual = np.flatnonzero((product > 1) & (product <= WIDE))
         slices = np.searchsorted(np.cumsum(product[usual]), np.arange(SLICE_LINKS, product[usual].sum(), SLICE_LINKS))
         for part in np.split(usual, slices):
@@ -143,7 +144,9 @@ class Groups:
                 columns = self.count_b[part][at]
                 left = self.a[self.start_a[part][at] + nth // columns]
                 right = self.b[self.start_b[part][at] + nth % columns]
-                found.append(np.unique(left * width + right, return_counts=True))
+                raw.append(left * width + right)
+            found.append(np.unique(np.concatenate(raw), return_counts=True))
+            raw = [np.empty(0, np.int64)]
         for g in np.flatnonzero(product > WIDE).tolist():
             left, m = np.unique(self.a[self.start_a[g]:self.start_a[g] + self.count_a[g]], return_counts=True)
             right, n = np.unique(self.b[self.start_b[g]:self.start_b[g] + self.count_b[g]], return_counts=True)
@@ -306,17 +309,37 @@ def link_scores(aligned: DataFrame, width: int) -> DataFrame:
             yield _sums(batch_column(batch, "row").to_numpy(), at, times, own[ids], own[ids] == top[ids])
 
     def others(batches):
+        """Sums of one chunk of documents at a time; its lists come together."""
+        base, chunk = None, []
+
+        def summed():
+            distance, times, n, best = (np.concatenate(x) for x in zip(*chunk))
+            near, at = np.unique(distance, return_inverse=True)
+            return _sums(near + base, at, times, n, best)
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held, lengths = _flat(batch_column(batch, "held"))
-            row = np.repeat(batch_column(batch, "base").to_numpy(), lengths) + (held >> 32)
+            bases = batch_column(batch, "base").to_numpy()
             n = np.repeat(batch_column(batch, "n").to_numpy(), lengths)
             first = np.repeat(batch_column(batch, "pair").to_numpy() // width, lengths)
-            rows, at = np.unique(row, return_inverse=True)
-            yield _sums(rows, at, held & 0xFFFFFFFF, n, n == top[first])
+            ends = np.cumsum(lengths)
+            edge = np.flatnonzero(np.diff(bases)) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(bases)]):
+                if base is not None and bases[lo] != base:
+                    yield summed()
+                    chunk = []
+                base = int(bases[lo])
+                own = slice(int(ends[lo] - lengths[lo]), int(ends[hi - 1]))
+                chunk.append((held[own] >> 32, held[own] & 0xFFFFFFFF, n[own], n[own] == top[first[own]]))
+        if chunk:
+            yield summed()
 
     parts = "row bigint, n_best bigint, count_sum bigint"
     regular = aligned.select("row", "same", "same_times").mapInArrow(alike, parts)
-    irregular = holders(aligned).join(pairs, "pair").select("pair", "base", "held", "n").mapInArrow(others, parts)
+    counted = holders(aligned).join(pairs, "pair").select("pair", "base", "held", "n")
+    irregular = counted.repartition("base").sortWithinPartitions("base").mapInArrow(others, parts)
     return regular.unionAll(irregular).groupBy("row").agg(
         F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
