@@ -27,7 +27,9 @@ from cardwarden.plans.selection import (
     first_rows, last_rows, latest_per_key, recent_per_key,
 )
 from cardwarden.session import scratch_path, written
+from cardwarden.sinks.daytable import DayTable
 from cardwarden.sinks.feeds import as_feed
+from cardwarden.sinks.tables import batch_days
 from cardwarden.sources import events as ev
 from cardwarden.sources import views as V
 from cardwarden.streaming.dimensions import card_table, start_upserts, user_table
@@ -798,18 +800,35 @@ def feature_importances(spark, d):
 ONCE = {"availableNow": True}
 
 
+#: Files of one micro-batch of a fixture.
+FILES = 4
+
+
 def _message_batches(spark: SparkSession, folder: str, batches: list[DataFrame]) -> DataFrame:
-    """Message frames as a stream with one micro-batch each, in order."""
+    """Message frames (``offset``, ``value``) as a stream with one micro-batch each, in order.
+
+    Every batch has ``FILES`` files, dealt evenly; rows arrive in the order of their offsets.
+    """
+    path = os.path.join(folder, "messages")
     for number, rows in enumerate(batches):
-        rows.coalesce(1).write.text(os.path.join(folder, "messages", str(number)))
-    return ev.read_events(spark, "text", {"maxFilesPerTrigger": "1"}, os.path.join(folder, "messages", "*"))
+        dealt = rows.select(F.lit(0).alias("partition"), "offset", "value").repartition(FILES)
+        dealt.write.parquet(os.path.join(path, str(number)))
+    return ev.read_events(spark, "parquet", {"maxFilesPerTrigger": str(FILES)}, os.path.join(path, "*"),
+                          T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()),
+                                        T.StructField("value", T.StringType())]))
+
+
+def _messages(tx: DataFrame, again: int = 0) -> DataFrame:
+    """Transactions as messages whose offset is the event's number, later for a copy sent again."""
+    number = F.get_json_object("value", "$.transaccionID").cast("bigint")
+    return V.as_messages(tx).withColumn("offset", number + F.lit(again << 40))
 
 
 def _quarters(spark: SparkSession, d: str) -> list[DataFrame]:
-    """All transactions as messages in four batches of about eight days each."""
+    """All transactions as messages in four batches of about eight days each; the first takes all earlier ones."""
     tx = V.transactions(spark, d)
-    part = F.least(F.expr("D1 div 8"), F.lit(3))
-    return [V.as_messages(tx.filter(part == k)) for k in range(4)]
+    part = F.greatest(F.least(F.expr("D1 div 8"), F.lit(3)), F.lit(0))
+    return [_messages(tx.filter(part == k)) for k in range(4)]
 
 
 def _run(job: ScoringJob, stream: DataFrame) -> ScoringJob:
@@ -868,21 +887,65 @@ def stream_dedupe_two_batches(spark, d):
     n = F.col("transaccionID").cast("bigint") % 3
     tx = V.transactions(spark, d)
     twice = tx.withColumn("TransactionAmt", F.col("TransactionAmt") * 2)
-    batches = [tx.filter(n == 0), twice.filter(n == 0).unionByName(tx.filter(n == 1)),
-               twice.unionByName(tx)]
-    job = _run(ScoringJob(spark, folder, policy=NEVER),
-               _message_batches(spark, folder, [V.as_messages(b) for b in batches]))
+    batches = [_messages(tx.filter(n == 0)), _messages(twice.filter(n == 0)).unionByName(_messages(tx.filter(n == 1), 1)),
+               _messages(twice).unionByName(_messages(tx, 1))]
+    job = _run(ScoringJob(spark, folder, policy=NEVER), _message_batches(spark, folder, batches))
     raw, enriched = (job.table(t).select("transaccionID", "TransactionAmt") for t in (
         "transactions_raw", "transactions_enriched"))
     return raw.withColumnRenamed("TransactionAmt", "raw_amount").join(enriched, "transaccionID", "full")
 
 
+@query
+def stream_dedupe_stateful(spark, d):
+    """Ids that come back in later batches under other days or without one: the first message of each stays.
+
+    The state of the stream knows them; the stored days that a batch looks at do not.
+    """
+    folder = scratch_path(spark, "stream-stateful")
+    n = F.col("transaccionID").cast("bigint") % 3
+    tx = V.transactions(spark, d)
+    moved = tx.withColumns({"TransactionAmt": F.col("TransactionAmt") * 2,
+                            "fecha_hora_transaccion": F.expr("fecha_hora_transaccion + interval 3 days")})
+    undated = tx.withColumn("fecha_hora_transaccion", F.lit(None).cast("timestamp_ntz"))
+    batches = [_messages(tx.filter(n == 0)), _messages(moved.filter(n == 0)).unionByName(_messages(undated.filter(n == 1), 1)),
+               _messages(tx.filter(n == 1)).unionByName(_messages(undated.filter(n == 1), 1)).unionByName(_messages(moved, 2))]
+    job = _run(ScoringJob(spark, folder, policy=NEVER, feeds=()), _message_batches(spark, folder, batches))
+    return job.table("transactions_raw").select("transaccionID", "TransactionAmt", "day")
+
+
+@query
+def day_table_compaction(spark, d):
+    """A table written in six micro-batches, small files merged meanwhile: rows, keys and files per day."""
+    table = DayTable(spark, scratch_path(spark, "day-table"), None, max_files=3, grace_seconds=0)
+    tx = written(V.transactions(spark, d, "transaccionID", "TransactionAmt", "fecha_hora_transaccion"), "rows").withColumn(
+        "day", F.to_date("fecha_hora_transaccion"))
+    for number in range(6):
+        table.append(tx.filter(F.col("transaccionID").cast("bigint") % 6 == number), "a writer", number)
+    files = table.read().groupBy("day").agg(
+        F.count("*").alias("n"), F.countDistinct("transaccionID").alias("keys"), F.round(F.sum("TransactionAmt"), 2).alias("amount"),
+        (F.countDistinct("_metadata.file_path") <= 3).alias("few_files"))
+    return files
+
+
+@query
+def day_table_lookup(spark, d):
+    """Transactions that a table written in three batches does not hold; key filters say which files to open."""
+    table = DayTable(spark, scratch_path(spark, "day-table"), "transaccionID")
+    number = F.col("transaccionID").cast("bigint")
+    tx = written(V.transactions(spark, d, "transaccionID", "usuarioID", "fecha_hora_transaccion"), "rows").withColumn(
+        "day", F.to_date("fecha_hora_transaccion"))
+    for batch in range(3):
+        table.append(tx.filter((number % 4 == 0) & (number % 3 == batch)), "a writer", batch)
+    return table.not_stored(tx, "another", 0, batch_days(tx)).drop("day")
+
+
 @query
 def stream_quarantine(spark, d):
     """Unreadable and wrong-typed messages, sent twice and kept once."""
     folder = scratch_path(spark, "stream-quarantine")
     fields = ("transaccionID", "usuarioID", "TransactionAmt", "C1", "isFraud")
-    flawed = V.flawed_messages(V.transactions(spark, d, *fields)).filter("value is not null")
+    flawed = V.flawed_messages(V.transactions(spark, d, *fields)).filter("value is not null").withColumn(
+        "offset", F.pmod(F.xxhash64("value"), F.lit(1 << 40)))
     job = _run(ScoringJob(spark, folder, policy=NEVER), _message_batches(spark, folder, [flawed, flawed]))
     return job.table("quarantine").select("transaccionID", "record", "reason")
 

@@ -20,7 +20,7 @@ from cardwarden.operators.model_selection import (
 )
 from cardwarden.session import build_session, scratch_folder, scratch_path, written
 from cardwarden.sinks import reports
-from cardwarden.sinks.tables import drop_expired, drop_old_batches, full_refresh
+from cardwarden.sinks.tables import drop_expired, drop_old_batches, full_refresh, stored_table
 from cardwarden.sources.events import kafka_options, read_events
 from cardwarden.sources.files import read_csv, read_parquet
 from cardwarden.streaming.dimensions import card_table, start_upserts, user_table
@@ -86,7 +86,7 @@ def evaluate(spark: SparkSession, enriched: str, metrics: str | None = None,
              threshold: float = C.THRESHOLD, min_samples: int = C.MIN_EVALUATION_ROWS,
              model_version: str = C.MODEL_VERSION, include_warmup: bool = False) -> dict[str, DataFrame]:
     """Summary, confusion counts, per-class report and the metrics row of a stored enriched table."""
-    rows = evaluation.evaluable(spark.read.parquet(enriched), not include_warmup)
+    rows = evaluation.evaluable(stored_table(spark, enriched), not include_warmup)
     confusion = evaluation.confusion_counts(evaluation.with_prediction(rows, threshold))
     frames = {
         "summary": evaluation.evaluation_summary(rows, threshold, min_samples),

@@ -473,26 +473,34 @@ where fecha_hora_transaccion > TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 30 DAY
   {ENGINEERED}, round(score, 4) as fraud_score, score >= 0.5 as is_suspicious, false as is_warmed_up,
   cast(1 as bigint) as model_version, "isFraud" from fixed""",
     "session_counters": _with(TX, PROFILES, FIXED) + """, batches as (
-  select cast(least("D1" // 8, 3) as bigint) as batch_id, count(*) as r, count(*) filter (score >= 0.5) as t
+  select cast(greatest(least("D1" // 8, 3), 0) as bigint) as batch_id, count(*) as r, count(*) filter (score >= 0.5) as t
   from fixed group by 1)
 select batch_id, cast(sum(r) over so_far as bigint) as rows, cast(0 as bigint) as alerts,
   cast(sum(r) over so_far as bigint) as total_scored, cast(sum(t) over so_far as bigint) as total_at_threshold
 from batches window so_far as (order by batch_id)""",
     "stream_quarantine": QUARANTINED,
     "stream_alerts": _with(TX) + """select "transaccionID", "usuarioID", "TransactionAmt",
-  "isFraud" as "isFraud_label", 'flagged' as status from tx where least("D1" // 8, 3) <> 0""",
+  "isFraud" as "isFraud_label", 'flagged' as status from tx where greatest(least("D1" // 8, 3), 0) <> 0""",
     "stream_dedupe_two_batches": _with(TX) + """select "transaccionID", amount as raw_amount, amount as "TransactionAmt"
 from (select "transaccionID", "TransactionAmt" * case cast("transaccionID" as bigint) % 3 when 2 then 2 else 1 end
   as amount from tx)""",
+    "stream_dedupe_stateful": _with(TX) + """select "transaccionID",
+  "TransactionAmt" * case cast("transaccionID" as bigint) % 3 when 2 then 2 else 1 end as "TransactionAmt",
+  cast(case cast("transaccionID" as bigint) % 3 when 0 then fecha_hora_transaccion
+    when 2 then fecha_hora_transaccion + interval 3 days end as date) as day from tx""",
+    "day_table_compaction": _with(TX) + """select cast(fecha_hora_transaccion as date) as day, count(*) as n,
+  count(distinct "transaccionID") as keys, round(sum("TransactionAmt"), 2) as amount, true as few_files from tx group by 1""",
+    "day_table_lookup": _with(TX) + """select "transaccionID", "usuarioID", fecha_hora_transaccion from tx
+where cast("transaccionID" as bigint) % 4 <> 0""",
     "stored_key_violations": _with(TX) + """, counted as (
-  select count(*) as n, count(*) filter (least("D1" // 8, 3) <> 0) as alerted,
+  select count(*) as n, count(*) filter (greatest(least("D1" // 8, 3), 0) <> 0) as alerted,
     count(distinct "usuarioID") as users from tx)
 select unnest(['user_profiles', 'cards', 'transactions_raw', 'transactions_enriched', 'fraud_alerts']) as table_name,
   unnest([users, users, n, n, alerted]) as rows, unnest([users, users, n, n, alerted]) as keys,
   cast(0 as bigint) as keyless from counted""",
     "lifecycle_run": _with(TX) + """select case when k > 0 then k end as model_version, k > 0 as is_warmed_up,
   count(*) as n, case when k > 0 then count(*) else 0 end as scored
-from (select cast(least("D1" // 8, 3) as bigint) as k from tx) group by k""",
+from (select cast(greatest(least("D1" // 8, 3), 0) as bigint) as k from tx) group by k""",
     "scaling_stats": _with(TX, PROFILES) + ", features as (" + FEATURES + "), stats as (" + " union all ".join(
         f"""select '{c}' as feature, avg("{c}") as m, coalesce(nullif(stddev_pop("{c}"), 0), 1) as d from features"""
         for c in FEATURE_NAMES) + """)

@@ -23,6 +23,9 @@ def build_session(app_name: str = "cardwarden", master: str | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # keyed stream state on disk, not on the heap
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # call-site capture costs more than planning on frames of many columns
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from cardwarden.operators.joins import not_yet_stored
 from cardwarden.plans.selection import first_per_key, latest_per_key
 from cardwarden.session import delete_path, path_exists
+from cardwarden.sinks.daytable import UNDATED, DayTable, children, day_text
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
@@ -34,38 +35,32 @@ def on_days(days: list) -> Column:
     return condition | F.col("day").isNull() if None in days else condition
 
 
-def stored_keys(spark: SparkSession, path: str, field: T.StructField, days: list) -> DataFrame | None:
-    """``(key, written_by, batch_id)`` of the rows a day-partitioned table holds for some days."""
-    if not path_exists(spark, path):
-        return None
-    schema = T.StructType([field, T.StructField("written_by", T.StringType()),
-                           T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())])
-    return spark.read.schema(schema).parquet(path).filter(on_days(days)).drop("day")
-
-
 def not_stored_before(rows: DataFrame, path: str, key: str, writer: str, batch_id: int,
                       days: list) -> DataFrame:
     """The rows of a micro-batch whose key no other batch has stored on the batch's days.
 
     What an earlier attempt of the same batch has stored does not count, so every attempt
-    decides alike. An id that comes back under another day is another event.
+    decides alike. Only files that may hold one of the keys are opened.
     """
-    stored = stored_keys(rows.sparkSession, path, rows.schema[key], days)
-    if stored is None:
-        return rows
-    others = stored.filter((F.col("written_by") != writer) | (F.col("batch_id") != batch_id))
-    return not_yet_stored(rows, others, key, None)
+    return DayTable(rows.sparkSession, path, key).not_stored(rows, writer, batch_id, days, on_days(days))
 
 
-def append_batch(rows: DataFrame, path: str, key: str, writer: str, batch_id: int, days: list) -> None:
-    """Append a batch's rows (with ``day``), less those that an attempt of this batch has stored."""
-    stored = stored_keys(rows.sparkSession, path, rows.schema[key], days)
-    if stored is not None:
-        own = stored.filter((F.col("written_by") == writer) & (F.col("batch_id") == batch_id))
-        rows = not_yet_stored(rows, own, key, None)
-    # few files per day, and a day with most of the rows is split over tasks
-    rows.withColumns({"written_by": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")}).hint(
-        "rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+def append_batch(rows: DataFrame, path: str, key: str | None, writer: str, batch_id: int, days: list) -> list[str]:
+    """Append a batch's rows on those of its days that do not have the batch yet, and merge small files.
+
+    With ``key`` the table can be asked for keys (``not_stored_before``).
+    """
+    table = DayTable(rows.sparkSession, path, key)
+    missing = [d for d in days if not table.manifest(day_text(d)).has(writer, batch_id)]
+    return table.append(rows.filter(on_days(missing)), writer, batch_id) if missing else []
+
+
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """One version of a table with manifests, all files of another; ``None`` when there is none yet."""
+    if not path_exists(spark, path):
+        return None
+    table = DayTable(spark, path)
+    return table.read() if any(table.manifest(d).version for d in table.days()) else spark.read.parquet(path)
 
 
 def batch_path(path: str, writer: str, batch_id: int) -> str:
@@ -98,17 +93,6 @@ def full_refresh(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def _children(spark: SparkSession, path: str) -> list:
-    """File system entries right below a path."""
-    if not path_exists(spark, path):
-        return []
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return list(root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root))
-
-
-UNDATED = "day=__HIVE_DEFAULT_PARTITION__"
-
-
 def _changed_on(status) -> str:
     return datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc).date().isoformat()
 
@@ -116,31 +100,37 @@ def _changed_on(status) -> str:
 def drop_expired(spark: SparkSession, path: str, oldest_day: str) -> list[str]:
     """Remove whole day partitions older than the given day (``yyyy-mm-dd``).
 
-    Rows without a day go when nothing has been added to them since that day.
+    Rows without a day go by the time their files were stored; a table without manifests
+    loses them when nothing has been added since that day.
     """
     dropped = []
-    for status in _children(spark, path):
+    for status in children(spark, path):
         name = status.getPath().getName()
         if not name.startswith("day="):
             continue
-        if (_changed_on(status) if name == UNDATED else name[4:]) < oldest_day:
+        day = name[4:]
+        if day == UNDATED and DayTable(spark, path).manifest(day).version:
+            before = datetime.fromisoformat(oldest_day).replace(tzinfo=timezone.utc).timestamp()
+            if DayTable(spark, path).expire(day, before):
+                dropped.append(day)
+        elif (_changed_on(status) if day == UNDATED else day) < oldest_day:
             delete_path(spark, status.getPath().toString())
-            dropped.append(name[4:])
+            dropped.append(day)
     return sorted(dropped)
 
 
 def batch_folders(spark: SparkSession, path: str, writer: str) -> list[tuple[int, str]]:
     """(batch number, folder) of what a writer holds in a table of batch folders."""
-    held = [s.getPath() for s in _children(spark, os.path.join(path, f"written_by={writer}"))]
+    held = [s.getPath() for s in children(spark, os.path.join(path, f"written_by={writer}"))]
     return [(int(p.getName()[9:]), p.toString()) for p in held if p.getName().startswith("batch_id=")]
 
 
 def drop_old_batches(spark: SparkSession, path: str, oldest_day: str) -> int:
     """Remove the batch folders of a table (``written_by=/batch_id=``) last changed before a day."""
     dropped = 0
-    for writer in _children(spark, path):
+    for writer in children(spark, path):
         if writer.getPath().getName().startswith("written_by="):
-            for batch in _children(spark, writer.getPath().toString()):
+            for batch in children(spark, writer.getPath().toString()):
                 if _changed_on(batch) < oldest_day:
                     dropped += delete_path(spark, batch.getPath().toString())
     return dropped
@@ -221,19 +211,19 @@ class DimensionTable:
         folded = pointer if grace else newest
         if folded is not None:
             self._drop_deltas(folded["session_id"], folded["batch_id"])
-        for old in _children(self.spark, self._part("versions")):
+        for old in children(self.spark, self._part("versions")):
             if int(old.getPath().getName()) < version - 1:
                 delete_path(self.spark, old.getPath().toString())
         return version
 
     def _drop_deltas(self, session_id: str, batch_id: int) -> None:
         """Remove the deltas up to a batch of a session."""
-        for session in _children(self.spark, self._part("deltas")):
+        for session in children(self.spark, self._part("deltas")):
             name = session.getPath().getName().removeprefix("session_id=")
             if name < session_id:
                 delete_path(self.spark, session.getPath().toString())
             elif name == session_id:
-                for batch in _children(self.spark, session.getPath().toString()):
+                for batch in children(self.spark, session.getPath().toString()):
                     number = batch.getPath().getName().removeprefix("batch_id=")
                     if number.isdigit() and int(number) <= batch_id:
                         delete_path(self.spark, batch.getPath().toString())

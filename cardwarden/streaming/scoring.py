@@ -27,12 +27,14 @@ from cardwarden.operators.projections import (
     alert_projection, enriched_projection, raw_projection, score_feed,
 )
 from cardwarden.plans.selection import first_per_key
-from cardwarden.session import delete_path, path_exists
+from cardwarden.session import delete_path
 from cardwarden.sinks.feeds import no_profiles, publish
 from cardwarden.sinks.tables import (
     append_batch, append_first_wins, batch_days, batch_folders, batch_path, not_stored_before,
+    stored_table,
 )
 from cardwarden.sources.events import accepted, parse_events, quarantined, with_arrival
+from cardwarden.streaming.memory import split_witnesses, with_witnesses
 from cardwarden.streaming.lifecycle import ActiveModel, ModelStore, TrainingPolicy
 
 log = logging.getLogger(__name__)
@@ -60,6 +62,8 @@ class ScoringJob:
     feed_options: dict[str, str] = field(default_factory=dict)
     feeds: tuple[str, ...] = ("alerts", "scores")
     clock: Callable[[], float] = time.time
+    #: How long the stream's own state remembers ids, whatever day they come back under; ``None`` for not at all.
+    memory: str | None = "7 days"
     session_id: str = field(default_factory=new_session_id)
 
     def __post_init__(self):
@@ -92,13 +96,16 @@ class ScoringJob:
         """One micro-batch of parsed records (with the corrupt-record column).
 
         Rows that other batches have stored go first; all outputs come from what is left. An
-        output is either appended less what an earlier attempt of this batch has appended, or
-        replaces the batch's own folder, so repeating a batch changes nothing.
+        output is either appended on the days that do not have this batch yet, or replaces the
+        batch's own folder, so repeating a batch changes nothing, on whatever day it is repeated:
+        rows without a readable time lie in a partition of their own.
         """
-        staged = with_arrival(batch).persist()
+        staged, new_ids = split_witnesses(with_arrival(batch).persist(), KEY)
         event_day = F.to_date(F.col("fecha_hora_transaccion").try_cast("timestamp_ntz"))
-        rows = first_per_key(accepted(staged, KEY), [KEY], [F.col("arrival")]).withColumn(
-            "day", F.coalesce(event_day, F.current_date())).persist()
+        keyed = accepted(staged, KEY)
+        if new_ids is not None:
+            keyed = keyed.join(new_ids, KEY, "left_semi")
+        rows = first_per_key(keyed, [KEY], [F.col("arrival")]).withColumn("day", event_day).persist()
         fresh = None
         try:
             self._quarantine(staged)
@@ -108,6 +115,7 @@ class ScoringJob:
             model = self.models.load()
             if not fresh.isEmpty():
                 self._score_and_store(fresh, model, batch_id, days)
+                # last, because it decides what is new in a repeated batch
                 append_batch(raw_projection(fresh, None, "day"), self.path("transactions_raw"), KEY, self.writer, batch_id, days)
             self._train_if_due(model)
         finally:
@@ -143,7 +151,7 @@ class ScoringJob:
             alerts = alert_projection(enriched, None, "day")
             # all three tables lie under the day of the event, where duplicates are looked for
             for name, frame in (("transactions_enriched", enriched), ("fraud_alerts", alerts)):
-                append_batch(frame, self.path(name), KEY, self.writer, batch_id, days)
+                append_batch(frame, self.path(name), None, self.writer, batch_id, days)
             self._publish("alerts", alerts.drop("day"), batch_id)
             self._publish("scores", score_feed(enriched), batch_id)
             self._publish("enriched", enriched.drop("day"), batch_id)
@@ -256,6 +264,8 @@ class ScoringJob:
         """Run over a stream of messages. Every start is a session of its own."""
         self._begin_session(new_session_id(), checkpoint)
         parsed = parse_events(raw, schemas.TRANSACTION)
+        if self.memory is not None:
+            parsed = with_witnesses(parsed, KEY, self.memory)
         return (
             parsed.writeStream.foreachBatch(self.process)
             .option("checkpointLocation", checkpoint)
@@ -263,5 +273,4 @@ class ScoringJob:
         )
 
     def table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self.path(name)) if path_exists(
-            self.spark, self.path(name)) else None
+        return stored_table(self.spark, self.path(name))
