@@ -76,7 +76,7 @@ def fraud_rate_stream(tx: DataFrame, time: str, every: str = "1 day",
 
 
 def rate_table(spark, path: str) -> DimensionTable:
-    return DimensionTable(spark, path, "window_start", RATES)
+    return DimensionTable(spark, path, "window_start", RATES, buckets=1)
 
 
 def start_fraud_rates(tx: DataFrame, time: str, table: DimensionTable, checkpoint: str,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from cardwarden.operators.joins import not_yet_stored
 from cardwarden.plans.selection import first_per_key, latest_per_key
 from cardwarden.session import delete_path, path_exists
-from cardwarden.sinks.daytable import UNDATED, DayTable, children, day_text
+from cardwarden.sinks.daytable import UNDATED, DayTable, children, create_file, day_text, read_file
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
@@ -141,17 +143,14 @@ class DimensionTable:
 
     A micro-batch appends only its own rows, so its cost does not grow with the
     dimension. Reading lays the later rows over the last compacted version, whole
-    row by whole row: the newest row per key wins, its nulls included. ``compact``
-    folds the appended rows in and switches a pointer once the new version is
-    complete; versions are written once and never changed. Folded rows and all but
-    the last two versions are removed.
+    row by whole row: the newest row per key wins, its nulls included. A version is a
+    small file that names, for each hash bucket of keys, the folder that holds it; ``compact``
+    rewrites only buckets with appended rows and then creates the file of the new version. Folders
+    are written once and never changed. Folded rows and all but the last two versions are removed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: T.StructType):
-        self.spark, self.path, self.key, self.schema = spark, path, key, schema
-        self._pointer_schema = T.StructType([
-            T.StructField("version", T.LongType()), T.StructField("session_id", T.StringType()),
-            T.StructField("batch_id", T.LongType())])
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: T.StructType, buckets: int = 16):
+        self.spark, self.path, self.key, self.schema, self.buckets = spark, path, key, schema, buckets
         self._delta_schema = T.StructType(
             schema.fields + [T.StructField("arrival", T.LongType()),
                              T.StructField("session_id", T.StringType()),
@@ -166,11 +165,31 @@ class DimensionTable:
         last.select(*self.schema.names, "arrival").write.mode("overwrite").parquet(
             self._part(f"deltas/session_id={session_id}/batch_id={batch_id}"))
 
-    def _pointer(self):
-        pointer = read_table(self.spark, self._part("pointer"), self._pointer_schema)
-        return pointer.orderBy(F.desc("version")).first()
+    def _versions(self) -> list[int]:
+        names = [s.getPath().getName() for s in children(self.spark, self._part("versions"))]
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
 
-    def _deltas_after(self, pointer) -> DataFrame:
+    def _pointer_path(self, version: int) -> str:
+        return self._part(f"versions/{version}/pointer.json")
+
+    def _pointer(self, versions: list[int] | None = None) -> dict | None:
+        """The newest complete version: its number, the last batch in it, and its bucket folders."""
+        for version in self._versions() if versions is None else versions:
+            try:
+                return json.loads(read_file(self.spark, self._pointer_path(version)))
+            except (ValueError, Py4JJavaError):  # its writer died half-way
+                continue
+        return None
+
+    def _bucket_path(self, bucket: str, version: int) -> str:
+        return self._part(f"buckets/{version}/bucket={bucket}")
+
+    def _base(self, pointer: dict, buckets: list[str] | None = None) -> DataFrame:
+        held = pointer["buckets"]
+        paths = [self._bucket_path(b, held[b]) for b in (held if buckets is None else buckets) if b in held]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _deltas_after(self, pointer: dict | None) -> DataFrame:
         deltas = read_table(self.spark, self._part("deltas"), self._delta_schema)
         if pointer is None:
             return deltas
@@ -179,43 +198,67 @@ class DimensionTable:
             & (F.col("batch_id") > pointer["batch_id"]))
         return deltas.filter(later)
 
+    def _newer(self, pointer: dict | None) -> DataFrame:
+        order = [F.col("session_id"), F.col("batch_id"), F.col("arrival")]
+        return latest_per_key(self._deltas_after(pointer), [self.key], order).select(*self.schema.names)
+
+    def _laid_over(self, base: DataFrame, newer: DataFrame) -> DataFrame:
+        return base.join(newer.select(self.key), self.key, "left_anti").select(*self.schema.names).unionByName(newer)
+
     def snapshot(self) -> DataFrame:
         """Current rows, one per key."""
         pointer = self._pointer()
-        order = [F.col("session_id"), F.col("batch_id"), F.col("arrival")]
-        newer = latest_per_key(self._deltas_after(pointer), [self.key], order).select(
-            *self.schema.names)
-        if pointer is None:
-            return newer
-        base = self.spark.read.schema(self.schema).parquet(
-            self._part(f"versions/{pointer['version']}"))
-        return base.join(newer.select(self.key), self.key, "left_anti").select(
-            *self.schema.names).unionByName(newer)
+        newer = self._newer(pointer)
+        return newer if pointer is None else self._laid_over(self._base(pointer), newer)
 
     def compact(self, grace: bool = False) -> int | None:
-        """Write the snapshot as a new version and point to it; ``None`` when nothing is new.
+        """Fold appended rows into the buckets of their keys and name the new version; ``None`` when nothing is new.
 
         With ``grace``, rows folded in just now stay until the next time, for readers that
-        have planned with the previous pointer.
+        have planned with the previous version.
         """
-        pointer = self._pointer()
+        versions = self._versions()
+        pointer = self._pointer(versions)
         newest = self._deltas_after(pointer).agg(
             F.max(F.struct("session_id", "batch_id")).alias("top")).first()["top"]
         if newest is None:
             return None
-        version = 1 if pointer is None else pointer["version"] + 1
-        self.snapshot().write.mode("overwrite").parquet(self._part(f"versions/{version}"))
-        self.spark.createDataFrame(
-            [(version, newest["session_id"], newest["batch_id"])], self._pointer_schema
-        ).coalesce(1).write.mode("append").parquet(self._part("pointer"))
-        folded = pointer if grace else newest
+        version = 1 + (versions[0] if versions else 0)
+        count = self.buckets if pointer is None else pointer["n_buckets"]
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(count)).alias("bucket")
+        newer = self._newer(pointer).persist()
+        try:
+            changed = [str(r["bucket"]) for r in newer.select(bucket).distinct().collect()]
+            rows = newer if pointer is None else self._laid_over(self._base(pointer, changed), newer)
+            rows.select("*", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+                self._part(f"buckets/{version}"))
+        finally:
+            newer.unpersist()
+        held = ({} if pointer is None else pointer["buckets"]) | {b: version for b in changed}
+        self._publish({"version": version, "session_id": newest["session_id"], "batch_id": newest["batch_id"],
+                       "n_buckets": count, "buckets": held})
+        folded = pointer if grace else {"session_id": newest["session_id"], "batch_id": newest["batch_id"]}
         if folded is not None:
             self._drop_deltas(folded["session_id"], folded["batch_id"])
-        for old in children(self.spark, self._part("versions")):
-            if int(old.getPath().getName()) < version - 1:
-                delete_path(self.spark, old.getPath().toString())
+        self._drop_versions([held, {} if pointer is None else pointer["buckets"]], [version, *versions])
         return version
 
+    def _publish(self, pointer: dict) -> None:
+        if not create_file(self.spark, self._pointer_path(pointer["version"]), json.dumps(pointer)):
+            raise RuntimeError(f"version {pointer['version']} of {self.path} was written by another compaction")
+
+    def _drop_versions(self, kept: list[dict], versions: list[int]) -> None:
+        """Remove all but the last two version files, and bucket folders that neither names."""
+        for old in versions[2:]:
+            delete_path(self.spark, self._part(f"versions/{old}"))
+        named = {(str(v), b) for held in kept for b, v in held.items()}
+        for version in children(self.spark, self._part("buckets")):
+            number = version.getPath().getName()
+            folders = [s.getPath() for s in children(self.spark, version.getPath().toString()) if s.isDirectory()]
+            left = [f for f in folders if (number, f.getName().removeprefix("bucket=")) in named]
+            for gone in ([version.getPath()] if not left else [f for f in folders if f not in left]):
+                delete_path(self.spark, gone.toString())
+
     def _drop_deltas(self, session_id: str, batch_id: int) -> None:
         """Remove the deltas up to a batch of a session."""
         for session in children(self.spark, self._part("deltas")):
