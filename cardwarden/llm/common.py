@@ -14,6 +14,8 @@ from cardwarden.session import scratch_path
 
 #: Rows taken out of an Arrow batch at a time, so that only a slice exists twice.
 SLICE = 256
+#: Rows of a batch whose new columns exist at a time.
+ROWS = 1024
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -66,9 +68,9 @@ def with_columns(df: DataFrame, source: str, fields: list[T.StructField],
 
     def stage(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, *compute(batch)], names=arrow_names)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=arrow_names)
 
     return base.mapInArrow(stage, schema)
 
