@@ -26,9 +26,10 @@ from cardwarden.plans.flagship import risk_ranking
 from cardwarden.plans.selection import (
     first_rows, last_rows, latest_per_key, recent_per_key,
 )
-from cardwarden.session import scratch_path, written
+from cardwarden.session import path_exists, scratch_path, written
 from cardwarden.sinks.daytable import DayTable
 from cardwarden.sinks.feeds import as_feed
+from cardwarden.sinks.outbox import Outbox
 from cardwarden.sinks.tables import batch_days
 from cardwarden.sources import events as ev
 from cardwarden.sources import views as V
@@ -939,6 +940,33 @@ def day_table_lookup(spark, d):
     return table.not_stored(tx, "another", 0, batch_days(tx)).drop("day")
 
 
+@query
+def outbox_replay(spark, d):
+    """Flagged transactions through an outbox to an append-only sink: batches repeated, marks lost after sending."""
+    outbox = Outbox(spark, scratch_path(spark, "outbox"))
+    topic = os.path.join(outbox.path, "topic")
+    number = F.col("transaccionID").cast("bigint")
+    flagged = written(V.transactions(spark, d, "transaccionID", "isFraud", "TransactionAmt").filter("isFraud = 1"), "flagged")
+
+    def send(rows: DataFrame, and_die: bool = False) -> None:
+        rows.write.mode("append").parquet(topic)
+        if and_die:
+            raise InterruptedError
+
+    def sent() -> int | None:
+        return spark.read.parquet(topic).agg(F.max("number")).first()[0] if path_exists(spark, topic) else None
+
+    for batch in range(3):
+        rows = as_feed(flagged.filter(number % 3 == batch), "transaccionID")
+        outbox.put(rows, "a writer", batch)
+        try:
+            outbox.publish(lambda due: send(due, and_die=True), sent)
+        except InterruptedError:
+            outbox.put(rows, "a writer", batch)
+        outbox.publish(send, sent)
+    return spark.read.parquet(topic).select("number", F.col("key").alias("transaccionID"))
+
+
 @query
 def stream_quarantine(spark, d):
     """Unreadable and wrong-typed messages, sent twice and kept once."""

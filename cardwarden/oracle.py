@@ -492,6 +492,8 @@ from (select "transaccionID", "TransactionAmt" * case cast("transaccionID" as bi
   count(distinct "transaccionID") as keys, round(sum("TransactionAmt"), 2) as amount, true as few_files from tx group by 1""",
     "day_table_lookup": _with(TX) + """select "transaccionID", "usuarioID", fecha_hora_transaccion from tx
 where cast("transaccionID" as bigint) % 4 <> 0""",
+    "outbox_replay": _with(TX) + """select row_number() over (
+  order by cast("transaccionID" as bigint) % 3, "transaccionID") - 1 as number, "transaccionID" from tx where "isFraud" = 1""",
     "stored_key_violations": _with(TX) + """, counted as (
   select count(*) as n, count(*) filter (greatest(least("D1" // 8, 3), 0) <> 0) as alerted,
     count(distinct "usuarioID") as users from tx)

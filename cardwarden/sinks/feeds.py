@@ -23,17 +23,15 @@ def as_feed(df: DataFrame, key: str | None = None) -> DataFrame:
         F.col(key).cast("string").alias("key"), value)
 
 
-def publish(df: DataFrame, fmt: str, options: dict[str, str] | None = None,
-            path: str | None = None, key: str | None = None) -> None:
-    """Send rows to a topic (``kafka``) or replace the files of a path (``json``, ``parquet``...).
-
-    A batch's own path makes files replay-safe; a topic gets the rows of a repeated batch again.
-    """
-    writer = as_feed(df, key).write.format(fmt).options(**(options or {}))
-    if fmt == "kafka":
-        writer.save()
-    else:
-        writer.mode("overwrite").save(path)
+def publish(df: DataFrame, fmt: str, options: dict[str, str] | None, path: str, key: str | None = None) -> None:
+    """Replace the files of a path (``json``, ``parquet``...): a batch's own path makes them replay-safe."""
+    as_feed(df, key).write.format(fmt).options(**(options or {})).mode("overwrite").save(path)
+
+
+def to_topic(numbered: DataFrame, options: dict[str, str]) -> None:
+    """Send ``(number, key, value)`` rows to a topic; the number goes along as a header."""
+    number = F.struct(F.lit("number").alias("key"), F.col("number").cast("string").cast("binary").alias("value"))
+    numbered.select("key", "value", F.array(number).alias("headers")).write.format("kafka").options(**options).save()
 
 
 def discard(df: DataFrame) -> None:

@@ -28,7 +28,8 @@ from cardwarden.operators.projections import (
 )
 from cardwarden.plans.selection import first_per_key
 from cardwarden.session import delete_path
-from cardwarden.sinks.feeds import no_profiles, publish
+from cardwarden.sinks.feeds import as_feed, no_profiles, publish, to_topic
+from cardwarden.sinks.outbox import Outbox
 from cardwarden.sinks.tables import (
     append_batch, append_first_wins, batch_days, batch_folders, batch_path, not_stored_before,
     stored_table,
@@ -61,6 +62,9 @@ class ScoringJob:
     feed_format: str = "json"
     feed_options: dict[str, str] = field(default_factory=dict)
     feeds: tuple[str, ...] = ("alerts", "scores")
+    #: Instead of files: sends ``(number, key, value)`` rows of a feed to an append-only sink, and asks it for its highest number.
+    feed_send: Callable[[str, DataFrame], None] | None = None
+    feed_sent: Callable[[str], int | None] | None = None
     clock: Callable[[], float] = time.time
     #: How long the stream's own state remembers ids, whatever day they come back under; ``None`` for not at all.
     memory: str | None = "7 days"
@@ -176,13 +180,26 @@ class ScoringJob:
         return self._scorer[1]
 
     def _publish(self, feed: str, rows: DataFrame, batch_id: int) -> None:
-        """Send one feed if it is switched on; a topic sink needs a ``topic.<feed>`` option."""
-        if feed in self.feeds:
-            options = {k: v for k, v in self.feed_options.items() if not k.startswith("topic.")}
-            if f"topic.{feed}" in self.feed_options:
-                options["topic"] = self.feed_options[f"topic.{feed}"]
-            publish(rows, self.feed_format, options,
-                    batch_path(self.path(f"feed_{feed}"), self.writer, batch_id), KEY)
+        """Send one feed if it is switched on: through an outbox to a topic (``topic.<feed>``) or other
+        append-only sink, else as files of the batch."""
+        if feed not in self.feeds:
+            return
+        options = {k: v for k, v in self.feed_options.items() if not k.startswith("topic.")}
+        if f"topic.{feed}" in self.feed_options:
+            options["topic"] = self.feed_options[f"topic.{feed}"]
+        if self.feed_send is None and self.feed_format != "kafka":
+            publish(rows, self.feed_format, options, batch_path(self.path(f"feed_{feed}"), self.writer, batch_id), KEY)
+            return
+        outbox = Outbox(self.spark, self.path(f"outbox_{feed}"))
+        outbox.put(as_feed(rows, KEY), self.writer, batch_id)
+
+        def send(due: DataFrame) -> None:
+            if self.feed_send is not None:
+                self.feed_send(feed, due)
+            else:
+                to_topic(due, options)
+
+        outbox.publish(send, None if self.feed_sent is None else lambda: self.feed_sent(feed))
 
     def _log_batch(self, batch_id: int, counters: dict) -> None:
         log.info("batch %s %s", batch_id, counters)

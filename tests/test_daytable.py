@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cardwarden import schemas
 from cardwarden.sinks import daytable
 from cardwarden.sinks.daytable import UNDATED, DayTable, create_file, filter_bits, may_hold
+from cardwarden.sinks.outbox import Outbox
 from cardwarden.sinks.tables import drop_expired
 from cardwarden.sources import events as ev
 from cardwarden.streaming import scoring
@@ -211,3 +212,56 @@ def test_one_changed_key_rewrites_one_bucket(spark, tmp_path):
     assert table.snapshot().count() == 300
     table.upsert(users.limit(1), "s2", 0)
     assert table.compact() == 8
+
+
+# --- outbox -------------------------------------------------------------------------------
+
+
+def test_an_outbox_sends_every_row_once(spark, tmp_path):
+    outbox, topic = Outbox(spark, str(tmp_path / "o")), []
+    feed = lambda low, high: spark.range(low, high).select(
+        F.format_string("%04d", "id").alias("key"), F.col("id").cast("string").alias("value"))
+
+    def send(rows):
+        topic.extend(sorted((r["number"], r["key"]) for r in rows.collect()))
+
+    def sent():
+        return max((n for n, _ in topic), default=None)
+
+    assert outbox.put(feed(0, 30), "w", 0) and not outbox.put(feed(0, 30), "w", 0)
+    assert outbox.publish(send, sent) == 30 and outbox.publish(send, sent) == 0
+    assert outbox.put(feed(30, 31), "w", 1) and outbox.put(feed(31, 50).limit(0), "w", 2) and outbox.put(feed(31, 50), "v", 0)
+
+    def dies(rows):
+        send(rows)
+        raise InterruptedError
+
+    try:
+        outbox.publish(dies, sent)
+    except InterruptedError:
+        assert outbox.published() == 30 and len(topic) == 31
+    assert not outbox.put(feed(30, 31), "w", 1)
+    assert outbox.publish(send, sent) == 19 and outbox.published() == 50
+    assert topic == [(i, f"{i:04d}") for i in range(50)]
+    assert len(outbox._files("entries")) == 1 and len(outbox._files("marks")) == 2
+    # a sink that cannot tell gets the rows above the mark again
+    assert outbox.put(feed(50, 52), "w", 3)
+    try:
+        outbox.publish(dies)
+    except InterruptedError:
+        outbox.publish(send)
+    assert [n for n, _ in topic[50:]] == [50, 51, 50, 51]
+
+
+def test_a_repeated_batch_sends_its_feed_once(spark, tmp_path):
+    write_lines(tmp_path / "in", "a.txt", [message(i) for i in range(20)])
+    batch = ev.parse_events(spark.read.text(str(tmp_path / "in")), schemas.TRANSACTION)
+    topic = {}
+
+    def job():
+        return ScoringJob(spark, str(tmp_path / "out"), feeds=("enriched",), session_id="one",
+                          feed_send=lambda feed, rows: topic.setdefault(feed, []).extend(rows.collect()))
+
+    job().process(batch, 0)
+    job().process(batch, 0)
+    assert sorted(r["number"] for r in topic["enriched"]) == list(range(20)) and list(topic) == ["enriched"]

@@ -12,7 +12,8 @@ from cardwarden.operators.evaluation import (
 )
 from cardwarden.operators.model_selection import stratified_split
 from cardwarden.operators.profiling import correlation_matrix
-from cardwarden.plans.quantiles import exact_quantiles
+from cardwarden.plans import quantiles
+from cardwarden.plans.quantiles import column_sketches, exact_quantiles
 from cardwarden.plans.selection import (
     cut_keys, first_rows, last_rows, latest_per_key, long_bucket, recent_per_key, sequence_numbers,
 )
@@ -212,3 +213,34 @@ def test_latest_and_recent_of_a_hot_key(spark):
     assert latest[0] == 5997 and len(latest) == 4001
     recent = recent_per_key(df, ["k"], [F.col("t")], 4).filter("k = 0").orderBy("recency").collect()
     assert [r["t"] for r in recent] == [5997, 5994, 5991, 5988]
+
+
+def test_quantiles_of_stored_sketches_and_odd_values(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(d), float(x), float(np.round(x)), float("nan") if k % 50 == 0 else float(x))
+            for k, (d, x) in enumerate(zip(rng.integers(0, 5, 20_000), rng.normal(0, 1e6, 20_000)))]
+    df = spark.createDataFrame(rows, "day int, a double, b double, c double").withColumns(
+        {"i": F.col("b").cast("bigint"), "same": F.lit(7), "gone": F.lit(None).cast("double")}).persist()
+    stored = column_sketches(df, ["a", "b", "c", "i", "same", "gone"], ["day"]).persist()
+    assert stored.count() == 30
+    wanted = {c: PROBS for c in ("a", "b", "i", "same", "gone")} | {"c": [0.0, 0.5, 0.97, 0.99, 1.0]}
+    got = exact_quantiles(df, wanted, stored)
+    values = np.array([r[1] for r in rows])
+    assert np.allclose(got["a"], np.quantile(values, PROBS)) and np.allclose(got["b"], np.quantile(np.round(values), PROBS))
+    assert got["i"] == got["b"] and got["same"] == [7.0] * len(PROBS) and got["gone"] == [None] * len(PROBS)
+    assert np.allclose(got["c"], np.sort([r[3] for r in rows])[[0, 10_000, 19_399, 19_799, 19_999]], equal_nan=True, atol=2e3)
+    df.unpersist(), stored.unpersist()
+
+
+def test_quantiles_take_two_scans_and_mend_a_wrong_sketch(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(10)
+    v = rng.random(30_000)
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(float(x), float(-x), 1.0) for x in v], "v double, w double, u double").write.parquet(path)
+    df, scans, real = spark.read.parquet(path), [], quantiles._values_at_ranks
+    monkeypatch.setattr(quantiles, "_values_at_ranks", lambda d, b: (scans.append(len(b)), real(d, b))[1])
+    assert np.allclose(exact_quantiles(df, {"v": PROBS, "w": PROBS})["v"], np.quantile(v, PROBS))
+    assert len(scans) == 1
+    wrong = column_sketches(df.withColumn("v", F.col("v") + 5), ["v"])  # every bracket lies too high
+    assert np.allclose(exact_quantiles(df, {"v": [0.1, 0.5]}, wrong)["v"], np.quantile(v, [0.1, 0.5]))
+    assert len(scans) == 3
