@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ from cardwarden.sinks.feeds import as_feed
 from cardwarden.sinks.outbox import Outbox
 from cardwarden.sinks.tables import batch_days
 from cardwarden.sources import events as ev
+from cardwarden.sources import segments
 from cardwarden.sources import views as V
 from cardwarden.streaming.dimensions import card_table, start_upserts, user_table
 from cardwarden.streaming.lifecycle import TrainingPolicy
@@ -1032,6 +1034,32 @@ def stream_card_upsert(spark, d):
     return table.snapshot().select("tarjetaID", "usuarioID", "card4", "card1")
 
 
+@query
+def segment_stream(spark, d):
+    """Events as a topic of three partitions, read in bounded batches: each message once, in the order of its partition."""
+    folder = scratch_path(spark, "segments").removeprefix("file://")
+    events = V.table(spark, d, "events").select("event_id", F.col("user_id"), F.col("event_id").cast("string").alias("value"))
+    total = events.count()
+    segments.write_segments(events, os.path.join(folder, "topic"), F.col("user_id") % 3, ["event_id"], 1 + total // 10)
+    most = 1 + total // 4
+    options = {**ev.kafka_options("", "topic", most), "path": folder, "startingOffsets": "earliest",
+               "progressFile": os.path.join(folder, "progress.json")}
+    stream = ev.read_events(spark, segments.register(spark), options)
+    taken = os.path.join(folder, "taken")
+    job = stream.writeStream.foreachBatch(lambda rows, number: rows.withColumn("batch", F.lit(number)).write.mode(
+        "overwrite").parquet(os.path.join(taken, f"batch={number}"))).option(
+        "checkpointLocation", os.path.join(folder, "checkpoint")).trigger(processingTime="0 seconds").start()
+    try:  # one call waits for one bounded batch
+        while job.isActive and sum(p["numInputRows"] for p in job.recentProgress) < total:
+            job.processAllAvailable()
+            time.sleep(0.05)
+    finally:
+        job.stop()
+    rows = spark.read.parquet(taken)
+    sizes = rows.groupBy("batch").agg((F.count("*") <= most).alias("bounded"))
+    return rows.join(sizes, "batch").select("partition", "offset", F.col("value").cast("bigint").alias("event_id"), "bounded")
+
+
 @query
 def stream_fraud_rate(spark, d):
     """Fraud rate per day over the stream, the days still open included."""

@@ -7,14 +7,14 @@ import os
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardwarden import constants as C
 from cardwarden.operators.forest import (
     NODE_SCHEMA, Forest, ForestParams, calibrated, forest_from_row, grow_forest, stored_nodes,
 )
-from cardwarden.session import path_exists
+from cardwarden.session import delete_path, path_exists
+from cardwarden.sinks.daytable import children
 
 log = logging.getLogger(__name__)
 
@@ -46,10 +46,13 @@ class ActiveModel:
 
 
 class ModelStore:
-    """Versioned node tables and one scalar row per version; the row is written last and is the switch."""
+    """Versioned node tables and one scalar row per version; the row is written last and is the switch.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    The last ``keep`` versions stay.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        self.spark, self.path, self.keep = spark, path, keep
 
     def _nodes_path(self, version: int) -> str:
         return os.path.join(self.path, f"nodes/{version}")
@@ -76,14 +79,29 @@ class ModelStore:
     def publish(self, forest: Forest, version: int, session_id: str, now: float) -> ActiveModel:
         row = {"version": version, "session_id": session_id, "trained_at": now, **forest.row()}
         self.spark.createDataFrame([tuple(row[f] for f in MODEL_SCHEMA.names)], MODEL_SCHEMA).coalesce(
-            1).write.mode("append").parquet(self._rows_path())
+            1).write.mode("overwrite").parquet(os.path.join(self._rows_path(), str(version)))
+        self._drop_old(version)
         return ActiveModel(version, session_id, now, forest)
 
+    def versions(self) -> list[int]:
+        """Published versions, newest first."""
+        names = [s.getPath().getName() for s in children(self.spark, self._rows_path())]
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+    def _drop_old(self, newest: int) -> None:
+        """Keep the last few versions: batches in flight score with the one before, an operator can go back."""
+        for version in self.versions():
+            if version <= newest - self.keep:
+                delete_path(self.spark, os.path.join(self._rows_path(), str(version)))
+                delete_path(self.spark, self._nodes_path(version))
+
     def _latest_row(self):
-        if not path_exists(self.spark, self._rows_path()):
-            return None
-        rows = self.spark.read.schema(MODEL_SCHEMA).parquet(self._rows_path())
-        return rows.orderBy(F.desc("version")).first()
+        """The newest row that is complete."""
+        for version in self.versions():
+            row = self.spark.read.schema(MODEL_SCHEMA).parquet(os.path.join(self._rows_path(), str(version))).first()
+            if row is not None:
+                return row
+        return None
 
     def load(self) -> ActiveModel | None:
         """The newest complete model, ``None`` when there is none or it cannot be read."""

@@ -27,7 +27,8 @@ from cardwarden.operators.projections import (
     alert_projection, enriched_projection, raw_projection, score_feed,
 )
 from cardwarden.plans.selection import first_per_key
-from cardwarden.session import delete_path
+from cardwarden.session import delete_path, path_exists
+from cardwarden.sinks.daytable import children, create_file, read_file
 from cardwarden.sinks.feeds import as_feed, no_profiles, publish, to_topic
 from cardwarden.sinks.outbox import Outbox
 from cardwarden.sinks.tables import (
@@ -68,6 +69,8 @@ class ScoringJob:
     clock: Callable[[], float] = time.time
     #: How long the stream's own state remembers ids, whatever day they come back under; ``None`` for not at all.
     memory: str | None = "7 days"
+    #: Whether a restarted query goes on with its last session: warm-up, window and trained model included.
+    resume: bool = False
     session_id: str = field(default_factory=new_session_id)
 
     def __post_init__(self):
@@ -121,7 +124,7 @@ class ScoringJob:
                 self._score_and_store(fresh, model, batch_id, days)
                 # last, because it decides what is new in a repeated batch
                 append_batch(raw_projection(fresh, None, "day"), self.path("transactions_raw"), KEY, self.writer, batch_id, days)
-            self._train_if_due(model)
+                self._train_if_due(model)
         finally:
             for frame in (fresh, rows, staged):
                 if frame is not None:
@@ -233,6 +236,35 @@ class ScoringJob:
         gone = [number for number in passed if number > self._warmup_until]
         if gone:
             self._drop_features(lambda number: number in gone)
+        self._save_session(batch_id)
+
+    def _session_path(self, batch_id: int) -> str:
+        return os.path.join(self.path("session"), f"written_by={self.writer}", f"{batch_id:012d}")
+
+    def _save_session(self, batch_id: int) -> None:
+        """The few numbers of ``_note_batch`` as they are after a batch; the last two batches' are kept."""
+        state = {"session_id": self.session_id, "seen": self._seen, "warmup_until": self._warmup_until,
+                 "first_batch": self._first_batch, "tail": self._tail}
+        delete_path(self.spark, self._session_path(batch_id))  # of an earlier attempt
+        create_file(self.spark, self._session_path(batch_id), json.dumps(state))
+        for old in self._saved_sessions()[2:]:
+            delete_path(self.spark, self._session_path(old))
+
+    def _saved_sessions(self) -> list[int]:
+        folder = os.path.dirname(self._session_path(0))
+        return sorted((int(s.getPath().getName()) for s in children(self.spark, folder)
+                       if s.getPath().getName().isdigit()), reverse=True)
+
+    def _resume_session(self) -> None:
+        """Go on where the query's last session stopped; a repeated batch is counted once."""
+        for batch_id in self._saved_sessions():
+            try:
+                state = json.loads(read_file(self.spark, self._session_path(batch_id)))
+            except ValueError:
+                continue
+            self.session_id, self._seen, self._warmup_until = state["session_id"], state["seen"], state["warmup_until"]
+            self._first_batch, self._tail = state["first_batch"], [tuple(t) for t in state["tail"]]
+            return
 
     def _drop_features(self, condition: Callable[[int], bool]) -> None:
         for number, path in batch_folders(self.spark, self.path("features"), self.writer):
@@ -278,8 +310,10 @@ class ScoringJob:
     # --- stream -----------------------------------------------------------------------
 
     def start(self, raw: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-        """Run over a stream of messages. Every start is a session of its own."""
+        """Run over a stream of messages. Every start is a session of its own, unless it resumes the last one."""
         self._begin_session(new_session_id(), checkpoint)
+        if self.resume and path_exists(self.spark, os.path.join(checkpoint, "metadata")):
+            self._resume_session()
         parsed = parse_events(raw, schemas.TRANSACTION)
         if self.memory is not None:
             parsed = with_witnesses(parsed, KEY, self.memory)
