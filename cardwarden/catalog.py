@@ -798,6 +798,18 @@ def feature_importances(spark, d):
     return feature_importance(V.transactions(spark, d), "transaccionID", IGNORED)
 
 
+@query
+def importance_contract(spark, d):
+    """Two planted columns among the others: the one that tells the label ranks first, a constant has no weight."""
+    tx = V.transactions(spark, d, "transaccionID", "TransactionAmt", "C1", "C13", "V314", "card4", "isFraud").withColumns({
+        "decisive": F.col("isFraud") * 10 + F.pmod(F.xxhash64("transaccionID"), F.lit(7)), "constant": F.lit(1)})
+    ranked = feature_importance(tx, "transaccionID", trees=5, depth=4)
+    return ranked.agg(
+        F.max_by("feature", "importance").alias("first"), F.count("*").alias("features"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("shares"),
+        F.max(F.when(F.col("feature") == "constant", F.col("importance"))).alias("of_the_constant"))
+
+
 # --- streams ---------------------------------------------------------------------------
 
 ONCE = {"availableNow": True}

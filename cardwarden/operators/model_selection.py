@@ -169,18 +169,23 @@ def grid_search(df: DataFrame, key: str, columns: list[str] = C.TOP_15_FEATURES,
 
 def feature_importance(df: DataFrame, key: str, ignore: list[str] = (), trees: int = 50,
                        depth: int = 10, seed: int = 42, top: int = 30) -> DataFrame:
-    """Random-forest importances of all columns, gaps as -999 and texts as codes, ranked."""
+    """Random-forest importances of all columns, gaps as -999 and texts as codes, ranked.
+
+    The coded rows are written first: the fit reads them once per level of its trees.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     filled = fill_constant(drop_identifiers(df, ("TransactionID", key, *ignore)))
     texts = text_columns(filled)
     features = [c for c in numeric_columns(filled) + texts if c != "isFraud"]
-    frame = label_encode(filled, texts)
-    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(frame)
-    model = RandomForestClassifier(
-        labelCol="isFraud", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed,
-    ).fit(vectors.select("features", F.col("isFraud").cast("double").alias("isFraud")))
+    coded = label_encode(filled, texts).select(*features, F.col("isFraud").cast("double").alias("isFraud"))
+    with scratch_folder(df.sparkSession, "importances") as folder:
+        frame = written(coded, "coded", folder)
+        vectors = VectorAssembler(inputCols=features, outputCol="features").transform(frame)
+        model = RandomForestClassifier(
+            labelCol="isFraud", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed,
+        ).fit(vectors.select("features", "isFraud"))
     weights = [(f, float(w)) for f, w in zip(features, model.featureImportances.toArray())]
     ranked = df.sparkSession.createDataFrame(weights, "feature string, importance double")
     return ranked.orderBy(F.desc("importance"), "feature").limit(top)

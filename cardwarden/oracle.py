@@ -492,6 +492,8 @@ from (select "transaccionID", "TransactionAmt" * case cast("transaccionID" as bi
   count(distinct "transaccionID") as keys, round(sum("TransactionAmt"), 2) as amount, true as few_files from tx group by 1""",
     "day_table_lookup": _with(TX) + """select "transaccionID", "usuarioID", fecha_hora_transaccion from tx
 where cast("transaccionID" as bigint) % 4 <> 0""",
+    "importance_contract": """select 'decisive' as first, cast(7 as bigint) as features, true as shares,
+  cast(0 as double) as of_the_constant""",
     "segment_stream": """select cast(user_id % 3 as int) as partition,
   row_number() over (partition by user_id % 3 order by event_id) - 1 as "offset", event_id, true as bounded from events""",
     "outbox_replay": _with(TX) + """select row_number() over (
