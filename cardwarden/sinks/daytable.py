@@ -15,6 +15,7 @@ import os
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -141,6 +142,14 @@ def key_filters(rows: DataFrame, key: str) -> DataFrame:
     return rows.select("day", "file", F.xxhash64(key).alias("h")).mapInArrow(stage, FILTERS)
 
 
+def _at_once(work: Callable[[str], object], days: list[str]) -> list:
+    """Work on the small files of several days, a few days at a time."""
+    if len(days) < 2:
+        return [work(d) for d in days]
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(work, days))
+
+
 def day_text(day) -> str:
     """A day as its folder names it."""
     return UNDATED if day is None else str(day)
@@ -177,6 +186,11 @@ class DayTable:
             return replace(found, version=newest)  # the next one is numbered after the broken one
         return Manifest(newest)
 
+    def manifests(self, days: Iterable[str]) -> dict[str, Manifest]:
+        """The manifests of several days."""
+        named = list(days)
+        return dict(zip(named, _at_once(self.manifest, named)))
+
     def _manifest_path(self, day: str, version: int) -> str:
         return os.path.join(self._folder(day), f"_manifest-{version:012d}")
 
@@ -225,29 +239,37 @@ class DayTable:
         marked = rows.withColumns({"written_by": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")})
         staged = self._stage(marked.hint("rebalance", "day"))
         try:
-            changed = []
-            for status in children(self.spark, os.path.join(staged, "rows")):
-                name = status.getPath().getName()
-                if not name.startswith("day=") or self.manifest(name[4:]).has(writer, batch_id):
-                    continue
-                files, filters = self._adopt(staged, name[4:])
-
-                def add(m: Manifest) -> Manifest:
-                    return replace(m, files=m.files | files, filters=m.filters + filters, written=m.written | {writer: batch_id})
-
-                self._commit(name[4:], add)
-                changed.append(name[4:])
+            names = [s.getPath().getName() for s in children(self.spark, os.path.join(staged, "rows"))]
+            days = [n[4:] for n in names if n.startswith("day=")]
+            added = dict(zip(days, _at_once(lambda day: self._add(staged, day, writer, batch_id), days)))
         finally:
             delete_path(self.spark, staged)
-        for day in changed:
-            self.compact(day)
-        return changed
+        for day, manifest in added.items():
+            if manifest is not None and (manifest.retired or len(manifest.files) > self.max_files):
+                self.compact(day)
+        return [day for day, manifest in added.items() if manifest is not None]
+
+    def _add(self, staged: str, day: str, writer: str, batch_id: int) -> Manifest | None:
+        """Take a staged day over, unless the day has the batch already."""
+        files, filters = self._adopt(staged, day)
+
+        def add(m: Manifest) -> Manifest | None:
+            if m.has(writer, batch_id):
+                return None
+            return replace(m, files=m.files | files, filters=m.filters + filters, written=m.written | {writer: batch_id})
+
+        new = self._commit(day, add)
+        if new is None:
+            for name in (*files, *(f"_keys/{f}" for f in filters)):
+                delete_path(self.spark, os.path.join(self._folder(day), name))
+        return new
 
     # --- reading ----------------------------------------------------------------------
 
     def live_files(self, days: Iterable[str] | None = None) -> list[str]:
         """Full paths of the live files of some days (all by default)."""
-        return [os.path.join(self._folder(d), n) for d in (self.days() if days is None else days) for n in self.manifest(d).files]
+        held = self.manifests(self.days() if days is None else days)
+        return [os.path.join(self._folder(d), n) for d, m in held.items() for n in m.files]
 
     def read(self, days: Iterable | None = None, files: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame | None:
         """One version of the table, or of some days or files; ``None`` where there are no rows."""
@@ -262,7 +284,7 @@ class DayTable:
 
     def files_that_may_hold(self, keys: DataFrame, days: Iterable) -> list[str]:
         """Live files of the days that can hold one of the keys (a frame with the key column)."""
-        folders = {day_text(d): self.manifest(day_text(d)) for d in days}
+        folders = self.manifests(map(day_text, days))
         live = {f"{d}/{n}": os.path.join(self._folder(d), n) for d, m in folders.items() for n in m.files}
         filters = [os.path.join(self._folder(d), "_keys", n) for d, m in folders.items() for n in m.filters]
         if not live or self.key is None or not filters:

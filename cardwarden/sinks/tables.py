@@ -53,7 +53,8 @@ def append_batch(rows: DataFrame, path: str, key: str | None, writer: str, batch
     With ``key`` the table can be asked for keys (``not_stored_before``).
     """
     table = DayTable(rows.sparkSession, path, key)
-    missing = [d for d in days if not table.manifest(day_text(d)).has(writer, batch_id)]
+    held = table.manifests(map(day_text, days))
+    missing = [d for d in days if not held[day_text(d)].has(writer, batch_id)]
     return table.append(rows.filter(on_days(missing)), writer, batch_id) if missing else []
 
 
@@ -62,7 +63,7 @@ def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
     if not path_exists(spark, path):
         return None
     table = DayTable(spark, path)
-    return table.read() if any(table.manifest(d).version for d in table.days()) else spark.read.parquet(path)
+    return table.read() if any(m.version for m in table.manifests(table.days()).values()) else spark.read.parquet(path)
 
 
 def batch_path(path: str, writer: str, batch_id: int) -> str:
