@@ -305,7 +305,7 @@ def cut(texts: DataFrame, with_text: bool) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
                    gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """``key, n_words, n_removed, kept_sha256`` (and the ``kept`` words) of every row.
+    """``key, n_words, n_removed, kept_sha256`` of every row (and the ``kept`` words of those that lost any, else null).
 
     A word goes if a window over it also starts in a row with a smaller key. Null, empty and
     shorter texts lose nothing, nor do rows with a null key, which are no one's source either; rows of

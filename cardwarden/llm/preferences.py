@@ -67,25 +67,22 @@ def reply_swaps(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
     Conversations with ids 2k and 2k+1 lend each other their last reply; without one to borrow
     the rejected side ends before the last reply; a conversation without a reply stands against
-    itself. Turns go by number, then role and text, nulls first; repeated turns are turns. One
-    shuffle brings a couple's turns together: a conversation is one training example and ends
-    up in one row in any case.
+    itself. Turns go by number, then role and text, nulls first; repeated turns are turns; turns
+    without an id are one conversation, which nothing is lent to. Last replies are found before any
+    shuffle of turns, so of a couple each conversation's own turns are gathered, once: a
+    conversation is one training example and one row in any case.
     """
     rows = turns.select(quoted(conv).cast("bigint").alias("conv"), F.struct(
         quoted(turn).cast("bigint").alias("turn"), F.coalesce(quoted(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text")).alias("t"))
-    couples = rows.groupBy(F.shiftright("conv", 1).alias("couple")).agg(
-        F.collect_list(F.struct("conv", "t")).alias("all"))
-    each = couples.select("all", F.explode(F.array_distinct("all.conv")).alias("conv"))
-    side = lambda own: F.transform(F.sort_array(F.transform(F.filter("all", lambda x: (
-        x["conv"].eqNullSafe(F.col("conv")) if own else ~x["conv"].eqNullSafe(F.col("conv")))),
-        lambda x: x["t"])), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    sided = each.select("conv", side(True).alias("chosen"), side(False).alias("other"))
+    said = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+    replies = rows.filter(F.col("t.role") == reply_role).groupBy(F.col("conv").bitwiseXOR(F.lit(1)).alias("to")).agg(
+        F.max("t").alias("reply")).select("to", said(F.col("reply")).alias("borrowed"))
+    own = rows.groupBy("conv").agg(F.transform(F.sort_array(F.collect_list("t")), said).alias("chosen"))
+    sided = own.join(replies, F.col("conv") == F.col("to"), "left")
     last = F.size("chosen") - F.array_position(F.reverse(F.transform(
         "chosen", lambda t: t["role"] == reply_role)), True).cast("int") + 1
-    placed = sided.withColumns({
-        "at": F.when(F.exists("chosen", lambda t: t["role"] == reply_role), last),
-        "borrowed": F.try_element_at(F.filter("other", lambda t: t["role"] == reply_role), F.lit(-1))})
+    placed = sided.withColumn("at", F.when(F.exists("chosen", lambda t: t["role"] == reply_role), last))
     before = F.slice("chosen", F.lit(1), F.col("at") - 1)
     after = _tail(F.col("chosen"), F.col("at"))
     rejected = F.when(F.col("at").isNull(), F.col("chosen")).when(

@@ -33,19 +33,18 @@ _SLACK = 1e-9
 
 
 def scaled(df: DataFrame, key: str, vector: str, factor: float = 1024.0) -> DataFrame:
-    """``(id, comps, norm)``: components times ``factor`` rounded down, one row per id.
+    """``(id, comps, norm)``: components times ``factor`` rounded down.
 
-    Null ids, null vectors and vectors holding null or non-finite components take no part. Of rows
-    that share an id the one with the larger components, compared in order, stands for it.
+    Null ids, null vectors and vectors holding null or non-finite components take no part. Rows
+    that share an id all stay: as candidates each is a row of its own, as queries they share one list.
     """
     x = quoted(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = df.filter(quoted(key).isNotNull() & x.isNotNull()).filter(finite).select(
         quoted(key).cast("bigint").alias("id"),
         F.transform(x, lambda c: F.floor(c.cast("double") * factor)).alias("comps"))
-    one = rows.groupBy("id").agg(F.max("comps").alias("comps"))
     square = F.aggregate("comps", F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double"))
-    return one.withColumn("norm", F.sqrt(square))
+    return rows.withColumn("norm", F.sqrt(square))
 
 
 def norm_buckets(vectors: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -169,7 +168,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, query_bytes: int =
           bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of ``scaled`` vectors: each query's k highest products.
 
-    Candidates are all rows but the query's own; ties go to the smaller id; a query with fewer
+    Candidates are all rows of other ids; ties go to the smaller id; a query with fewer
     candidates returns them all. Empty vectors score zero, short ones count as filled up with
     zeros. Raises ``OverflowError`` where products could exceed 64 bits.
     """

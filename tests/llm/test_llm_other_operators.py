@@ -222,24 +222,21 @@ def test_assigned_and_short_values_are_candidates(spark):
 
 
 def brute_top_k(rows, k):
-    kept = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            c = [int(np.floor(1024.0 * float(np.float32(x)))) for x in v]
-            kept[i] = max(kept.get(i, c), c)
-    out = []
-    for q, a in kept.items():
+    """Every row is a candidate for queries of other ids; query rows of one id share a list, as in the SQL."""
+    kept = [(i, [int(np.floor(1024.0 * float(np.float32(x)))) for x in v]) for i, v in rows
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    found = {}
+    for q, a in kept:
         if q % 100 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in kept.items() if i != q)[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    return sorted(out)
+            found.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b)), i) for i, b in kept if i != q)
+    return sorted((q, r + 1, i, -s) for q, scores in found.items() for r, (s, i) in enumerate(sorted(scores)[:k]))
 
 
 def vectors_fixture(seed, spread):
     rng = np.random.default_rng(seed)
     rows = [(i, (rng.normal(size=8) * rng.choice(spread)).astype(np.float32).tolist()) for i in range(700)]
     same = rows[5][1]
-    rows += [(2000 + i, same) for i in range(300)] + [(100, rows[100][1])]
+    rows += [(2000 + i, same) for i in range(300)] + [(100, rows[100][1]), (7, [x * 2 for x in rows[7][1]]), (7, same), (200, same)]
     rows += [(800, [0.0] * 8), (900, []), (901, [1.0, 2.0]), (902, None), (903, [float("nan")] * 8),
              (904, [float("inf")] + [0.0] * 7), (905, [None] * 8), (None, same), (1000, [x * 1.5 for x in same])]
     return rows
