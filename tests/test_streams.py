@@ -13,6 +13,7 @@ from cardwarden.operators.forest import ForestParams
 from cardwarden.operators.joins import with_profile
 from cardwarden.operators.projections import enriched_projection
 from cardwarden.sinks import reports
+from cardwarden.sinks.daytable import DayTable
 from cardwarden.sinks.feeds import as_feed, discard, no_profiles
 from cardwarden.session import delete_path
 from cardwarden.sinks.tables import (
@@ -102,6 +103,22 @@ def replayable(spark, out):
     return job
 
 
+def test_a_batch_is_stored_in_few_files_whatever_the_width_of_the_state(spark, source, tmp_path):
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        job = ScoringJob(spark, str(tmp_path / "out"))
+        run(job, spark, source, tmp_path / "cp")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    for name in ("transactions_raw", "transactions_enriched"):
+        table = DayTable(spark, job.path(name))
+        for held in table.manifests(table.days()).values():
+            assert len(held.files) == 1 and not held.retired
+    assert job.table("transactions_raw").count() == 101
+    assert not list((tmp_path / "out" / "staging").glob("*/*"))
+
+
 def test_replays_add_nothing(spark, source, tmp_path):
     out = str(tmp_path / "out")
     run(replayable(spark, out), spark, source, tmp_path / "cp")
