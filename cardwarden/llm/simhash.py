@@ -28,27 +28,35 @@ SEED = 42
 _ASCII_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def fingerprint(text: bytes | None, n: int = 3) -> int:
-    """64-bit SimHash of the word shingles, repeats included; zero when there are no words."""
+def shingle_hashes(text: bytes | None, n: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; a text of fewer words is one shingle, none has none."""
     w = text.translate(_ASCII_LOWER).split() if text else []
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    digest = xxhash.xxh64_intdigest
     if len(w) <= n:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        starts = [0, *(ends[:-n] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[s:e], SEED) for s, e in zip(starts, ends[n - 1:].tolist())]
+        return np.array([digest(line, SEED)], np.uint64)
+    starts = [0, *(ends[:-n] + 1).tolist()]
+    return np.array([digest(line[s:e], SEED) for s, e in zip(starts, ends[n - 1:].tolist())], np.uint64)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The signed 64 bits that are set in more than half of the hashes; zero of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[at:at + (1 << 14)], dtype=">u8")
+        part = hashes[at:at + (1 << 14)].astype(">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     bits = np.packbits(2 * ones > len(hashes)).tobytes()
     return int.from_bytes(bits, "big", signed=True)
 
 
+def fingerprint(text: bytes | None, n: int = 3) -> int:
+    """64-bit SimHash of the word shingles, repeats included; zero when there are no words."""
+    return simhash(shingle_hashes(text, n))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint_bits",
                      n: int = 3) -> DataFrame:
     """Adds the fingerprint as a signed 64-bit integer; null and wordless texts have zero."""
